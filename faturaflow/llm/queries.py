@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from faturaflow.llm import mixing, quality_rules
+from faturaflow.llm import bpe, language, mixing, quality_rules
 
 QUERIES = {
     "op5_quality_rules": quality_rules.query,
     "op8_source_mixing": mixing.query,
+    "op9_language_id": language.query,
+    "op10_bpe": bpe.query,
 }
 SQL = {
     "op5_quality_rules": quality_rules.sql,
