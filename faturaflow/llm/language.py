@@ -93,16 +93,17 @@ class Model:
 
     def __init__(self, texts: dict[str, str]):
         self.labels = list(texts)
-        every = np.frombuffer("".join(texts.values()).encode("utf-32-le"), np.uint32)
+        self.letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        own_points = {k: self.letters_of(t) for k, t in texts.items()}
+        every = np.concatenate([*own_points.values(), np.zeros(0, np.uint32)])
         values, counts = np.unique(every, return_counts=True)
         common = values[np.argsort(-counts, kind="stable")][:LETTERS]
         self.width = LETTERS + 2
         self.code = np.zeros(0x110000, np.uint8)
         self.code[common] = np.arange(1, len(common) + 1)
-        self.letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
         tables, self.roots, base = [], [], 0
-        for text in texts.values():
-            own = self.code[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        for points in own_points.values():
+            own = self.code[points]
             t = automaton(own.tolist(), self.width)
             restart = np.where(t[0] >= 0, t[0], 0)
             miss = t < 0
@@ -113,14 +114,20 @@ class Model:
             base += len(t)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
+    def letters_of(self, text: str) -> np.ndarray:
+        """Code points of the lower-case text with every run of other characters than letters as one blank."""
+        p = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+        letter = self.letter[p]
+        before = np.concatenate([[False], letter[:-1]]) if len(p) else letter
+        return np.where(letter, p, 32)[letter | before].astype(np.uint32)
+
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases a character, a row a text and a column a language; which texts have a letter."""
-        points = [np.frombuffer(t.lower().encode("utf-32-le", "replace"), np.uint32) for t in texts]
+        points = [self.letters_of(t) for t in texts]
         sizes = np.array([len(p) for p in points], np.int64)
         flat = np.concatenate(points) if points else np.zeros(0, np.uint32)
         ends = np.cumsum(sizes)
-        letters = np.concatenate([[0], np.cumsum(self.letter[flat])])
-        worth = letters[ends] - letters[ends - sizes] > 0
+        worth = sizes > 0
         n_seg = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), n_seg)
         start = ragged(np.zeros(len(texts), np.int64), n_seg) * SEGMENT + np.repeat(ends - sizes, n_seg)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from faturaflow.llm import bpe, language, mixing, quality_rules
+from faturaflow.llm import bpe, language, mixing, quality_model, quality_rules
 
 QUERIES = {
+    "op4_quality_model": quality_model.query,
     "op5_quality_rules": quality_rules.query,
     "op8_source_mixing": mixing.query,
     "op9_language_id": language.query,
