@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from faturaflow.llm import bpe, language, mixing, quality_model, quality_rules
+from faturaflow.llm import bpe, language, mixing, quality_model, quality_rules, substring_dedup
 
 QUERIES = {
+    "op3_substring_dedup": substring_dedup.query,
     "op4_quality_model": quality_model.query,
     "op5_quality_rules": quality_rules.query,
     "op8_source_mixing": mixing.query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_bpe": bpe.query,
 }
 SQL = {
+    "op3_substring_dedup": substring_dedup.sql,
     "op5_quality_rules": quality_rules.sql,
     "op8_source_mixing": mixing.sql,
 }
