@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from faturaflow.llm import bpe, language, mixing, quality_model, quality_rules, substring_dedup
+from faturaflow.llm import bpe, jaccard_join, language, mixing, quality_model, quality_rules, substring_dedup
 
 QUERIES = {
+    "op2_jaccard_join": jaccard_join.query,
     "op3_substring_dedup": substring_dedup.query,
     "op4_quality_model": quality_model.query,
     "op5_quality_rules": quality_rules.query,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_bpe": bpe.query,
 }
 SQL = {
+    "op2_jaccard_join": jaccard_join.sql,
     "op3_substring_dedup": substring_dedup.sql,
     "op5_quality_rules": quality_rules.sql,
     "op8_source_mixing": mixing.sql,
