@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from faturaflow.llm import bpe, jaccard_join, language, mixing, quality_model, quality_rules, substring_dedup
+from faturaflow.llm import bpe, jaccard_join, language, mixing, quality_model, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
     "op2_jaccard_join": jaccard_join.query,
     "op3_substring_dedup": substring_dedup.query,
     "op4_quality_model": quality_model.query,
     "op5_quality_rules": quality_rules.query,
+    "op7_toxicity": toxicity.query,
     "op8_source_mixing": mixing.query,
     "op9_language_id": language.query,
     "op10_bpe": bpe.query,
