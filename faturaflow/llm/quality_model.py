@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faturaflow.llm.arrowtext import Hasher, U, Words
+from faturaflow.llm.arrowtext import Hasher, U, Words, ragged, slices
 from faturaflow.llm.classify_common import labelled, scored
 from faturaflow.llm.common import crc_mod, table
 
-BITS, FACTORS, BOUND, EPOCHS, LIMIT = 15, 8, 6000, 6, 4 << 20
+BITS, FACTORS, BOUND, EPOCHS, LIMIT = 15, 8, 4000, 6, 4 << 20
 STEPS = 12
 _HASH = Hasher(11)
 _CLASS = np.zeros(256, np.uint8)  # 1 upper case, 2 digit, 3 symbol, 4 other punctuation
@@ -122,8 +122,6 @@ class Machine:
         if not n or y.min() == y.max():
             return self
         gw, gv, sums = np.full(N_SLOTS, 1e-6), np.full(self.v.shape, 1e-6), np.diff(begins)
-        from faturaflow.llm.arrowtext import ragged
-
         for _ in range(epochs):
             for part in np.array_split(rng.permutation(n), max(1, n // 64)):
                 at = ragged(begins[part], sums[part])
@@ -148,8 +146,16 @@ class Machine:
 def fit(docs: DataFrame, labels: DataFrame, learn, bound: int = BOUND) -> Machine:
     """The machine learnt from at most `bound` rows of labels for which `learn` holds."""
     rows = labelled(docs, labels, "quality", learn, bound)
-    slots, values, begins = features(pa.chunked_array([pa.array([r[1] for r in rows], pa.string())]))
-    m = Machine().fit(slots, values, begins, np.array([r[2] for r in rows], float))
+    texts = pa.table({"text": pa.array([r[1] for r in rows], pa.string())})
+    y = np.array([r[2] for r in rows], float)
+    del rows
+    parts = [features(t["text"]) for t in slices([texts], limit=1 << 20)]
+    del texts
+    slots = np.concatenate([np.zeros(0, np.int32), *(p[0].astype(np.int32) for p in parts)])
+    values = np.concatenate([np.zeros(0, np.float32), *(p[1].astype(np.float32) for p in parts)])
+    begins = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(np.diff(p[2]) for p in parts)]))])
+    del parts
+    m = Machine().fit(slots, values, begins, y)
     m.w, m.v = m.w.astype(np.float32), m.v.astype(np.float32)
     return m
 
