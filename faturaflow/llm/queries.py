@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from faturaflow.llm import bpe, jaccard_join, language, mixing, quality_model, quality_rules, substring_dedup, toxicity
+from faturaflow.llm import bpe, jaccard_join, katz, language, mixing, quality_model, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_katz_backoff": katz.query,
     "op2_jaccard_join": jaccard_join.query,
     "op3_substring_dedup": substring_dedup.query,
     "op4_quality_model": quality_model.query,

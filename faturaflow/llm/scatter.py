@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from faturaflow.llm.arrowtext import runs, slices
 
-BATCH_BYTES, BUCKET_KEYS = 4 << 20, 1 << 20
+BATCH_BYTES, BUCKET_KEYS = 3 << 20, 1 << 19
 SENT = "bucket int, batch int, n int, data binary"
 ANSWER = "batch int, bucket int, kind int, data binary"
 
