@@ -17,6 +17,12 @@ _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+#: Bytes that are hashed at a time: bounds the tables of powers and the temporaries.
+SPAN = 1 << 17
+
+# Arrow's own pools keep what they free; a worker's memory should follow what it holds.
+pa.set_memory_pool(pa.system_memory_pool())
+
 U = np.uint64
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
@@ -58,10 +64,20 @@ class Hasher:
         self.bytes, self.words = Powers(int(odd[0])), Powers(int(odd[1]))
 
     def ranges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        up, down = self.bytes.of(len(data) + 1)
-        total = np.zeros(len(data) + 1, U)
-        np.cumsum(self.table[data] * up[:-1], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+        """Of data[starts[i] : ends[i]], for ascending starts; SPAN bytes are worked on at a time."""
+        out = np.empty(len(starts), U)
+        at = 0
+        while at < len(starts):
+            lo = int(starts[at])
+            to = max(at + 1, int(np.searchsorted(starts, lo + SPAN)))
+            s, e = starts[at:to] - lo, ends[at:to] - lo
+            n = int(e.max())
+            up, down = self.bytes.of(n + 1)
+            total = np.zeros(n + 1, U)
+            np.cumsum(self.table[data[lo : lo + n]] * up[:-1], out=total[1:])
+            out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U))
+            at = to
+        return out
 
     def windows(self, words: np.ndarray, n: int) -> np.ndarray:
         """Of words[i : i + n] for every i; as many as there are words, less n - 1."""

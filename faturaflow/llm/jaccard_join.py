@@ -12,12 +12,13 @@ A document's set is that of its distinct N-word shingles; two documents link whe
    shingles are dealt by hash into about t classes and sign as pairs within a class: a class
    of n shingles counts n - 1 towards the prefix, which is extended by what classes cost. The
    number of classes follows the size step of the set; neighbouring steps share signatures.
-4. In each signature's list all members are paired with its smallest one and verified. The
-   groups so found are merged; members of one list that still lie in different groups are
-   then paired with each other and verified. Pairs that are already in one group need no
-   test, so a large group of near copies costs as many pairs as it has members.
+4. In each signature's list all members are paired with a hub and verified, in STARS passes
+   with other hubs; only lists whose members still lie in different groups go on. What stays
+   open is compared block by block within families of lists that share members: the shared
+   counts of two blocks are one matrix product, and blocks of one group are not compared. So
+   a large group of near copies never becomes rows of pairs.
 
-Verification intersects the full shingle sets (64-bit hashes) in the JVM. Sets are whole.
+Verification intersects the full shingle sets (64-bit hashes). Sets are whole.
 
 Defined cases: words are lower-cased A-Z; null texts and texts without words have no set and
 link with nothing; shorter texts than N words have their whole sequence as one shingle; rows
@@ -41,6 +42,8 @@ from faturaflow.llm.substring_dedup import buckets
 N, THRESHOLD, RARE = 5, 80, 64
 #: Sets up to SMALL shingles sign with single tokens of every kind.
 SMALL = 8
+#: Passes with hubs before what is left is compared block by block; members and shingles of a block.
+STARS, BLOCK, BLOCK_SHINGLES = 2, 512, 400_000
 _A, _B = Hasher(21), Hasher(22)
 
 
@@ -84,7 +87,7 @@ def identities(docs: DataFrame, n: int = N, text: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             whole, at = pa.Table.from_batches([batch]), 0
-            for t in slices([whole], text):
+            for t in slices([whole], text, 1 << 20):
                 ids, at = whole["doc_id"].slice(at, t.num_rows).combine_chunks(), at + t.num_rows
                 words = Words(t[text], lower=True)
                 h = words.hashes(_A)
@@ -246,33 +249,116 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("same", same).filter(100 * F.col("same") >= THRESHOLD * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b")
 
 
-def links(docs: DataFrame, ids: DataFrame, n: int = N, text: str = "text") -> DataFrame:
-    """(a, b): verified links that connect all groups, between heads of equal word sequences."""
-    sets = written(signed(docs, ids, n, text), "sets")
-    lists = sets.select(F.explode("signatures").alias("sig"), "doc_id", "size")
-    fits = 100 * F.least("size", "size_b") >= THRESHOLD * F.greatest("size", "size_b")
-    first = lists.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").alias("b"), F.col("size").alias("size_b"))).alias("x"), F.count("*").alias("k"))
-    first = first.filter("k > 1").select("sig", "x.*")
-    star = lists.join(first, "sig").filter(fits & (F.col("doc_id") != F.col("b"))).select(F.col("doc_id").alias("a"), "b").distinct()
-    star = written(_verified(star, sets), "links")
-    group = components(star)
-    # What the stars have not merged: members of one list in different groups.
-    member = lists.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+def _open(lists: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lists whose members lie in different groups, with each member's group; and all groups."""
+    group = written(components(edges), "groups").withColumnRenamed("node", "doc_id")
+    member = lists.select("sig", "doc_id", "size").join(group, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
-    open_ = written(member.join(mixed, "sig"), "open")
-    other = open_.select("sig", F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-    rest = open_.join(other, "sig").filter((F.col("component") < F.col("component_b")) & fits)
-    rest = rest.select(F.col("doc_id").alias("a"), "b").distinct()
-    rest = rest.join(star.select(F.col("a").alias("b"), F.col("b").alias("a")).unionAll(star), ["a", "b"], "left_anti")
-    return star.unionAll(_verified(rest, sets))
+    return written(member.join(mixed, "sig"), "open"), group
+
+
+def _stars(lists: DataFrame, salt: int) -> DataFrame:
+    """(a, b): every member of a list beside its hub, the member with the smallest hash."""
+    hub = F.min(F.struct(F.xxhash64("doc_id", F.lit(salt)).alias("o"), F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b")))
+    hubs = lists.groupBy("sig").agg(hub.alias("x"), F.count("*").alias("k")).filter("k > 1").select("sig", "x.b", "x.size_b", "x.component_b")
+    fits = 100 * F.least("size", "size_b") >= THRESHOLD * F.greatest("size", "size_b")
+    return lists.join(hubs, "sig").filter((F.col("component") != F.col("component_b")) & fits).select(F.col("doc_id").alias("a"), "b").distinct()
+
+
+def groups(docs: DataFrame, ids: DataFrame, n: int = N, text: str = "text") -> DataFrame:
+    """(doc_id, component) of the heads of equal word sequences that link with another."""
+    sets = written(signed(docs, ids, n, text), "sets")
+    lists = sets.select(F.explode("signatures").alias("sig"), "doc_id", "size", F.col("doc_id").alias("component"))
+    edges = None
+    for salt in range(STARS):
+        new = written(_verified(_stars(lists, salt), sets), "links")
+        edges = new if edges is None else edges.unionAll(new)
+        lists, group = _open(lists, edges)
+        if lists.isEmpty():
+            return group
+    rest = written(_rest(lists, sets), "links")
+    return group if rest.isEmpty() else components(edges.unionAll(rest)).withColumnRenamed("node", "doc_id")
+
+
+def _rest(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the groups that the stars have not merged.
+
+    Members that share a list make a family, and the members of a family that lie in different groups are
+    compared. A family is cut into blocks, and a group that fills blocks has blocks of its own:
+    two blocks of one group need no comparison. A task holds two blocks.
+    """
+    low = lists.groupBy("sig").agg(F.min("doc_id").alias("b"))
+    family = components(lists.join(low, "sig").select(F.col("doc_id").alias("a"), "b").filter("a <> b").distinct())
+    family = family.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    own = lists.select("doc_id", "size", "component").distinct().join(family, "doc_id")
+    many = own.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    blocks = lambda: F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES))
+    many = many.withColumn("own_blocks", blocks())
+    small = F.col("own_blocks") == 1
+    pooled = many.filter(small).groupBy("family").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    pooled = pooled.select("family", blocks().alias("pool_blocks"))
+    own = own.join(many.select("family", "component", "own_blocks"), ["family", "component"]).join(pooled, "family", "left")
+    pool = F.col("own_blocks") == 1
+    own = own.withColumn("kin", F.when(pool, F.lit(-1)).otherwise(F.col("component")))
+    count = F.when(pool, F.col("pool_blocks")).otherwise(F.col("own_blocks")).cast("long")
+    own = own.withColumn("block", F.xxhash64("family", "kin", F.pmod(F.xxhash64("doc_id", F.lit(7)), count)))
+    own = written(own.select("doc_id", "family", "component", "kin", "block"), "members")
+    there = own.select("family", F.col("kin").alias("other_kin"), F.col("block").alias("other")).distinct()
+    needed = (F.col("kin") != F.col("other_kin")) | (F.col("kin") == -1)
+    pairs = own.join(there, "family").filter(needed)
+    task = F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))
+    rows = pairs.select("doc_id", "component", "block", task.alias("task")).join(sets.select("doc_id", "shingles"), "doc_id")
+    return rows.groupBy("task").applyInArrow(_compare, "a long, b long")
+
+
+def _compare(rows: pa.Table) -> pa.Table:
+    """A spanning forest of the links between documents of different groups, and of different blocks if there are two."""
+    ids, group, block = (rows[c].to_numpy() for c in ("doc_id", "component", "block"))
+    column = rows["shingles"].combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    size = np.diff(column.offsets.to_numpy()).astype(np.int64)
+    keys, place = np.unique(column.flatten().to_numpy(), return_inverse=True)
+    owner = np.repeat(np.arange(len(ids)), size)
+    shared = np.bincount(place) > 1
+    slot = np.cumsum(shared) - 1
+    keep = shared[place]
+    owner, place = owner[keep], slot[place[keep]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    same = np.zeros((len(ids), len(ids)), np.float32)
+    width = 4096
+    for lo in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(place, [lo, lo + width])
+        m = np.zeros((len(ids), width), np.float32)
+        m[owner[a:b], place[a:b] - lo] = 1
+        same += m @ m.T
+    near = 100 * same.astype(np.int64) >= THRESHOLD * (size[:, None] + size[None, :] - same.astype(np.int64))
+    near &= group[:, None] != group[None, :]
+    if (block != block[0]).any():
+        near &= block[:, None] != block[None, :]
+    out_a, out_b, open_ = [], [], near.any(1)
+    while open_.any():
+        start = int(np.argmax(open_))
+        inside = np.zeros(len(ids), bool)
+        inside[start] = True
+        front = inside.copy()
+        while front.any():
+            front = near[front].any(0) & ~inside
+            inside |= front
+        open_ &= ~inside
+        inside[start] = False
+        out_a.append(ids[inside])
+        out_b.append(np.full(int(inside.sum()), ids[start]))
+    none = np.zeros(0, np.int64)
+    return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
 
 
 def classes(docs: DataFrame, n: int = N, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row an id: the class is the smallest id that links reach."""
     ids = written(identities(docs, n, text), "identities")
     heads = ids.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("head"))
-    group = components(links(docs, ids, n, text))
-    heads = heads.join(group.withColumnRenamed("node", "head"), "head", "left")
+    group = groups(docs, ids, n, text)
+    heads = heads.join(group.withColumnRenamed("doc_id", "head"), "head", "left")
     heads = heads.select("k1", "k2", F.coalesce("component", "head").alias("component_id"))
     all_ = ids.join(heads, ["k1", "k2"], "left")
     return all_.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -46,6 +46,10 @@ def occurrences(column, known: np.ndarray | None = None) -> tuple[np.ndarray, np
     owner = np.repeat(np.arange(len(words.offsets) - 1), words.count)
     h = words.hashes(_HASH)
     distinct, first, place = np.unique(h, return_index=True, return_inverse=True)
+    order = np.argsort(first)  # by place in the data
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    first, place = first[order], back[place]
     starts, ends = words.starts[first], words.ends[first]
     # Marks at a word's end are no part of it.
     for _ in range(3):
