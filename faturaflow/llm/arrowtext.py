@@ -6,7 +6,9 @@ of a Python worker depends on the limit and the longest text, never on the table
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,12 @@ U = np.uint64
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that idle workers stay small."""
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit values."""
     x = x ^ (x >> U(30))
@@ -103,6 +111,7 @@ def slices(batches, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.T
             to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield t.slice(at, to - at)
             at = to
+            release()
 
 
 def filled(column) -> pa.ChunkedArray:
@@ -158,6 +167,11 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1])
 
 
+def spans(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of the runs of equal values; none of no values."""
+    return list(zip(begins := runs(sorted_values).tolist(), [*begins[1:], len(sorted_values)], strict=True)) if len(sorted_values) else []
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """All of starts[i], starts[i] + 1, ... (counts[i] of them), one after another."""
     total = int(counts.sum())

@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faturaflow.llm.arrowtext import ragged, slices
-from faturaflow.llm.common import table
+from faturaflow.llm.common import bounded, table
 
 #: The split of texts into pieces that byte-level BPE vocabularies of this kind fix.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LIMIT = 8 << 20
+LIMIT = 2 << 20
 
 
 def _shown() -> list[str]:
@@ -182,6 +182,8 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in (text, "ids", "decoded")]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
+    bounded(docs.sparkSession)
+
     def run(batches):
         v = vocabulary(path)
         for t in slices(batches, text, LIMIT):

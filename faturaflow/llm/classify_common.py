@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faturaflow.llm.arrowtext import slices
+from faturaflow.llm.common import bounded
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int) -> list[tuple[int, str, int]]:
@@ -29,6 +30,8 @@ def scored(docs: DataFrame, text: str, fields: list[T.StructField], score, limit
     kept = [c for c in docs.columns if c not in names]
     schema = T.StructType([docs.schema[c] for c in kept] + fields)
 
+    bounded(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             whole, at = pa.Table.from_batches([batch]), 0

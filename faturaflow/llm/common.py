@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run without ASCII space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
+ROWS = 2000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -42,6 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Rows of whole texts reach Python in batches of ROWS, unless the session asks for fewer still."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS:
+        spark.conf.set(name, str(ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives a lost executor."""
     at = f"{shared_dir(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"

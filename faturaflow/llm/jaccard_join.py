@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faturaflow.llm import scatter as S
-from faturaflow.llm.arrowtext import Hasher, U, Words, crossing, mix, runs, slices
-from faturaflow.llm.common import table, written
+from faturaflow.llm.arrowtext import Hasher, U, Words, crossing, mix, runs, slices, spans
+from faturaflow.llm.common import bounded, table, written
 from faturaflow.llm.components import components
 from faturaflow.llm.substring_dedup import buckets
 
@@ -97,6 +97,7 @@ def identities(docs: DataFrame, n: int = N, text: str = "text") -> DataFrame:
                 ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
                 yield pa.RecordBatch.from_arrays([ids, *keys, pa.array(size, pa.int64())], ["doc_id", "k1", "k2", "n_shingles"])
 
+    bounded(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, k1 long, k2 long, n_shingles long")
     one = F.min(F.struct("k1", "k2", "n_shingles")).alias("x")
     return rows.filter("doc_id is not null").groupBy("doc_id").agg(one).select("doc_id", "x.*")
@@ -216,9 +217,8 @@ def signed(docs: DataFrame, ids: DataFrame, n: int = N, text: str = "text") -> D
             if k in told:
                 step[a:b] = np.frombuffer(told[k], np.uint8)
         freq = step[np.searchsorted(keys, key >> U(32 - bits))] if len(keys) else step
-        begins = runs(doc)
         out = []
-        for a, b in zip(begins, [*begins[1:], len(doc)], strict=True):
+        for a, b in spans(doc):
             own = freq[a:b]
             # Without enough shared shingles no other document can be similar.
             if (own > 0).sum() * 100 < THRESHOLD * (b - a):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faturaflow.llm.arrowtext import ragged, slices
-from faturaflow.llm.common import crc_mod, table
+from faturaflow.llm.common import bounded, crc_mod, table
 
 DOCS, CHARS, SEGMENT, LIMIT = 64, 32_768, 256, 4 << 20
 #: Classes: 0 for characters outside the samples, LETTERS of them at most, the last for padding.
@@ -160,6 +160,8 @@ def predict(docs: DataFrame, texts: dict[str, str], text: str = "text") -> DataF
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("phrases", T.MapType(T.StringType(), T.DoubleType()))]
     schema = T.StructType([docs.schema[c] for c in kept] + new)
 
+    bounded(docs.sparkSession)
+
     def run(batches):
         m = model(texts)
         names = np.array([*m.labels, "und"], object)

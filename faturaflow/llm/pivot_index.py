@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faturaflow.llm.arrowtext import runs
+from faturaflow.llm.arrowtext import spans
 from faturaflow.llm.common import table, written
 from faturaflow.llm.components import components
 
@@ -67,8 +67,7 @@ def _compare(group: pa.Table, threshold: float, shared: int) -> pa.Table:
     own = group["own"].to_numpy()[order]
     parts = group["vector"].take(pa.array(order)).to_pylist()
     out_a, out_b, out_w = [], [], []
-    begins = runs(key)
-    for a, b in zip(begins, [*begins[1:], len(key)], strict=True):
+    for a, b in spans(key):
         if b - a < 2:
             continue
         x = np.frombuffer(b"".join(parts[a:b]), np.float64).reshape(b - a, dims[a])

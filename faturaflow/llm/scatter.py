@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from faturaflow.llm.arrowtext import runs, slices
+from faturaflow.llm.arrowtext import release, runs, slices, spans
+from faturaflow.llm.common import bounded
 
 BATCH_BYTES, BUCKET_KEYS = 3 << 20, 1 << 19
 SENT = "bucket int, batch int, n int, data binary"
@@ -52,6 +53,7 @@ def batch_of(column, plan: Plan):
 def packed(docs: DataFrame, plan: Plan, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(batch, blob): all columns of docs, packed by batch and dealt out by it."""
     names = docs.columns
+    bounded(docs.sparkSession)
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=3)
@@ -96,8 +98,7 @@ def unplanes(data: bytes, dtype, n: int, at: int = 0) -> np.ndarray:
 
 def by_bucket(buckets: np.ndarray) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of sorted buckets."""
-    begins = runs(buckets)
-    return [(int(buckets[a]), int(a), int(b)) for a, b in zip(begins, [*begins[1:], len(buckets)], strict=True)]
+    return [(int(buckets[a]), a, b) for a, b in spans(buckets)]
 
 
 def sent(batch: int, rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -126,6 +127,7 @@ def scatter(batches: DataFrame, send) -> DataFrame:
     """send(batch number, documents) to rows of SENT."""
 
     def run(key, group):
+        release()
         return send(key[0].as_py(), unpacked(group))
 
     return batches.groupBy("batch").applyInArrow(run, SENT)
@@ -135,6 +137,7 @@ def reduce_buckets(rows: DataFrame, answer, schema: str = ANSWER) -> DataFrame:
     """answer(bucket number, rows of SENT) to rows of `schema`."""
 
     def run(key, group):
+        release()
         return answer(key[0].as_py(), group)
 
     return rows.groupBy("bucket").applyInArrow(run, schema)
@@ -146,6 +149,7 @@ def gather(batches: DataFrame, replies: DataFrame, take, schema) -> DataFrame:
     kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
 
     def run(key, left, right):
+        release()
         if left.num_rows:
             return take(key[0].as_py(), unpacked(left), right)
         return to_arrow_schema(kind).empty_table()
