@@ -216,17 +216,17 @@ class _Bucket:
             seen.append(S.unplanes(data, np.uint32, n, 8 + 12 * h + 8 * n))
             back.append(S.unplanes(data, np.int64 if k == 2 else np.float64, n, 8 + 12 * h + 12 * n))
             self.heads.append(h)
-        names, self.hist = np.unique(np.concatenate(name), return_inverse=True)
-        self.n_hist = len(names)
+        self.names, self.hist = np.unique(np.concatenate(name), return_inverse=True)
+        self.n_hist = len(self.names)
         hist = np.repeat(self.hist, np.concatenate(size))
-        words, word = np.unique(np.concatenate(word), return_inverse=True)
-        code = hist * np.int64(len(words)) + word
+        self.words, word = np.unique(np.concatenate(word), return_inverse=True)
+        code = hist * np.int64(len(self.words)) + word
         order = np.argsort(code, kind="stable")
         begins = runs(code[order])
         self.gram = np.empty(len(code), np.int64)
         self.gram[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(code))))
         self.r = np.add.reduceat(np.concatenate(seen)[order].astype(np.int64), begins)
-        self.of = hist[order[begins]]
+        self.of, self.word = hist[order[begins]], word[order[begins]]
         b = np.concatenate(back)[order[begins]]
         self.low = level1.p(b) if k == 2 else b
 
@@ -277,6 +277,45 @@ def _everywhere(stats: DataFrame, n: int, column: str) -> DataFrame:
     return total.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(column), data.alias("data"))
 
 
+def _entries(k: int, level1: Level1):
+    def entries(key, rows: pa.Table, told: pa.Table) -> pa.Table:
+        names = ("bucket", "history", "word", "count", "p", "p_below", "alpha")
+        if not rows.num_rows:
+            return pa.table({n: pa.array([], pa.int32() if n == "bucket" else pa.int64() if i < 4 else pa.float64()) for i, n in enumerate(names)})
+        b, d = _Bucket(rows, k, level1), discounts(json.loads(told["data"][0].as_py()))
+        alpha, total = b.weights(d)
+        at = np.flatnonzero(b.r > 0)
+        of, r = b.of[at], b.r[at]
+        columns = [
+            np.full(len(at), key[0].as_py(), np.int32), b.names[of].view(np.int64), b.words[b.word[at]].view(np.int64), r,
+            d[np.minimum(r, K + 1)] * r / total[of], b.low[at], alpha[of],
+        ]
+        return pa.table(dict(zip(names, columns, strict=True)))
+
+    return entries
+
+
+def store(docs: DataFrame, path: str) -> None:
+    """The model of order 2 as Parquet tables: path/words and path/bigrams, partitioned by bucket.
+
+    bigrams has the seen pairs: history and word (ids), count, discounted p, p_below of the word alone, and
+    the history's alpha. The sum of p plus alpha times (1 - the sum of p_below) is 1 for every history.
+    """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("train", F.lit(False)).alias("train"))
+    plan = S.plan_for(docs)
+    bits = plan.bits
+    batches = S.packed(docs, plan)
+    words = written(S.reduce_buckets(S.scatter(batches, _send_words(bits)), _count_words, _REPLY), "words")
+    sums = words.agg(*[F.coalesce(F.sum(F.get("stats", F.lit(i))), F.lit(0)) for i in range(K + 3)]).first()
+    level1 = Level1([int(x) for x in sums])
+    words.filter("batch >= 0").write.partitionBy("bucket").parquet(f"{path}/words")
+    grams = S.gather(batches, words.filter("batch >= 0").drop("stats"), _send_grams(2, bits, level1), S.SENT)
+    to_buckets = _everywhere(S.reduce_buckets(grams, _stats_of(2, level1), _REPLY), 1 << bits, "bucket")
+    schema = "bucket int, history long, word long, count long, p double, p_below double, alpha double"
+    entries = grams.groupBy("bucket").cogroup(to_buckets.groupBy("bucket")).applyInArrow(_entries(2, level1), schema)
+    entries.write.partitionBy("bucket").parquet(f"{path}/bigrams")
+
+
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) of docs (doc_id, text, train).
 

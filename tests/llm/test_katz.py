@@ -73,6 +73,18 @@ def test_equals_brute_force(spark, docs, rows, order):
         assert np.isclose(g.base_score, base) and np.isclose(g.score, want)
 
 
+def test_stored_tables_are_normalised(spark, docs, rows, tmp_path):
+    small = docs.filter("doc_id < 40").withColumn("train", F.lit(True))
+    katz.store(small, str(tmp_path))
+    stored = spark.read.parquet(f"{tmp_path}/bigrams")
+    m = Brute([r[1] for r in rows if r[0] < 40], 2)
+    assert stored.count() == len(m.counts[1])
+    assert stored.agg(F.sum("count")).first()[0] == sum(m.counts[1].values())
+    mass = stored.groupBy("history").agg((F.sum("p") + F.first("alpha") * (1 - F.sum("p_below"))).alias("mass"))
+    assert mass.filter(F.abs(F.col("mass") - 1) > 1e-9).count() == 0 and mass.count() == len(m.after[1])
+    assert spark.read.parquet(f"{tmp_path}/words").count() > 0
+
+
 def test_odd_rows_and_no_training(spark, odd, none):
     got = katz.score(odd.withColumn("train", F.lit(False))).collect()
     assert len(got) == 5 and all(r.score == 0 and r.train_tokens == 0 for r in got)
