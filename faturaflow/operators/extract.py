@@ -117,19 +117,24 @@ def total(block: Column) -> Column:
     return F.coalesce(*found)
 
 
+def record(text: Column, b: Column) -> Column:
+    """The invoice record of a normalised text and its sections."""
+    return F.struct(
+        emission_date(text).alias("emission_date"),
+        competence_date(text).alias("competence_date"),
+        access_key(text).alias("chave_acesso"),
+        party(b["issuer"]).alias("issuer"),
+        party(b["recipient"]).alias("recipient"),
+        items(b["items"]).alias("items"),
+        F.struct(
+            total(b["financials"]).alias("total"),
+            F.lit(None).cast("map<string,string>").alias("taxes"),
+            F.lit(None).cast("string").alias("payment_method"),
+        ).alias("financials"),
+        text.alias("raw_text"),
+    )
+
+
 def invoice(text: Column) -> Column:
     """The invoice record of a normalised text."""
-
-    def of(b: Column) -> Column:
-        return F.struct(
-            emission_date(text).alias("emission_date"),
-            competence_date(text).alias("competence_date"),
-            access_key(text).alias("chave_acesso"),
-            party(b["issuer"]).alias("issuer"),
-            party(b["recipient"]).alias("recipient"),
-            items(b["items"]).alias("items"),
-            F.struct(total(b["financials"]).alias("total"), F.lit(None).cast("map<string,string>").alias("taxes"), F.lit(None).cast("string").alias("payment_method")).alias("financials"),
-            text.alias("raw_text"),
-        )
-
-    return bind(segment.blocks(text), of)
+    return bind(segment.blocks(text), lambda b: record(text, b))

@@ -2,8 +2,8 @@
 
 Every stage is a projection of native expressions; only READ of PDF content runs Python, batch
 by batch. A document that cannot be read keeps its row: status error, score 0, null payload
-and a trail that ends in the failure. The record of a stage is one struct column, made under a
-lambda, so the optimizer does not repeat its expressions for each field that is used.
+and a trail that ends in the failure. The normalised text and its sections are columns of their
+own: fields of the record that nothing uses are pruned, and what several use is computed once.
 """
 
 from __future__ import annotations
@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faturaflow.functions.rx import bind
-from faturaflow.operators import audit, extract, normalize, trust
+from faturaflow.operators import audit, extract, normalize, segment, trust
 from faturaflow.sources.pdf import Extractor, extract_text, read_pdf
 
 
 def parse_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with invoice, the record of the normalised text; null for a null text."""
+    """docs with invoice, the record of the normalised text; all its fields are null or empty for a null text."""
     normalize.require_text(docs, text)
-    record = bind(normalize.normalize_text(F.col(text)), lambda n: F.when(n.isNotNull(), extract.invoice(n)))
-    return docs.withColumn("invoice", record)
+    cut = docs.withColumn("__n", normalize.normalize_text(F.col(text))).withColumn("__b", segment.blocks(F.col("__n")))
+    return cut.withColumn("invoice", extract.record(F.col("__n"), F.col("__b"))).drop("__n", "__b")
 
 
 def validate(docs: DataFrame) -> DataFrame:
