@@ -225,9 +225,11 @@ def money(value: Column, fiscal: bool = False, expected: str | None = None) -> C
         return bind(currency(raw), lambda code: bind(plain_number(raw, code), lambda text: told(code, text)))
 
     def told(code: Column, text: Column) -> Column:
-        infinite = F.lower(text).rlike(r"^[+-]?inf(?:inity)?$")
-        shaped = text.rlike(_NUMBER) | infinite
         number = F.when(text.rlike(_NUMBER), text.try_cast("decimal(38,10)"))
+        return bind(number, lambda n: judged(code, text, n))
+
+    def judged(code: Column, text: Column, number: Column) -> Column:
+        shaped = number.isNotNull() | text.rlike(_NUMBER) | F.lower(text).rlike(r"^[+-]?inf(?:inity)?$")
         negative = text.startswith("-") & text.rlike(r"^-[^eE]*[1-9iI]")
         huge = (number > MOST_MONEY) | number.isNull()
         cents = (number != F.round(number, 2)) | text.rlike(r"^[^eE]*\.[0-9]{2}[0-9]*[1-9][0-9]*$")
