@@ -187,7 +187,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches):
         v = vocabulary(path)
         for t in slices(batches, text, LIMIT):
-            ids = encode(v, [x.decode() for x in t[text].to_pylist()])
+            ids = encode(v, [x.decode("utf-8", "replace") for x in t[text].to_pylist()])
             columns = [t[c].combine_chunks() for c in kept]
             columns += [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([decode(v, x) for x in ids], pa.string())]
             yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], [*kept, "ids", "decoded"])

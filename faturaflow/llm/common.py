@@ -50,8 +50,13 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(name, str(ROWS))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives a lost executor."""
+def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and outlives a lost executor.
+
+    A small table, with ids and numbers only, goes to a quarter of the session's partitions: fewer files.
+    """
+    if small:
+        df = df.coalesce(max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
     at = f"{shared_dir(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)

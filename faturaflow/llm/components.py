@@ -21,7 +21,7 @@ def _state(edges: DataFrame):
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) to (node, component): the smallest node that each node with an edge can reach."""
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges", small=True)
     seen = _state(now)
     for _ in range(rounds if seen[0] else 0):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -32,7 +32,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: a node and its smaller neighbours hang on the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
-        now = written(small.filter("a <> b").distinct(), "edges")
+        now = written(small.filter("a <> b").distinct(), "edges", small=True)
         if (state := _state(now)) == seen:
             break
         seen = state

@@ -251,10 +251,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _open(lists: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The lists whose members lie in different groups, with each member's group; and all groups."""
-    group = written(components(edges), "groups").withColumnRenamed("node", "doc_id")
+    group = written(components(edges), "groups", small=True).withColumnRenamed("node", "doc_id")
     member = lists.select("sig", "doc_id", "size").join(group, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
-    return written(member.join(mixed, "sig"), "open"), group
+    return written(member.join(mixed, "sig"), "open", small=True), group
 
 
 def _stars(lists: DataFrame, salt: int) -> DataFrame:
@@ -302,7 +302,7 @@ def _rest(lists: DataFrame, sets: DataFrame) -> DataFrame:
     own = own.withColumn("kin", F.when(pool, F.lit(-1)).otherwise(F.col("component")))
     count = F.when(pool, F.col("pool_blocks")).otherwise(F.col("own_blocks")).cast("long")
     own = own.withColumn("block", F.xxhash64("family", "kin", F.pmod(F.xxhash64("doc_id", F.lit(7)), count)))
-    own = written(own.select("doc_id", "family", "component", "kin", "block"), "members")
+    own = written(own.select("doc_id", "family", "component", "kin", "block"), "members", small=True)
     there = own.select("family", F.col("kin").alias("other_kin"), F.col("block").alias("other")).distinct()
     needed = (F.col("kin") != F.col("other_kin")) | (F.col("kin") == -1)
     pairs = own.join(there, "family").filter(needed)
@@ -355,7 +355,7 @@ def _compare(rows: pa.Table) -> pa.Table:
 
 def classes(docs: DataFrame, n: int = N, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row an id: the class is the smallest id that links reach."""
-    ids = written(identities(docs, n, text), "identities")
+    ids = written(identities(docs, n, text), "identities", small=True)
     heads = ids.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("head"))
     group = groups(docs, ids, n, text)
     heads = heads.join(group.withColumnRenamed("doc_id", "head"), "head", "left")

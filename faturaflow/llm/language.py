@@ -169,7 +169,7 @@ def predict(docs: DataFrame, texts: dict[str, str], text: str = "text") -> DataF
             whole = pa.Table.from_batches([batch])
             at = 0
             for t in slices([whole], text, LIMIT):
-                rate, worth = m.phrases([x.decode() for x in t[text].to_pylist()])
+                rate, worth = m.phrases([x.decode("utf-8", "replace") for x in t[text].to_pylist()])
                 if len(m.labels):
                     best = rate.argmin(1)
                     two = np.sort(rate, 1)[:, :2]

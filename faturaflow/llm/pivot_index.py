@@ -147,9 +147,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, n: int = P
     limit = F.lit(1.7976931348623157e308)
     good = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= limit)) & F.exists("x", lambda v: v != 0)
     rows = rows.withColumn("h", F.when(F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull(), F.sha2(F.col("x").cast("string"), 256)))
-    rows = written(rows, "vectors")
+    rows = written(rows, "vectors", small=True)
     heads = rows.filter("h is not null").groupBy("h").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"), F.min("x").alias("x"))
-    heads = written(heads, "heads")
+    heads = written(heads, "heads", small=True)
     drawn = [np.array(r["x"], np.float64) for r in heads.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").collect()]
     pivots = {d: pivots_of(_unit(np.array([v for v in drawn if len(v) == d])), n) for d in {len(v) for v in drawn}}
     indexed = written(index(heads.select("id", "times", "x"), pivots, n, prefix, shared), "index")
