@@ -7,6 +7,8 @@ texts are parsed, in segments of SEGMENT characters that all restart at the root
 phrase a segment costs is the same for every language, and numpy walks thousands of segments
 at once through one transition table.
 
+The tables are built anew by each task and end with it, so that idle workers hold none.
+
 Bounds, both parameters: DOCS documents a language, by smallest hash of the id, and CHARS
 characters of them. Everything else covers all rows.
 
@@ -34,7 +36,6 @@ DOCS, CHARS, SEGMENT, LIMIT = 64, 32_768, 256, 4 << 20
 #: Classes: 0 for characters outside the samples, LETTERS of them at most, the last for padding.
 LETTERS = 62
 _MISS = 1 << 30
-_built: dict = {}
 
 
 def sample(docs: DataFrame, docs_a_language: int = DOCS, chars: int = CHARS) -> dict[str, str]:
@@ -146,14 +147,6 @@ class Model:
         return total / np.maximum(sizes, 1)[:, None], worth
 
 
-def model(texts: dict[str, str]) -> Model:
-    """The model of these samples, built once in each Python worker."""
-    key = tuple(texts.items())
-    if _built.get("key") != key:
-        _built.update(key=key, model=Model(texts))
-    return _built["model"]
-
-
 def predict(docs: DataFrame, texts: dict[str, str], text: str = "text") -> DataFrame:
     """docs with lang_pred, score and phrases, the phrases a character by language."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "phrases")]
@@ -163,7 +156,7 @@ def predict(docs: DataFrame, texts: dict[str, str], text: str = "text") -> DataF
     bounded(docs.sparkSession)
 
     def run(batches):
-        m = model(texts)
+        m = Model(texts)
         names = np.array([*m.labels, "und"], object)
         for batch in batches:
             whole = pa.Table.from_batches([batch])
