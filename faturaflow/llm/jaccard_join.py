@@ -23,7 +23,8 @@ Verification intersects the full shingle sets (64-bit hashes). Sets are whole.
 Defined cases: words are lower-cased A-Z; null texts and texts without words have no set and
 link with nothing; shorter texts than N words have their whole sequence as one shingle; rows
 that share an id are one document, with the smallest hash of theirs; null ids are dropped from
-linking and stand alone; extra columns are passed through by `dedup`.
+linking and stand alone; extra columns are passed through by `dedup`. `one_of_each` takes every
+row as a document of its own, so none of the rules on ids holds there.
 """
 
 from __future__ import annotations
@@ -370,6 +371,19 @@ def dedup(docs: DataFrame, n: int = N, text: str = "text") -> DataFrame:
     return docs.join(head, docs["doc_id"].cast("long") == F.col("__id"), "left_semi").unionAll(docs.filter("doc_id is null"))
 
 
+def one_of_each(docs: DataFrame, n: int = N, text: str = "text") -> DataFrame:
+    """docs with exactly one row of each class: every row is a document of its own, whether its id is
+    null or repeats, and the row with the smallest id stays, null ids last.
+
+    Rows get keys and are written with them, so that a key names the same row in every pass.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    own = classes(rows.select(F.col("__row").alias("doc_id"), text), n, text).select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row"))).alias("x")
+    head = rows.select("__row", "doc_id").join(own, "__row").groupBy("component_id").agg(first).select("x.__row")
+    return rows.join(head, "__row", "left_semi").select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: the class of every row of `documents`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -84,6 +84,25 @@ def test_jaccard_odd_rows(odd, none):
     assert J.dedup(none).count() == 0
 
 
+def test_one_row_of_each_class_whatever_the_ids(spark, odd, none):
+    """Repeated rows, copies without ids and several texts under one id leave one row each, and its words stay."""
+    import corpus_pipeline
+
+    say = lambda k: " ".join(f"{k}w{i}" for i in range(45))
+    near = say("b").replace("bw44", "other")
+    data = [(5, say("a")), (5, say("a")), (None, say("a")), (None, say("b")), (None, near), (9, say("c")), (9, near), (9, say("d")), (3, say("d")), (None, say("e")), (None, None), (4, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    kind = classes(list(enumerate(t for _, t in data)))
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert got.columns == df.columns and len(kept) == len({c for _, c in kind.values()}) == 7
+    assert set(kept) == {(5, say("a")), (9, near), (9, say("c")), (3, say("d")), (None, say("e")), (None, None), (4, None)}
+    left = corpus_pipeline.repeated_passages(spark, got, "").collect()
+    assert sorted(r.text for r in left) == sorted(t or "" for _, t in kept)
+    assert J.one_of_each(odd).count() == 4 and J.one_of_each(odd).columns == odd.columns
+    assert J.one_of_each(none).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (105, 101), (7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
