@@ -33,8 +33,9 @@ from faturaflow.llm.arrowtext import ragged, slices
 from faturaflow.llm.common import bounded, crc_mod, table
 
 DOCS, CHARS, SEGMENT, LIMIT = 64, 32_768, 256, 4 << 20
-#: Classes: 0 for characters outside the samples, LETTERS of them at most, the last for padding.
-LETTERS = 62
+#: Classes: 0 for characters outside the samples, one for each code point in them, the last for padding.
+#: An automaton with more classes than DENSE holds its transitions by a hash: the same moves in less memory.
+DENSE = 64
 _MISS = 1 << 30
 
 
@@ -55,8 +56,8 @@ def sample(docs: DataFrame, docs_a_language: int = DOCS, chars: int = CHARS) ->
     return dict(sorted(found.items()))
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of codes, -1 where there is none; state 0 is the root."""
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of codes, a dictionary a state; state 0 is the root."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -82,38 +83,89 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    found = np.full((len(step), width), -1, np.int32)
-    for state, moves in enumerate(step):
-        for c, to in moves.items():
-            found[state, c] = to
-    return found
+    return step
+
+
+class Rows:
+    """Transitions with a place for each state and class. walk(state, class): the next state, plus _MISS where a phrase ends."""
+
+    def __init__(self, step: list[dict[int, int]], width: int):
+        self.width = width
+        found = np.full((len(step), width), -1, np.int32)
+        for state, moves in enumerate(step):
+            for c, to in moves.items():
+                found[state, c] = to
+        restart = np.where(found[0] >= 0, found[0], 0)
+        found = np.where(found < 0, restart[None, :] + _MISS, found).astype(np.int32)
+        found[:, -1] = np.arange(len(found))
+        self.table = found.ravel()
+
+    def walk(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return self.table[state * self.width + code]
+
+
+class Hashed:
+    """The same by a hash of state and class, with a place for each transition only: for large alphabets."""
+
+    def __init__(self, step: list[dict[int, int]], width: int):
+        self.width = width
+        moves = [(state * width + c, to) for state, own in enumerate(step) for c, to in own.items()]
+        key, to = np.array([m[0] for m in moves], np.int64), np.array([m[1] for m in moves], np.int32)
+        bits = max(4, int(np.ceil(np.log2(4 * len(moves) + 1))))
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.key, self.to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        left = np.arange(len(key))
+        at = self._home(key)
+        while len(left):  # each turn the first of those that want a free place gets it, the others go one on
+            free = self.key[at] < 0
+            place, first = np.unique(at[free], return_index=True)
+            got = np.flatnonzero(free)[first]
+            self.key[place], self.to[place] = key[left[got]], to[left[got]]
+            rest = np.ones(len(left), bool)
+            rest[got] = False
+            left, at = left[rest], (at[rest] + 1) & self.last
+        self.restart = np.zeros(width, np.int32)
+        for c, state in step[0].items():
+            self.restart[c] = state
+
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def walk(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        key = state * self.width + code
+        at = self._home(key)
+        there = self.key[at]
+        to = np.where(there == key, self.to[at], self.restart[code] + _MISS)
+        open_ = np.flatnonzero((there != key) & (there >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.last
+            there = self.key[at[open_]]
+            hit = there == key[open_]
+            to[open_[hit]] = self.to[at[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return np.where(code == self.width - 1, state, to)
 
 
 class Model:
-    """The automata of all languages in one table, each with its own block of states."""
+    """The automata of all languages, each over the letters of its own sample."""
 
     def __init__(self, texts: dict[str, str]):
         self.labels = list(texts)
         self.letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        own_points = {k: self.letters_of(t) for k, t in texts.items()}
-        every = np.concatenate([*own_points.values(), np.zeros(0, np.uint32)])
-        values, counts = np.unique(every, return_counts=True)
-        common = values[np.argsort(-counts, kind="stable")][:LETTERS]
-        self.width = LETTERS + 2
-        self.code = np.zeros(0x110000, np.uint8)
-        self.code[common] = np.arange(1, len(common) + 1)
-        tables, self.roots, base = [], [], 0
-        for points in own_points.values():
-            own = self.code[points]
-            t = automaton(own.tolist(), self.width)
-            restart = np.where(t[0] >= 0, t[0], 0)
-            miss = t < 0
-            t = np.where(miss, restart[None, :] + base + _MISS, t + base).astype(np.int32)
-            t[:, -1] = np.arange(len(t)) + base
-            tables.append(t)
-            self.roots.append(base)
-            base += len(t)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        own_points = [self.letters_of(t) for t in texts.values()]
+        values = np.unique(np.concatenate([*own_points, np.zeros(0, np.uint32)]))
+        self.pad = len(values) + 1
+        self.code = np.zeros(0x110000, np.uint32)
+        self.code[values] = np.arange(1, self.pad)
+        # Per language: the automaton and the class in it of each class of all.
+        self.automata = []
+        for points in own_points:
+            codes, own = np.unique(self.code[points], return_inverse=True)
+            width = len(codes) + 2
+            kind = np.zeros(self.pad + 1, np.uint32)
+            kind[codes] = np.arange(1, width - 1)
+            kind[self.pad] = width - 1
+            self.automata.append(((Rows if width <= DENSE else Hashed)(automaton((own + 1).tolist()), width), kind))
 
     def letters_of(self, text: str) -> np.ndarray:
         """Code points of the lower-case text with every run of other characters than letters as one blank."""
@@ -134,15 +186,16 @@ class Model:
         start = ragged(np.zeros(len(texts), np.int64), n_seg) * SEGMENT + np.repeat(ends - sizes, n_seg)
         left = np.minimum(SEGMENT, np.repeat(ends, n_seg) - start)
         codes = self.code[flat]
-        grid = np.full((len(start), SEGMENT), self.width - 1, np.uint8)
+        grid = np.full((len(start), SEGMENT), self.pad, np.uint32)
         grid[np.repeat(np.arange(len(start)), left), ragged(np.zeros(len(start), np.int64), left)] = codes
         grid = np.ascontiguousarray(grid.T)
-        state = np.repeat(np.array(self.roots, np.int64)[:, None], len(start), axis=1)
-        count = np.ones(state.shape, np.int32)
-        for row in grid:
-            to = self.table[state * self.width + row]
-            count += to >> 30
-            state = (to & (_MISS - 1)).astype(np.int64)
+        count = np.ones((len(self.labels), len(start)), np.int32)
+        for own, (moves, kind) in zip(count, self.automata, strict=True):
+            state = np.zeros(len(start), np.int64)
+            for row in grid:
+                to = moves.walk(state, kind[row])
+                own += to >> 30
+                state = (to & (_MISS - 1)).astype(np.int64)
         total = np.stack([np.bincount(owner, c, len(texts)) for c in count], 1) if len(self.labels) else np.zeros((len(texts), 0))
         return total / np.maximum(sizes, 1)[:, None], worth
 

@@ -138,3 +138,32 @@ def test_automaton_finds_longest_matches():
         at, phrases = at + n, phrases + 1
     got, worth = m.phrases([probe])
     assert worth[0] and round(got[0][0] * len(probe)) == phrases
+
+
+def parsed(text, probe):
+    """Phrases of a greedy parse: one, and one more at each letter that does not go on with the piece of text so far."""
+    phrases, piece = 1, ""
+    for c in probe:
+        if piece + c in text:
+            piece += c
+        else:
+            phrases, piece = phrases + 1, c if c in text else ""
+    return phrases
+
+
+@pytest.mark.parametrize("dense", [0, 64, 10**6])
+def test_language_tells_all_letters_apart(monkeypatch, dense):
+    """Large alphabets, one beside another: the parse is that of the letters themselves, by rows or by hash."""
+    monkeypatch.setattr(language, "DENSE", dense)
+    r = random.Random(6)
+    alphabets = {"el": [chr(c) for c in range(0x3B1, 0x3C9) if c != 0x3C2], "ru": [chr(c) for c in range(0x430, 0x450)], "zh": [chr(c) for c in range(0x4E00, 0x4F00)], "zz": [chr(c) for c in range(0x5000, 0x5100)]}
+    texts = {}
+    for k, own in alphabets.items():
+        lexicon = ["".join(r.choice(own) for _ in range(3)) for _ in range(150)]
+        texts[k] = " ".join(r.choice(lexicon) for _ in range(600))
+    probes = {k: t[700:760].strip() + " " + t[100:130].strip() + " \u0e01" for k, t in texts.items()}
+    m = language.Model(texts)
+    got, worth = m.phrases(list(probes.values()))
+    assert worth.all() and [m.labels[i] for i in got.argmin(1)] == list(texts)
+    want = [[parsed(t, p) for t in texts.values()] for p in probes.values()]
+    assert np.allclose(got * np.array([len(p) for p in probes.values()])[:, None], want)
