@@ -38,7 +38,7 @@ from faturaflow.llm.arrowtext import Hasher, U, Words, mix, ragged, runs
 from faturaflow.llm.common import crc_mod, table, written
 from faturaflow.llm.substring_dedup import buckets
 
-ORDER, K = 2, 5
+ORDER, K = 3, 5
 _HASH = Hasher(51)
 END, START = U(0x5EED5EED5EED5EED), U(0xFFFFFFFFFFFFFFFF)
 _REPLY = S.ANSWER + ", stats array<long>"

@@ -94,3 +94,16 @@ def test_odd_rows_and_no_training(spark, odd, none):
 
 def test_discounts_fall_back_where_counts_are_missing():
     assert ((katz.discounts([0] * 7)[1:-1] > 0) & (katz.discounts([0] * 7)[1:-1] < 1)).all()
+
+
+def test_query_counts_three_words(spark, tmp_path):
+    """The registered query: each word under the two before it."""
+    texts = {i: f"{'a b c' if i % 2 else 'x b d'} e f{i % 7}" for i in range(80)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in katz.query(spark, str(tmp_path)).collect()}
+    model = Brute([t for i, t in texts.items() if not got[i].held_out], 3)
+    assert len(got) == len(texts) and any(r.held_out for r in got.values())
+    for i, t in texts.items():
+        seq = ["<s>", "<s>", *tokens(t)]
+        want = sum(math.log10(model.p(seq[k - 2 : k], seq[k])) for k in range(2, len(seq)))
+        assert math.isclose(got[i].score, want, rel_tol=1e-9), (i, got[i].score, want)
