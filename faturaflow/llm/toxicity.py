@@ -1,7 +1,8 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under TF-IDF cosine over a vocabulary selected by label.
 
 Terms are words and the beginnings of longer words (PREFIXES bytes), kept where a likelihood
-ratio test ties them to the label in the learning rows, and the COMMON most frequent ones.
+ratio test ties them to the label in the learning rows, and the COMMON most frequent ones. Other
+words weigh nothing: a departure from the cosine over all terms, with figures of both in the README.
 Weights are the root of the count times the inverse document frequency, of unit length. Examples are the learning rows' TF-IDF
 vectors in blocks of BLOCK; for each term an index holds the blocks' largest weights. The sum
 of a query's weights times these bounds the cosine with any example of a block, so blocks are
