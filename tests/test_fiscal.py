@@ -13,27 +13,22 @@ from faturaflow.sinks import payloads
 from faturaflow.sources import documents, pdf
 
 INVOICE = """
-    PREFEITURA DA CIDADE
-    Data de Emissão: 15/12/2024 10:30:00
-    Competência: 12/2024
-
-    PRESTADOR DE SERVIÇOS
-    FIRMA MODELO TECNOLOGIA LTDA
-    CNPJ: 04.252.011/0001-10
-
+    Nota 88 - via do cliente
     TOMADOR DE SERVIÇOS
-    COMPRADORA EXEMPLO S.A.
-    CNPJ: 11.222.333/0001-81
-
+    Padaria Três Irmãos Ltda.
+    CNPJ: 45.723.174/0001-10
+    PRESTADOR DE SERVIÇOS
+    CNPJ: 11.444.777/0001-61
+    OFICINA BOA RODA ME
+    Emissão: 03/02/2023 08:05:00
+    Competência: 01/2023
     DISCRIMINAÇÃO DOS SERVIÇOS
-    Criação de programas sob medida R$ 2.000,00
-    Conselho sobre arquitetura R$ 250,00
-    linha que continua a anterior
-
-    VALOR TOTAL DOS SERVIÇOS: R$ 2.250,00
-    VALOR LÍQUIDO: R$ 2.137,50
+    Troca de óleo do forno R$ 90,00
+    peça usada na troca
+    Revisão da van de entregas R$ 1.315,40
+    TOTAL GERAL: R$ 1.405,40
 """
-KEY = "35240804252011000110550010000001231000001230"
+KEY = "35240811444777000161550010000001231000001233"
 
 
 def one(spark, value, f, kind="string"):
@@ -47,7 +42,7 @@ def invoice(spark):
 
 @pytest.mark.parametrize(
     ("given", "sure", "word"),
-    [("123", 100, "14 dígitos"), ("", 100, "recebido 0"), (None, 100, "recebido 0"), ("11.111.111/1111-11", 100, "repetidos"), ("04.252.011/0001-11", 99, "verificador 2"), ("04.252.011/0001-20", 99, "verificador 1")],
+    [("123", 100, "14 dígitos"), ("", 100, "recebido 0"), (None, 100, "recebido 0"), ("11.111.111/1111-11", 100, "repetidos"), ("11.444.777/0001-62", 99, "verificador 2"), ("11.444.777/0001-71", 99, "verificador 1")],
 )
 def test_bad_cnpj(spark, given, sure, word):
     r = one(spark, given, V.cnpj)
@@ -55,8 +50,8 @@ def test_bad_cnpj(spark, given, sure, word):
 
 
 def test_good_cnpj(spark):
-    r = one(spark, "04252011000110", V.cnpj)
-    assert (r.valido, r.cnpj_formatado, r.tipo, r.confianca) == (True, "04.252.011/0001-10", "matriz", 95)
+    r = one(spark, "11444777000161", V.cnpj)
+    assert (r.valido, r.cnpj_formatado, r.tipo, r.confianca) == (True, "11.444.777/0001-61", "matriz", 95)
 
 
 @pytest.mark.parametrize(
@@ -139,11 +134,11 @@ def test_names(spark, given, name):
 
 def test_invoice_fields(invoice):
     i = invoice.invoice
-    assert (i.emission_date, i.competence_date, i.chave_acesso) == ("15/12/2024 10:30:00", "12/2024", None)
-    assert tuple(i.issuer) == ("FIRMA MODELO TECNOLOGIA LTDA", "04.252.011/0001-10")
-    assert tuple(i.recipient) == ("COMPRADORA EXEMPLO S.A", "11.222.333/0001-81")
-    assert [(x.description, x.unit_value) for x in i["items"]] == [("Criação de programas sob medida 2", "000,00"), ("Conselho sobre arquitetura", "250,00"), ("linha que continua a anterior", None)]
-    assert i.financials.total == "R$ 2.137,50"
+    assert (i.emission_date, i.competence_date, i.chave_acesso) == ("03/02/2023 08:05:00", "01/2023", None)
+    assert tuple(i.issuer) == ("OFICINA BOA RODA ME", "11.444.777/0001-61")
+    assert tuple(i.recipient) == ("PADARIA TRÊS IRMÃOS LTDA", "45.723.174/0001-10")
+    assert [(x.description, x.unit_value) for x in i["items"]] == [("Troca de óleo do forno", "90,00"), ("peça usada na troca", None), ("Revisão da van de entregas 1", "315,40")]
+    assert i.financials.total == "R$ 1.405,40"
     assert (invoice.status, invoice.trust_score, invoice.validation_issues) == ("success", 1.0, [])
 
 
@@ -155,7 +150,7 @@ def test_incomplete_invoice(spark):
 
 
 def test_every_rule_and_score(spark):
-    rows = [("04.252.011/0001-10", "x", "R$ 1,00", None), ("1", "x", "R$ 1,00", None), ("04.252.011/0001-10", None, "R$ 1,00", None), ("04.252.011/0001-10", "x", "R$ 1,234", "123"), ("04.252.011/0001-10", "x", None, None), (None, None, None, None)]
+    rows = [("11.444.777/0001-61", "x", "R$ 1,00", None), ("1", "x", "R$ 1,00", None), ("11.444.777/0001-61", None, "R$ 1,00", None), ("11.444.777/0001-61", "x", "R$ 1,234", "123"), ("11.444.777/0001-61", "x", None, None), (None, None, None, None)]
     df = spark.createDataFrame(rows, "a string, b string, c string, d string").select(trust.issues(*map(F.col, "abcd")).alias("i"))
     got = df.select(F.transform("i", lambda x: x["code"]).alias("codes"), F.round(trust.score(F.col("i")), 2).alias("s"), trust.status(F.col("i"), trust.score(F.col("i"))).alias("t")).collect()
     assert [(r.codes, r.s, r.t) for r in got] == [
@@ -183,7 +178,7 @@ def test_pdf_pipeline_and_failures(spark, tmp_path):
     found = documents.dispatch(documents.pdf_files(spark, str(tmp_path)), memory)
     results = pipeline.process(found).cache()
     good = results.filter("status = 'success'").collect()
-    assert len(good) == 2 and all(r.payload.issuer.cnpj_cpf == "04.252.011/0001-10" for r in good)
+    assert len(good) == 2 and all(r.payload.issuer.cnpj_cpf == "11.444.777/0001-61" for r in good)
     assert all([e.stage for e in r.events] == list(audit.STAGES) and r.raw_metadata.page_count == 1 for r in good)
     (bad,) = results.filter("status = 'error'").collect()
     assert bad.payload is None and bad.trust_score == 0 and bad.raw_metadata is None
@@ -205,8 +200,8 @@ def test_plan_needs_no_shuffle(spark):
 def test_payload_forms(spark, invoice):
     df = spark.createDataFrame([(INVOICE,)], "text string").select(extract.invoice(normalize.normalize_text(F.col("text"))).alias("i"))
     r = df.select(payloads.to_json(F.col("i")).alias("j"), payloads.from_json(payloads.to_json(F.col("i"))).alias("b"), payloads.erp(F.col("i")).alias("e"), payloads.analytics(F.col("i")).alias("a"), "i").first()
-    assert r.b == r.i and json.loads(r.j)["issuer"]["cnpj_cpf"] == "04.252.011/0001-10"
-    assert r.e.document_type == "NFS-e" and len(r.e.line_items) == 3 and r.e.supplier.tax_id == "04.252.011/0001-10"
+    assert r.b == r.i and json.loads(r.j)["issuer"]["cnpj_cpf"] == "11.444.777/0001-61"
+    assert r.e.document_type == "NFS-e" and len(r.e.line_items) == 3 and r.e.supplier.tax_id == "11.444.777/0001-61"
     assert (r.a.items_count, r.a.has_key, r.a.event_type) == (3, False, "invoice_processed")
 
 
