@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,17 +12,26 @@ from faturaflow.llm.arrowtext import slices
 from faturaflow.llm.common import bounded
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int) -> list[tuple[int, str, int]]:
-    """(doc_id, text, label) of at most `bound` labelled documents, those with the smallest hashes of the id.
+#: Bytes of the texts that one fit may learn from.
+BYTES = 64 << 20
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int, most: int = BYTES) -> list[tuple]:
+    """(doc_id, text, label) of at most `bound` labelled documents and about `most` bytes, those with the smallest hashes of the id.
 
     `learn` tells from labels.doc_id which rows may be learnt from. Labels that are null, and
-    ids with two different labels, are left out; a null text counts as the empty one.
+    ids with two different labels, are left out; a null text counts as the empty one; of rows
+    that repeat an id the smallest text counts. Rows are reduced to one an id, and the bytes
+    summed up, before anything reaches the driver: the first text is taken whatever its size.
     """
     own = labels.filter(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     own = own.groupBy("doc_id").agg(F.min(label).alias("__y"), F.max(label).alias("__z")).filter("__y = __z")
-    first = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select("doc_id", "__y")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(first), "doc_id").collect()
-    return sorted({r["doc_id"]: (r["doc_id"], r["text"], int(r["__y"])) for r in sorted(rows, key=lambda r: r["text"])}.values())
+    first = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select("doc_id", F.col("__y").cast("int").alias("__y"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__t")).join(F.broadcast(first), "doc_id")
+    rows = rows.groupBy("doc_id", "__y").agg(F.min("__t").alias("__t"))
+    before = W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, -1)  # over `bound` rows at most
+    rows = rows.withColumn("__b", F.coalesce(F.sum(F.octet_length("__t")).over(before), F.lit(0))).filter(F.col("__b") < most)
+    return sorted((r["doc_id"], r["__t"], r["__y"]) for r in rows.select("doc_id", "__t", "__y").collect())
 
 
 def scored(docs: DataFrame, text: str, fields: list[T.StructField], score, limit: int) -> DataFrame:

@@ -1,23 +1,29 @@
-"""Toxicity by the nearest labelled examples under TF-IDF cosine over a vocabulary selected by label.
-
-Terms are words and the beginnings of longer words (PREFIXES bytes), kept where a likelihood
-ratio test ties them to the label in the learning rows, and the COMMON most frequent ones. Other
-words weigh nothing: a departure from the cosine over all terms, with figures of both in the README.
-Weights are the root of the count times the inverse document frequency, of unit length. Examples are the learning rows' TF-IDF
-vectors in blocks of BLOCK; for each term an index holds the blocks' largest weights. The sum
-of a query's weights times these bounds the cosine with any example of a block, so blocks are
-opened in descending order of their bound until it falls below the query's K-th cosine: the K
-neighbours are exact. They vote by distance, and isotonic regression on the votes of the
-learning rows, each without itself, maps the vote to a score. The neighbours are the evidence.
-
-Learning takes at most BOUND labelled rows, those with the smallest hashes of the id; texts
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found by a block-max inverted index.
+
+Terms are words, lower-cased A-Z, without the marks at either end. All terms of the learning rows
+are in the index, none is chosen by label or frequency. A weight is the root of a term's count times
+1 + ln((documents + 1) / (document frequency + 1)), with frequencies counted over all documents; vectors
+have unit length. Examples are the learning rows' distinct texts, in blocks of BLOCK, alike ones side by side. The
+index holds a term's postings, ordered by example, and the largest weight of each block that has
+the term. The sum of a query's weights times these bounds its cosine with any example of a
+block: blocks are opened in descending order of their bound until it falls below the query's K-th cosine,
+so the K neighbours are exact.
+
+A text asks the index twice: as a whole, and by each of its words, whose K nearest examples are those in which the
+word weighs most. Neighbours vote by distance. In long texts the words that no example shares
+outweigh an insult, and the vote of a single word does not suffer from that. A logistic combination of the whole
+vote and the strongest word votes, made calibrated by isotonic regression, is the score; both are fitted on
+the learning rows' votes, each without itself. The neighbours and the words are the evidence.
+
+Learning takes at most BOUND labelled rows and BYTES bytes, those with the smallest hashes of the id; texts
 are scored whole, in slices of LIMIT bytes. Labels, lang, source and doc_id are no inputs.
 
-Defined cases: a null text is the empty text; a text without any term has no neighbour and
-gets the share of toxic rows among such learning rows; without labelled rows, or with one
-class only, every score is the smoothed share; ties between neighbours go to the example
-that comes first; extra columns are passed through, and input columns named score or evidence
-are replaced; repeated rows get equal scores.
+Defined cases: a null text is the empty text; a text without a known term has no neighbour, the share of toxic rows
+as its whole vote and no word votes; terms of no learning row are outside the vector space; without
+labelled rows, or with one class only, every score is the smoothed share; equal learning texts are one
+example, with the mean of their labels; ties between neighbours go to the smaller id; very long texts
+are slices of their own; ids have any type; extra columns are passed through, and input columns named score,
+evidence or words are replaced; repeated rows get equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,68 +33,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from faturaflow.llm.arrowtext import Hasher, Words, ragged, runs, slices
-from faturaflow.llm.classify_common import labelled, scored
-from faturaflow.llm.common import crc_mod, table
-
-BOUND, TERMS, K, BLOCK, LIMIT = 6000, 4096, 15, 64, 4 << 20
-PREFIXES = (4, 5, 6, 7, 8, 10)
-#: Least likelihood ratio of a term with the label.
-LEAST_G2 = 15.0
-#: Terms kept for their frequency alone.
-COMMON = 32
+from faturaflow.llm.classify_common import BYTES, labelled, scored
+from faturaflow.llm.common import bounded, crc_mod, table
+
+BOUND, K, BLOCK, LIMIT = 6000, 15, 64, 4 << 20
+#: Word votes that count, and the weight of the prior in each, in neighbours.
+TOP, PRIOR = 4, 3.0
+#: Terms of queries that are worked on at a time, and blocks opened before the K-th cosine is looked at.
+TERMS_AT_ONCE, FIRST_BLOCKS = 16_384, 16
 _HASH = Hasher(41)
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?()'\"-*$%&#|"]] = True
 
 
-def occurrences(column, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, term hash or its place in `known`, count), sorted by text and term."""
+def occurrences(column, known: np.ndarray | None = None):
+    """(text number, term, count, from, to) sorted by text and term; from:to shows the term in the bytes of the texts, which come last.
+
+    A term is its hash, or its place in the sorted hashes `known`, others left out.
+    """
     words = Words(column, lower=True)
+    starts, ends, data = words.starts, words.ends, words.data
+    # The first and last byte of each word that is no mark; words of marks only stay as they are.
+    at = np.arange(len(data))
+    good = ~_MARK[data]
+    last = np.maximum.accumulate(np.where(good, at, -1)) if len(data) else at
+    following = np.minimum.accumulate(np.where(good, at, len(data))[::-1])[::-1] if len(data) else at
+    if len(starts):
+        bare = last[ends - 1] < starts
+        starts, ends = np.where(bare, starts, following[starts]), np.where(bare, ends, last[ends - 1] + 1)
     owner = np.repeat(np.arange(len(words.offsets) - 1), words.count)
-    h = words.hashes(_HASH)
-    distinct, first, place = np.unique(h, return_index=True, return_inverse=True)
-    order = np.argsort(first)  # by place in the data
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    first, place = first[order], back[place]
-    starts, ends = words.starts[first], words.ends[first]
-    # Marks at a word's end are no part of it.
-    for _ in range(3):
-        last = words.data[np.maximum(ends - 1, starts)] if len(ends) else np.zeros(0, np.uint8)
-        ends = np.where((ends - starts > 1) & (_PUNCT[last]), ends - 1, ends)
-    parts = [(np.arange(len(distinct)), _HASH.ranges(words.data, starts, ends))]
-    for k in PREFIXES:
-        longer = np.flatnonzero(ends - starts > k)
-        parts.append((longer, _HASH.ranges(words.data, starts[longer], starts[longer] + k) ^ np.uint64(k)))
-    word, term = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    term = _HASH.ranges(data, starts, ends)
     if known is not None:
-        at = np.minimum(np.searchsorted(known, term), max(len(known) - 1, 0))
-        ok = known[at] == term if len(known) else np.zeros(len(term), bool)
-        word, term = word[ok], at[ok].astype(np.int64)
-    order = np.argsort(word, kind="stable")
-    word, term = word[order], term[order]
-    many = np.bincount(word, minlength=len(distinct))
-    begin = np.cumsum(many) - many
-    each = many[place]
-    doc, term = np.repeat(owner, each), term[ragged(begin[place], each)]
-    order = np.lexsort((term, doc))
-    doc, term = doc[order], term[order]
-    if not len(doc):
-        return doc, term, np.zeros(0, np.int64)
-    new = np.concatenate([[0], np.flatnonzero((doc[1:] != doc[:-1]) | (term[1:] != term[:-1])) + 1])
-    return doc[new], term[new], np.diff(np.append(new, len(doc)))
-
-
-_PUNCT = np.zeros(256, bool)
-_PUNCT[[ord(c) for c in ".,;:!?()'\"-*$%&#|"]] = True
-
-
-def _g2(a, b, n1, n0):
-    """Likelihood ratio of a term in a of n1 and b of n0 rows."""
-    total = n1 + n0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        parts = [np.where(o > 0, o * np.log(o * total / (r * k)), 0) for o, r, k in ((a, n1, a + b), (b, n0, a + b), (n1 - a, n1, total - a - b), (n0 - b, n0, total - a - b))]
-    return 2 * sum(parts)
+        place = np.minimum(np.searchsorted(known, term), max(len(known) - 1, 0))
+        ok = known[place] == term if len(known) else np.zeros(len(term), bool)
+        owner, term, starts, ends = owner[ok], place[ok].astype(np.int64), starts[ok], ends[ok]
+    order = np.lexsort((term, owner))
+    owner, term = owner[order], term[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(owner)), bool), (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])]))
+    return owner[new], term[new], np.diff(np.append(new, len(owner))), starts[order[new]], ends[order[new]], data
+
+
+def frequencies(docs: DataFrame, terms: np.ndarray, text: str = "text") -> tuple[int, np.ndarray]:
+    """The number of documents, and how many of them hold each of the terms, counted over all rows."""
+    bounded(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches):
+        known, n, total = shared.value, 0, None
+        for t in slices(batches, text, LIMIT):
+            found = np.bincount(occurrences(t[text], known)[1], minlength=len(known))
+            total = found if total is None else total + found
+            n += t.num_rows
+        if total is not None:
+            at = np.flatnonzero(total)
+            # The last term stands for the documents themselves.
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, len(known)).astype(np.int32)), pa.array(np.append(total[at], n).astype(np.int64))], ["term", "n"])
+
+    rows = docs.select(text).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(terms) + 1, np.int64)
+    df[rows["term"].to_numpy()] = rows["n"].to_numpy()
+    shared.destroy()
+    return int(df[-1]), df[:-1]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,159 +117,230 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.maximum.accumulate(share)
 
 
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
+    """Weights, the constant first, of a logistic regression by Newton's steps."""
+    x = np.column_stack([np.ones(len(x)), x])
+    w, keep = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+    keep[0, 0] = 1e-6
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w = w - np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + keep, x.T @ (p - y) + keep @ w)
+    return w
+
+
 class Neighbours:
-    """The examples, their block-max index and the calibration."""
+    """The examples, their inverted index with block maxima, and the calibration.
+
+    rows are (id, text, label); count(terms) tells the number of documents and the terms' document frequencies,
+    by default those of the rows themselves.
+    """
 
-    def __init__(self, rows: list[tuple[int, str, int]]):
-        self.ids = np.array([r[0] for r in rows], np.int64)
+    def __init__(self, rows: list[tuple], count=None):
         y = np.array([r[2] for r in rows], float)
-        texts = pa.table({"text": pa.array([r[1] for r in rows], pa.string())})
-        del rows
-        self.prior = (y.sum() + 0.5) / (len(y) + 1)
-        self.terms = np.zeros(0, np.uint64)
-        self.at = None
+        self.prior, self.at = (y.sum() + 0.5) / (len(y) + 1), None
         if len(y) and y.min() != y.max():
-            self._learn(texts, y)
-
-    def _learn(self, texts: pa.Table, y: np.ndarray) -> None:
-        n1, n0, done = y.sum(), len(y) - y.sum(), 0
-        keys, ones, noes = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-        for t in slices([texts], limit=1 << 20):
-            doc, term, _ = occurrences(t["text"])
-            own = y[done + doc]
-            done += t.num_rows
-            both = np.concatenate([keys, term])
-            keys, place = np.unique(both, return_inverse=True)
-            ones = np.bincount(place, np.concatenate([ones, own]), len(keys))
-            noes = np.bincount(place, np.concatenate([noes, 1 - own]), len(keys))
-        g = np.where(ones + noes >= 4, _g2(ones, noes, n1, n0), 0)
-        # The most common terms make a vector's length tell how dense the others are.
-        g[np.argsort(-(ones + noes), kind="stable")[:COMMON]] = np.inf
-        best = np.argsort(-g, kind="stable")[:TERMS]
-        best = np.sort(best[g[best] >= LEAST_G2])
-        self.terms = keys[best]
-        self.idf = 1 + np.log((len(y) + 1) / (ones + noes + 1))[best]
+            one: dict[str, list] = {}
+            for i, text, label in rows:
+                one.setdefault(text, [i, []])[1].append(label)
+            self.ids = [i for i, _ in one.values()]
+            self.y = np.array([np.mean(labels) for _, labels in one.values()])
+            self._index(pa.table({"text": pa.array(list(one), pa.string())}), count)
+            self._calibrate()
+
+    def _index(self, texts: pa.Table, count) -> None:
         parts, done = [], 0
         for t in slices([texts], limit=1 << 20):
-            doc, term, w = self.vectors(t["text"])
-            parts.append((doc + done, term, w))
+            doc, term, n, *_ = occurrences(t["text"])
+            parts.append((doc + done, term, n))
             done += t.num_rows
-        doc, term, w = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        used = np.unique(doc)
-        empty = np.setdiff1d(np.arange(len(y)), used)
-        self.bare = (y[empty].sum() + 0.5 * self.prior) / (len(empty) + 0.5)
-        # Examples with the same strongest term are neighbours in the index: tighter bounds.
-        strongest = np.zeros(len(y), np.int64)
-        by = np.lexsort((w, doc))
-        strongest[doc[by]] = term[by]
-        used = used[np.lexsort((used, strongest[used], y[used]))]
-        place = np.full(len(y), -1)
-        place[used] = np.arange(len(used))
-        self.y, self.ids = y[used], self.ids[used]
-        self.n_blocks = -(-len(used) // BLOCK)
-        full = np.zeros((len(self.terms), self.n_blocks * BLOCK), np.float32)
-        full[term, place[doc]] = w
-        self.blocks = np.ascontiguousarray(full.reshape(len(self.terms), self.n_blocks, BLOCK).transpose(1, 0, 2))
-        self.most = self.blocks.max(2).T.copy()
-        order = np.argsort(place[doc], kind="stable")
-        votes, _, _ = self.vote(place[doc][order], term[order], w[order], len(used), skip_self=True)
-        self.at, self.share = isotonic(votes, self.y)
-
-    def vectors(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        doc, term, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        self.terms, term = np.unique(term, return_inverse=True)
+        here = np.bincount(term, minlength=len(self.terms))
+        size, df = count(self.terms) if count else (done, here)
+        self.idf = 1 + np.log((size + 1) / (df + 1))
+        self.own = doc, term, self._weights(doc, term, n)
+        # Examples that hold the same frequent terms lie side by side: their blocks have tighter bounds.
+        often = np.argsort(-here, kind="stable")[:24]
+        held = np.zeros((24, len(self.y)), bool)
+        for k, t in enumerate(often.tolist()):
+            held[k, doc[term == t]] = True
+        place = np.empty(len(self.y), np.int64)
+        place[np.lexsort(held[::-1])] = np.arange(len(self.y))
+        self.example = np.argsort(place)
+        self.n_blocks = -(-len(self.y) // BLOCK)
+        at = place[doc]
+        order = np.lexsort((at, term))
+        self.post, self.weight, owner = at[order], self.own[2][order], term[order]
+        code = owner * self.n_blocks + self.post // BLOCK
+        self.begin = runs(code)
+        self.block = code[self.begin] % self.n_blocks
+        self.most = np.maximum.reduceat(self.weight, self.begin) if len(code) else np.zeros(0)
+        self.of_term = np.searchsorted(code[self.begin] // self.n_blocks, np.arange(len(self.terms) + 1))
+        self.begin = np.append(self.begin, len(code))
+        # The K + 1 examples in which each word weighs most.
+        first = self.example[self.post]
+        order = np.lexsort((first, -self.weight, owner))
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        top = rank <= K
+        self.best = np.full((len(self.terms), K + 1), -1, np.int32)
+        self.best_weight = np.zeros((len(self.terms), K + 1))
+        self.best[owner[top], rank[top]] = first[order][top]
+        self.best_weight[owner[top], rank[top]] = self.weight[order][top]
+        self.word_vote = self._word_votes(np.arange(len(self.terms)), None)
+
+    def _weights(self, doc, term, n) -> np.ndarray:
+        w = np.sqrt(n) * self.idf[term]
+        return w / np.sqrt(np.bincount(doc, w * w, doc.max(initial=-1) + 1))[doc]
+
+    def vectors(self, column):
         """Unit TF-IDF vectors: (text number, term, weight)."""
-        doc, term, count = occurrences(column, self.terms)
-        w = np.sqrt(count) * self.idf[term]
-        norm = np.sqrt(np.bincount(doc, w * w, doc.max(initial=-1) + 1))
-        return doc, term, (w / norm[doc]).astype(np.float32)
-
-    def nearest(self, doc, term, w, n: int, skip_self: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """The K nearest examples of each of n texts, sorted by text: places (-1: none) and cosines."""
-        k = K + skip_self
-        who, sim = np.full((n, k), -1), np.zeros((n, k), np.float32)
-        begins = np.searchsorted(doc, np.arange(n + 1))
-        for lo in range(0, n, 2048):
-            hi = min(n, lo + 2048)
-            a, b = begins[lo], begins[hi]
-            local = doc[a:b] - lo
-            bound = np.zeros((hi - lo, self.n_blocks), np.float32)
-            cuts = runs(local)
-            if not len(cuts):
-                continue
-            for c in range(0, len(cuts), 256):  # a few rows at once bound the memory
-                e = cuts[c + 256] if c + 256 < len(cuts) else b - a
-                f = cuts[c]
-                bound[local[cuts[c : c + 256]]] = np.add.reduceat(self.most[term[a:b][f:e]] * w[a:b][f:e, None], cuts[c : c + 256] - f, axis=0)
-            order = np.argsort(-bound, axis=1, kind="stable")
-            active = np.unique(local)
-            for step in range(self.n_blocks):
-                block = order[active, step]
-                # A block whose bound does not exceed the K-th cosine can add nothing.
-                go = bound[active, block] > np.maximum(sim[lo + active, -1], 1e-9) - 1e-6
-                go &= bound[active, block] > 0
-                active, block = active[go], block[go]
-                if not len(active):
-                    break
-                for x in np.unique(block):
-                    rows = active[block == x]
-                    self._open(int(x), rows + lo, begins, term, w, who, sim, skip_self)
+        doc, term, n, *_ = occurrences(column, self.terms)
+        return doc, term, self._weights(doc, term, n)
+
+    def _word_votes(self, term, without) -> np.ndarray:
+        """The vote of each term's K nearest examples, in the second case without one example each; -1 for none."""
+        votes = np.empty(len(term))
+        for a in range(0, len(term), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            who, w = self.best[term[part]], self.best_weight[term[part]].copy()
+            w[who < 0] = 0
+            if without is None:
+                w[:, K] = 0
+            else:
+                same = who == without[part][:, None]
+                w[same] = 0
+                w[~same.any(1), K] = 0
+            top = w.max(1, initial=0)
+            w /= np.where(top > 0, top, 1)[:, None]
+            votes[part] = np.where(top > 0, ((w * self.y[who]).sum(1) + PRIOR * self.prior) / (w.sum(1) + PRIOR), -1)
+        return votes
+
+    def _calibrate(self) -> None:
+        doc, term, w = self.own
+        del self.own
+        who, sim = self.nearest(doc, term, w, len(self.y), itself=np.arange(len(self.y)))
+        x = self._features(self.votes(who, sim), doc, self._word_votes(term, doc))[0]
+        self.logistic = logistic(x, self.y)
+        self.at, self.share = isotonic(self._margin(x), self.y)
+
+    def _margin(self, x):
+        return self.logistic[0] + x @ self.logistic[1:]
+
+    def _features(self, whole, doc, votes):
+        """Log-odds of the whole vote, and of the means of the 1, 2 and TOP strongest word votes; which entries those are, by text."""
+        n, held = len(whole), np.flatnonzero(votes >= 0)
+        order = held[np.lexsort((-votes[held], doc[held]))]
+        rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
+        order, rank = order[rank < TOP], rank[rank < TOP]
+        top = np.zeros((n, TOP))
+        top[doc[order], rank] = votes[order]
+        p = np.column_stack([whole, top[:, 0], top[:, :2].mean(1), top.mean(1)])
+        return np.log((p + 0.01) / (1.01 - p)), order
+
+    def nearest(self, doc, term, w, n: int, itself=None) -> tuple[np.ndarray, np.ndarray]:
+        """The K nearest examples of each of n texts, sorted by text: numbers of examples (-1: none) and cosines; `itself` leaves one out for each text."""
+        who, sim = np.full((n, K), -1), np.zeros((n, K))
+        cuts = np.searchsorted(doc, np.arange(n + 1))
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, min(int(np.searchsorted(cuts, cuts[lo] + TERMS_AT_ONCE, "right")) - 1, lo + 256))
+            if cuts[hi] > cuts[lo]:
+                part = slice(cuts[lo], cuts[hi])
+                self._some(doc[part] - lo, term[part], w[part], who[lo:hi], sim[lo:hi], None if itself is None else itself[lo:hi])
+            lo = hi
         return who, sim
 
-    def _open(self, block: int, rows, begins, term, w, who, sim, skip_self: bool) -> None:
-        k = who.shape[1]
-        for c in range(0, len(rows), 512):
-            part = rows[c : c + 512]
-            counts = begins[part + 1] - begins[part]
-            at = ragged(begins[part], counts)
-            cos = np.add.reduceat(self.blocks[block][term[at]] * w[at][:, None], np.cumsum(counts) - counts, axis=0)
-            place = np.broadcast_to(np.arange(BLOCK) + block * BLOCK, cos.shape)
-            cos = np.where((place < len(self.y)) & (cos > 0), cos, -1)
-            if skip_self:
-                cos = np.where(place == part[:, None], -1, cos)
-            all_who, all_sim = np.concatenate([who[part], place], 1), np.concatenate([np.where(who[part] >= 0, sim[part], -1), cos], 1)
-            order = np.lexsort((all_who, -all_sim), axis=1)[:, :k]
-            best = np.take_along_axis(all_sim, order, 1)
-            who[part] = np.where(best > 0, np.take_along_axis(all_who, order, 1), -1)
-            sim[part] = np.maximum(best, 0)
-
-    def vote(self, doc, term, w, n: int, skip_self: bool = False):
-        who, sim = self.nearest(doc, term, w, n, skip_self)
-        who, sim = who[:, :K], sim[:, :K]
-        weight = np.where(who >= 0, sim.astype(float) ** 2, 0)
+    def _some(self, doc, term, w, who, sim, itself) -> None:
+        n, each = len(who), self.of_term[term + 1] - self.of_term[term]
+        entry = ragged(self.of_term[term], each)  # the blocks of all terms of all texts
+        owner, weight, block = np.repeat(doc, each), np.repeat(w, each), self.block[entry]
+        bound = np.bincount(owner * self.n_blocks + block, weight * self.most[entry], n * self.n_blocks).reshape(n, self.n_blocks)
+        cos = np.zeros((n, self.n_blocks * BLOCK))
+        rank = np.empty(bound.shape, np.int64)  # of each block among its text's, by bound
+        np.put_along_axis(rank, np.argsort(-bound, axis=1, kind="stable"), np.arange(self.n_blocks)[None, :], axis=1)
+        kth, done, upto = np.zeros(n), np.zeros(bound.shape, bool), FIRST_BLOCKS
+        while True:
+            # A block whose bound is below the K-th cosine can add nothing.
+            go = ~done & (bound > 0) & (rank < upto) & (bound >= kth[:, None] - 1e-9)
+            if go.any():
+                self._open(cos, entry, owner, weight, go[owner, block])
+                done |= go
+                if itself is not None:
+                    cos[np.arange(n), np.argsort(self.example)[itself]] = 0
+                if cos.shape[1] > K:
+                    kth = np.partition(cos, cos.shape[1] - K, axis=1)[:, -K]
+            if upto >= self.n_blocks:
+                break
+            upto *= 2
+        a, b = np.nonzero((cos >= kth[:, None]) & (cos > 0))
+        value, example = cos[a, b], self.example[b]
+        order = np.lexsort((example, -value, a))
+        a, place = a[order], np.arange(len(a)) - np.searchsorted(a, a)
+        keep = place < K
+        who[a[keep], place[keep]], sim[a[keep], place[keep]] = example[order][keep], value[order][keep]
+
+    def _open(self, cos, entry, owner, weight, chosen) -> None:
+        """Adds the products of the chosen blocks' postings to the cosines."""
+        entry, owner, weight = entry[chosen], owner[chosen], weight[chosen]
+        size = self.begin[entry + 1] - self.begin[entry]
+        ends = np.cumsum(size)
+        lo = 0
+        while lo < len(entry):
+            done = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + (1 << 21), "right")))
+            at = ragged(self.begin[entry[lo:hi]], size[lo:hi])
+            index = np.repeat(owner[lo:hi], size[lo:hi]) * cos.shape[1] + self.post[at]
+            cos += np.bincount(index, self.weight[at] * np.repeat(weight[lo:hi], size[lo:hi]), cos.size).reshape(cos.shape)
+            lo = hi
+
+    def votes(self, who, sim) -> np.ndarray:
+        """Distance-weighted share of toxic neighbours; the prior without any."""
+        weight = np.where(who >= 0, sim**2, 0)
         total = weight.sum(1)
-        raw = (weight * self.y[np.maximum(who, 0)]).sum(1) / np.maximum(total, 1e-12)
-        return np.where(total > 0, raw, self.bare), who, sim
+        return np.where(total > 0, (weight * self.y[np.maximum(who, 0)]).sum(1) / np.maximum(total, 1e-300), self.prior)
 
-    def score(self, column) -> list:
+    def score(self, column, id_type: pa.DataType) -> list:
+        """The columns score, evidence and words of a slice of texts."""
         n = len(column)
+        evidence, words = _types(id_type)
         if self.at is None:
-            return [pa.array(np.full(n, self.prior)), pa.array([[]] * n, _EVIDENCE)]
-        votes, who, sim = self.vote(*self.vectors(column), n)
-        score = np.where((who >= 0).any(1), np.interp(votes, self.at, self.share), self.bare)
+            return [pa.array(np.full(n, self.prior)), pa.array([[]] * n, evidence), pa.array([[]] * n, words)]
+        doc, term, count, starts, ends, data = occurrences(column, self.terms)
+        who, sim = self.nearest(doc, term, self._weights(doc, term, count), n)
+        x, top = self._features(self.votes(who, sim), doc, self.word_vote[term])
+        score = np.interp(self._margin(x), self.at, self.share)
         ok = who >= 0
-        offsets = np.concatenate([[0], np.cumsum(ok.sum(1))]).astype(np.int32)
         flat = who[ok]
-        found = pa.StructArray.from_arrays([pa.array(self.ids[flat]), pa.array(self.y[flat].astype(np.int32)), pa.array(sim[ok].astype(float))], ["doc_id", "label", "cosine"])
-        return [pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), found)]
+        found = pa.StructArray.from_arrays([pa.array([self.ids[i] for i in flat.tolist()], id_type), pa.array(self.y[flat]), pa.array(sim[ok])], ["doc_id", "label", "cosine"])
+        shown = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[top].tolist(), ends[top].tolist(), strict=True)]
+        voted = pa.StructArray.from_arrays([pa.array(shown, pa.string()), pa.array(self.word_vote[term[top]])], ["word", "vote"])
+        cut = lambda many: pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32))
+        return [pa.array(score), pa.ListArray.from_arrays(cut(ok.sum(1)), found), pa.ListArray.from_arrays(cut(np.bincount(doc[top], minlength=n)), voted)]
 
 
-_EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-_EVIDENCE_TYPE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
+def _types(id_type: pa.DataType) -> tuple[pa.DataType, pa.DataType]:
+    return pa.list_(pa.struct([("doc_id", id_type), ("label", pa.float64()), ("cosine", pa.float64())])), pa.list_(pa.struct([("word", pa.string()), ("vote", pa.float64())]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, bound: int = BOUND) -> Neighbours:
-    """The neighbours learnt from at most `bound` rows of labels for which `learn` holds."""
-    return Neighbours(labelled(docs, labels, "toxic", learn, bound))
+def fit(docs: DataFrame, labels: DataFrame, learn, bound: int = BOUND, most: int = BYTES) -> Neighbours:
+    """The neighbours learnt from at most `bound` rows of labels for which `learn` holds; term statistics are those of all docs."""
+    return Neighbours(labelled(docs, labels, "toxic", learn, bound, most), lambda terms: frequencies(docs, terms))
 
 
 def score(docs: DataFrame, model: Neighbours, text: str = "text") -> DataFrame:
-    """docs with score, the probability of toxicity, and evidence, the neighbours that voted."""
+    """docs with score, the probability of toxicity, evidence, the neighbours that voted, and words, those with the strongest votes."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [T.StructField("score", T.DoubleType()), T.StructField("evidence", _EVIDENCE_TYPE)]
-    return scored(docs, text, fields, lambda column: shared.value.score(column), LIMIT)
+    kind = docs.schema["doc_id"].dataType
+    id_type, double = to_arrow_type(kind), T.DoubleType()
+    evidence = T.StructType([T.StructField("doc_id", kind), T.StructField("label", double), T.StructField("cosine", double)])
+    word = T.StructType([T.StructField("word", T.StringType()), T.StructField("vote", double)])
+    fields = [T.StructField("score", double), T.StructField("evidence", T.ArrayType(evidence)), T.StructField("words", T.ArrayType(word))]
+    return scored(docs, text, fields, lambda column: shared.value.score(column, id_type), LIMIT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op7: every row of `documents` scored by examples that hold out a third of the ids."""
+    """op7: every row of `documents` scored by examples that hold out a third of the ids; evidence has the ids of the neighbours."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
-    return score(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    held = (crc_mod("doc_id", 3) == 1).alias("held_out")
+    return score(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("evidence.doc_id").alias("evidence"))

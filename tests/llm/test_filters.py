@@ -1,11 +1,13 @@
 """Quality rules, quality model, toxicity, language: brute force, held-out accuracy, odd rows."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest_llm import words
+from conftest_llm import lower, words
 from pyspark.sql import functions as F
 
 from faturaflow.llm import language, quality_model, quality_rules, toxicity
@@ -92,24 +94,98 @@ def test_machine_sums_pairs_in_linear_time():
         assert np.isclose(got, want)
 
 
-def test_neighbours_are_exact():
-    """Block-max retrieval against the full product."""
+def tfidf_neighbours(rows, probes, n_docs=None, df=None):
+    """Plain TF-IDF over every term of the rows: for each probe all (-cosine, example number) with a cosine above 0."""
+    bare = lambda w: w.strip(toxicity_marks) or w
+    bags = lambda t: Counter(map(bare, words(lower(t))))
+    texts = list(dict.fromkeys(t for _, t, _ in rows))
+    own = [bags(t) for t in texts]
+    df = df or Counter(t for b in own for t in b)
+    idf = {t: 1 + math.log(((n_docs or len(texts)) + 1) / (df[t] + 1)) for b in own for t in b}
+
+    def vector(bag):
+        v = {t: math.sqrt(n) * idf[t] for t, n in bag.items() if t in idf}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {t: x / size for t, x in v.items()}
+
+    vectors = [vector(b) for b in own]
+    out = []
+    for p in probes:
+        q = vector(bags(p))
+        found = [(-round(sum(x * v.get(t, 0) for t, x in q.items()), 9), k) for k, v in enumerate(vectors)]
+        out.append(sorted(f for f in found if f[0] < 0)[: toxicity.K])
+    return out
+
+
+toxicity_marks = ".,;:!?()'\"-*$%&#|"
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1000])
+def test_neighbours_equal_plain_tfidf(monkeypatch, block):
+    """Block-max retrieval against every cosine over the full vocabulary: rare terms, ties, repeated texts, marks, a long text."""
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "FIRST_BLOCKS", 2)
     r = random.Random(9)
-    vocab = [f"t{i:03d}" for i in range(120)]
+    vocab = [f"t{i:03d}" for i in range(150)]
     rows = []
-    for i in range(700):
-        own = vocab[:60] if i % 2 else vocab[60:]
-        rows.append((i, " ".join(r.choice(own if r.random() < 0.7 else vocab) for _ in range(r.randint(3, 30))), i % 2))
+    for i in range(500):
+        own = vocab[:70] if i % 2 else vocab[70:]
+        rows.append((i, " ".join(r.choice(own if r.random() < 0.7 else vocab) + r.choice(["", "", ",", "!?"]) for _ in range(r.randint(1, 30))) + (" onlyhere" if i == 77 else ""), i % 2))
+    rows += [(900 + i, rows[i][1], 1) for i in range(30)] + [(950, "", 1), (951, "?!", 0)]
     m = toxicity.Neighbours(rows)
-    texts = pa.chunked_array([pa.array([" ".join(r.choice(vocab) for _ in range(12)) for _ in range(50)] + ["", "nothing known"])])
-    doc, term, w = m.vectors(texts)
-    who, sim = m.nearest(doc, term, w, len(texts))
-    full = m.blocks.transpose(1, 0, 2).reshape(len(m.terms), -1)[:, : len(m.y)]
-    q = np.zeros((len(texts), len(m.terms)), np.float32)
-    q[doc, term] = w
-    want = np.sort(q @ full, axis=1)[:, ::-1][:, : toxicity.K]
-    assert np.allclose(sim, np.maximum(want, 0), atol=1e-5)
-    assert (np.sort(who, axis=1) >= -1).all()
+    probes = [" ".join(r.choice(vocab) for _ in range(12)) for _ in range(40)] + ["", "nothing known", "Onlyhere", "t001", "?!", rows[3][1], " ".join(r.choice(vocab) for _ in range(30000))]
+    column = pa.chunked_array([pa.array(probes)])
+    doc, term, w = m.vectors(column)
+    who, sim = m.nearest(doc, term, w, len(probes))
+    for got, near, want in zip(who.tolist(), sim.tolist(), tfidf_neighbours(rows, probes), strict=True):
+        assert sum(x >= 0 for x in got) == len(want)
+        assert np.allclose(near[: len(want)], [-c for c, _ in want], atol=1e-8)
+        assert [(-round(s, 9), k) for k, s in zip(got, near, strict=True) if k >= 0] == want
+    assert {f.as_py()["doc_id"] for f in m.score(column, pa.int64())[1][42]} == {77}
+    # A word's own neighbours are those of a text of that word alone.
+    one = m.word_vote[np.searchsorted(m.terms, toxicity.occurrences(pa.chunked_array([pa.array(["t001"])]))[1][0])]
+    weight = np.array([-c for c, _ in tfidf_neighbours(rows, ["t001"])[0]])
+    label = m.y[[k for _, k in tfidf_neighbours(rows, ["t001"])[0]]]
+    assert np.isclose(one, (weight / weight[0] @ label + toxicity.PRIOR * m.prior) / ((weight / weight[0]).sum() + toxicity.PRIOR))
+
+
+def test_learning_rows_vote_without_themselves():
+    """Leave-one-out neighbours and word votes equal those of an index without the row."""
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice("abcdefghijkl") * 2 for _ in range(r.randint(2, 9))), i % 2) for i in range(60)]
+    rows = list({t: (i, t, y) for i, t, y in rows}.values())
+    seen = {}
+    old = toxicity.Neighbours._features
+    toxicity.Neighbours._features = lambda self, whole, doc, votes: seen.setdefault("first", (whole, doc, votes)) and old(self, whole, doc, votes)
+    try:
+        m = toxicity.Neighbours(rows)
+    finally:
+        toxicity.Neighbours._features = old
+    whole, doc, votes = seen["first"]
+    at, term, w = m.vectors(pa.chunked_array([pa.array([t for _, t, _ in rows])]))
+    full = np.zeros((len(rows), len(m.terms)))
+    full[at, term] = w
+    cos = full @ full.T
+    np.fill_diagonal(cos, 0)
+    for i in range(len(rows)):
+        best = sorted((-round(c, 9), k) for k, c in enumerate(cos[i]) if c > 0)[: toxicity.K]
+        s = np.array([c for c, _ in best]) ** 2
+        assert np.isclose(whole[i], s @ m.y[[k for _, k in best]] / s.sum())
+        for d, t, v in zip(doc, term, votes, strict=True):
+            if d == i:
+                best = sorted((-full[k, t], k) for k in range(len(rows)) if k != i and full[k, t] > 0)[: toxicity.K]
+                s = np.array([c for c, _ in best])
+                s = s / s.min() if len(s) else s
+                assert np.isclose(v, (s @ m.y[[k for _, k in best]] + toxicity.PRIOR * m.prior) / (s.sum() + toxicity.PRIOR) if best else -1)
+
+
+def test_frequencies_count_all_documents(docs, rows, none):
+    column = pa.chunked_array([pa.array([t or "" for _, t, *_ in rows])])
+    terms = np.unique(toxicity.occurrences(column)[1])[::3]
+    n, df = toxicity.frequencies(docs.repartition(3), terms)
+    place = np.bincount(toxicity.occurrences(column, terms)[1], minlength=len(terms))
+    assert n == len(rows) and (df == place).all()
+    assert toxicity.frequencies(none, terms)[0] == 0
 
 
 def test_language_held_out_and_odd_rows(spark, odd, none):
