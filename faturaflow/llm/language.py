@@ -3,25 +3,26 @@
 For each language a suffix automaton holds a bounded sample of its labelled text. A text is
 parsed greedily into the longest pieces that occur in the sample; the fewer phrases a language
 needs, the closer it is, and the language with the fewest phrases a character wins. Whole
-texts are parsed, in segments of SEGMENT characters that all restart at the root: the extra
-phrase a segment costs is the same for every language, and numpy walks thousands of segments
-at once through one transition table.
+texts are parsed without a break: numpy walks lanes of LANE characters side by side, each from the root at first,
+and every lane whose predecessor turns out to end in another state is walked again from that
+state until it meets its earlier path.
 
 The tables are built anew by each task and end with it, so that idle workers hold none.
 
-Bounds, both parameters: DOCS documents a language, by smallest hash of the id, and CHARS
-characters of them. Everything else covers all rows.
+Bounds, all parameters: DOCS documents a language, by smallest hash of the id, CHARS characters of
+them together, PIECES pieces of equal length from each, spread over its text; and LABELS languages, beyond
+which learning stops with an error. Pieces are cut before they reach the driver. Everything else covers all rows.
 
 Defined cases: a null text or one without a letter is `und` with score 0; without any labelled
-text every row is `und`; a language label is any non-null string; ties go to the smallest
-label; extra columns are passed through, and input columns named lang_pred, score or phrases
-are replaced; repeated rows are judged one by one. score is 1 - best / second best.
+text every row is `und`; a language label is any non-null string; a character outside a sample
+is a phrase of its own; rows to learn from need an id, and of rows that repeat one the smallest pieces count; ties go
+to the smallest label; very long texts are slices of their own; extra columns are passed through, and input
+columns named lang_pred, score or phrases are replaced; repeated rows are judged one by one;
+an empty table gives an empty result. score is 1 - best / second best.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,28 +33,30 @@ from pyspark.sql import types as T
 from faturaflow.llm.arrowtext import ragged, slices
 from faturaflow.llm.common import bounded, crc_mod, table
 
-DOCS, CHARS, SEGMENT, LIMIT = 64, 32_768, 256, 4 << 20
+DOCS, CHARS, PIECES, LABELS, LANE, LIMIT = 64, 32_768, 4, 1024, 512, 4 << 20
 #: Classes: 0 for characters outside the samples, one for each code point in them, the last for padding.
 #: An automaton with more classes than DENSE holds its transitions by a hash: the same moves in less memory.
 DENSE = 64
 _MISS = 1 << 30
 
 
-def sample(docs: DataFrame, docs_a_language: int = DOCS, chars: int = CHARS) -> dict[str, str]:
-    """Per language the text of the labelled documents with the smallest hashes, up to `chars` characters."""
-    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+def sample(docs: DataFrame, docs_a_language: int = DOCS, chars: int = CHARS, pieces: int = PIECES, labels: int = LABELS) -> dict[str, str]:
+    """Per language pieces of the labelled documents with the smallest hashes, `chars` characters at most."""
     # Ranks need no text: Spark keeps only the first rows of a language before it shuffles.
-    ids = docs.filter("lang is not null and text is not null").select("doc_id", "lang", order.alias("__h"))
-    first = F.row_number().over(W.partitionBy("lang").orderBy("__h", "doc_id"))
-    ids = ids.withColumn("__n", first).filter(F.col("__n") <= docs_a_language).select("doc_id", "lang").distinct()
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).collect()
-    rows.sort(key=lambda r: (r["lang"], hashlib.md5(str(r["doc_id"]).encode()).digest(), r["text"]))
-    found: dict[str, str] = {}
-    for r in rows:
-        so_far = found.get(r["lang"], "")
-        if len(so_far) < chars:
-            found[r["lang"]] = (so_far + " " + r["text"].lower())[:chars]
-    return dict(sorted(found.items()))
+    ids = docs.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang").distinct()
+    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id"))
+    ids = ids.withColumn("__n", first).filter(F.col("__n") <= docs_a_language)
+    size = max(1, chars // docs_a_language // pieces)
+    room = F.greatest(F.length("text") - size, F.lit(0))
+    cut = F.concat_ws(" ", *[F.substring("text", (F.lit(1) + F.floor(room * k / max(1, pieces - 1))).cast("int"), F.lit(size)) for k in range(pieces)])
+    whole = F.when(F.length("text") <= size * pieces, F.col("text")).otherwise(cut)
+    rows = docs.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("lang", "doc_id", "__n").agg(F.min(F.lower(whole)).alias("piece"))
+    found: dict[str, list[str]] = {}
+    for r in sorted(rows.limit(labels * docs_a_language + 1).collect(), key=lambda r: (r["lang"], r["__n"])):
+        found.setdefault(r["lang"], []).append(r["piece"])
+    if len(found) > labels or sum(map(len, found.values())) > labels * docs_a_language:
+        raise ValueError(f"more than {labels} languages")
+    return {lang: " ".join(own)[:chars] for lang, own in found.items()}
 
 
 def automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -181,24 +184,45 @@ class Model:
         flat = np.concatenate(points) if points else np.zeros(0, np.uint32)
         ends = np.cumsum(sizes)
         worth = sizes > 0
-        n_seg = -(-sizes // SEGMENT)
-        owner = np.repeat(np.arange(len(texts)), n_seg)
-        start = ragged(np.zeros(len(texts), np.int64), n_seg) * SEGMENT + np.repeat(ends - sizes, n_seg)
-        left = np.minimum(SEGMENT, np.repeat(ends, n_seg) - start)
-        codes = self.code[flat]
-        grid = np.full((len(start), SEGMENT), self.pad, np.uint32)
-        grid[np.repeat(np.arange(len(start)), left), ragged(np.zeros(len(start), np.int64), left)] = codes
+        lanes = -(-sizes // LANE)
+        owner = np.repeat(np.arange(len(texts)), lanes)
+        within = ragged(np.zeros(len(texts), np.int64), lanes)
+        start = within * LANE + np.repeat(ends - sizes, lanes)
+        left = np.minimum(LANE, np.repeat(ends, lanes) - start)
+        grid = np.full((len(start), LANE), self.pad, np.uint32)
+        grid[np.repeat(np.arange(len(start)), left), ragged(np.zeros(len(start), np.int64), left)] = self.code[flat]
         grid = np.ascontiguousarray(grid.T)
-        count = np.ones((len(self.labels), len(start)), np.int32)
-        for own, (moves, kind) in zip(count, self.automata, strict=True):
-            state = np.zeros(len(start), np.int64)
-            for row in grid:
-                to = moves.walk(state, kind[row])
-                own += to >> 30
-                state = (to & (_MISS - 1)).astype(np.int64)
-        total = np.stack([np.bincount(owner, c, len(texts)) for c in count], 1) if len(self.labels) else np.zeros((len(texts), 0))
+        total = np.zeros((len(texts), len(self.labels)))
+        for k, (moves, kind) in enumerate(self.automata):
+            total[:, k] = worth + np.bincount(owner, self._parse(moves, kind, grid, within > 0), len(texts))
         return total / np.maximum(sizes, 1)[:, None], worth
 
+    def _parse(self, moves, kind: np.ndarray, grid: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
+        """How many phrases end within each lane, the lanes of a text being one parse; goes_on: lanes that are not the first of a text."""
+        n = grid.shape[1]
+        path = np.zeros(grid.shape, np.int32)  # the state after each character, plus _MISS where a phrase ended
+        state = np.zeros(n, np.int64)
+        for row, to in zip(grid, path, strict=True):
+            to[:] = moves.walk(state, kind[row])
+            state = (to & (_MISS - 1)).astype(np.int64)
+        again = np.flatnonzero(goes_on)
+        again = again[state[again - 1] != 0]
+        while len(again):
+            lane, state = again, (path[-1, again - 1] & (_MISS - 1)).astype(np.int64)
+            for row, old in zip(grid, path, strict=True):
+                to = moves.walk(state, kind[row[lane]])
+                state = (to & (_MISS - 1)).astype(np.int64)
+                apart = state != (old[lane] & (_MISS - 1))
+                old[lane] = to
+                lane, state = lane[apart], state[apart]
+                if not len(lane):
+                    break
+            # Lanes that end in another state than before change what comes after them.
+            again = lane + 1
+            again = again[again < n]
+            again = again[goes_on[again]]
+        return (path >> 30).sum(0)
+
 
 def predict(docs: DataFrame, texts: dict[str, str], text: str = "text") -> DataFrame:
     """docs with lang_pred, score and phrases, the phrases a character by language."""

@@ -243,3 +243,29 @@ def test_language_tells_all_letters_apart(monkeypatch, dense):
     assert worth.all() and [m.labels[i] for i in got.argmin(1)] == list(texts)
     want = [[parsed(t, p) for t in texts.values()] for p in probes.values()]
     assert np.allclose(got * np.array([len(p) for p in probes.values()])[:, None], want)
+
+
+@pytest.mark.parametrize("dense", [0, 10**6])
+def test_parse_of_long_texts_has_no_breaks(monkeypatch, dense):
+    """Phrase counts equal a naive greedy parse whatever the length, also where one phrase runs over several lanes."""
+    monkeypatch.setattr(language, "DENSE", dense)
+    r = random.Random(8)
+    say = lambda own, k: " ".join("".join(r.choice(own) for _ in range(r.randint(1, 4))) for _ in range(k))
+    han, latin = [chr(c) for c in range(0x4E00, 0x4E00 + 400)], ["ka", "ko", "ta", "ra", "ri"]
+    texts = {"han": say(han, 1200), "latin": say(latin, 700), "one": "ab" * 900}
+    texts = {k: t[:3000].strip() for k, t in texts.items()}
+    probes = [t[:k] for t in texts.values() for k in (1, 511, 512, 513, 1025, 2600)] + [say(latin, 9000)[:50_000], say(han, 900), texts["latin"][3:2000] + texts["latin"][7:1500], "ab" * 3000, "a" * 1500, texts["han"] + "z" * 700 + texts["han"][1:]]
+    probes = [p.strip() for p in probes]
+    m = language.Model(texts)
+    got, _ = m.phrases(probes)
+    want = [[parsed(t, p) for t in texts.values()] for p in probes]
+    assert np.allclose(got * np.array([len(p) for p in probes])[:, None], want)
+
+
+def test_language_sample_spreads_over_texts(spark):
+    rows = [(i, f"start{i} " + "x" * 5000 + f" end{i}", "aa") for i in range(5)] * 3 + [(9, "short text", "bb"), (None, "no id", "cc"), (10, None, "aa")]
+    got = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 4, 1600)
+    assert list(got) == ["aa", "bb"] and len(got["aa"]) <= 1600 and got["bb"] == "short text"
+    assert sum(f"start{i}" in got["aa"] for i in range(5)) == 4 and sum(f"end{i}" in got["aa"] for i in range(5)) >= 3
+    with pytest.raises(ValueError, match="languages"):
+        language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels=1)
