@@ -1,183 +1,253 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-Pivots are PIVOTS reference points chosen from a bounded sample. A vector is described by its
-PREFIX nearest pivots; an inverted list is kept for every set of SHARED of them, so two
-vectors meet in a list exactly if they share at least SHARED prefix pivots. Members of a list
-are compared by cosine in double precision, by matrix products. A pair that meets in several
-lists counts in the one of its smallest shared pivots. Lists longer than BLOCK members are
-split into blocks that are compared two by two, so no task holds more than two blocks.
+Reference points, the pivots, are drawn from a bounded sample; their number grows with the root of the number
+of vectors. A vector is described by its `prefix` nearest pivots in order of distance, after the sample's mean is taken
+off, and an inverted list is kept for every pivot. A list's members are compared by what their descriptions share:
+each shared pivot counts the product of its two rank weights, nearer ranks weighing more. Pairs
+that share at least `least` are candidates. A pair that meets in several lists is looked at in that of its smallest shared pivot
+only. The lists carry descriptions, no vectors: vectors are fetched for members with candidates and verified by cosine in
+double precision. Lists longer than BLOCK members are split into blocks that are compared two by two, so no
+task holds more than two blocks, and candidates are bit rows of members, not rows of pairs.
+
+`tune` chooses prefix and least: it turns vectors of the sample away until their cosine is
+the threshold, half in random directions and half towards other vectors, and takes the cheapest description under which
+all but MISSED of these pairs, the hardest that count, are candidates. Recall against brute force is measured in the tests.
 
 Equal vectors are one entry with a multiplicity, merged by an aggregate before any list is
 made. A list gives each member's number of links and a spanning forest, not its pairs.
 
-Recall depends on PREFIX and SHARED and is measured against brute force in the tests; a link that
-is reported is never below the threshold. Defined cases: vectors that are null, empty, zero or
-hold null or non-finite parts link with nothing and form their own class; vectors of different
-lengths never link; rows that share an id are one vector, with the smallest of theirs; a null
-id stands alone; extra columns are ignored; an empty table gives an empty result.
+Bounds, all parameters: SAMPLE vectors to draw from, PROBES of them to tune with, MOST_PIVOTS pivots. Every row is indexed.
+
+Defined cases: vectors that are null, empty, zero or hold null or non-finite parts link with nothing and form their
+own class; vectors of different lengths never link; every row is a vector of its own, whether its id is null or repeats, and
+a class is named by its smallest id, null where it has none; ids have any type with an order; ties in distance go to the
+pivot drawn first; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faturaflow.llm.arrowtext import spans
-from faturaflow.llm.common import table, written
+from faturaflow.llm.common import bounded, table, written
 from faturaflow.llm.components import components
 
-PIVOTS, SAMPLE, PREFIX, SHARED, BLOCK, THRESHOLD = 384, 2048, 6, 2, 2048, 0.95
-#: Rows of inverted lists that one task compares at a time.
-TASK_ROWS = 8192
+SAMPLE, PROBES, MOST_PIVOTS, BLOCK, THRESHOLD, MISSED = 8192, 768, 4096, 1024, 0.95, 0.004
+PREFIXES = (6, 8, 12, 16, 24, 32, 48)
+
+
+class Space(NamedTuple):
+    """What describes vectors of one length: the mean that is taken off, unit pivots, prefix length and the least share of candidates."""
+
+    mean: np.ndarray
+    pivots: np.ndarray
+    prefix: int
+    least: float
+
+    def describe(self, unit: np.ndarray) -> np.ndarray:
+        """The nearest pivots of each unit vector, nearest first."""
+        near = np.empty((len(unit), self.prefix), np.int16)
+        for a in range(0, len(unit), 2048):
+            cos = _unit(unit[a : a + 2048] - self.mean) @ self.pivots.T
+            some = np.argpartition(-cos, min(self.prefix, cos.shape[1]) - 1, axis=1)[:, : self.prefix]
+            some.sort(axis=1)
+            near[a : a + 2048] = np.take_along_axis(some, np.argsort(-np.take_along_axis(cos, some, 1), axis=1, kind="stable"), 1)
+        return near
+
 
+def weights(prefix: int) -> np.ndarray:
+    """The weight of each rank in a shared pivot's product."""
+    return (1 - np.arange(prefix) / (2 * prefix)).astype(np.float32)
 
-def pivots_of(vectors: np.ndarray, n: int = PIVOTS, apart: float = 0.9) -> np.ndarray:
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)  # the sum of squares stays finite
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+
+def pivots_of(centred: np.ndarray, n: int, apart: float = 0.9) -> np.ndarray:
     """Up to n unit vectors of the sample that are not close to each other, filled up with seeded directions."""
-    chosen = np.zeros((0, vectors.shape[1]))
-    for v in vectors:
-        if len(chosen) < n and not (len(chosen) and (chosen @ v).max() > apart):
-            chosen = np.vstack([chosen, v])
-    more = np.random.default_rng(61).normal(size=(n - len(chosen), vectors.shape[1]))
-    return np.vstack([chosen, more / np.linalg.norm(more, axis=1, keepdims=True)])
+    chosen, k = np.zeros((n, centred.shape[1])), 0
+    for v in centred:
+        if k < n and v.any() and not (k and (chosen[:k] @ v).max() > apart):
+            chosen[k], k = v, k + 1
+    chosen[k:] = _unit(np.random.default_rng(61).normal(size=(n - k, centred.shape[1])))
+    return chosen
+
+
+def shares(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """What the descriptions of a and b share, row by row of a against all of b."""
+    w = weights(a.shape[1])
+    x, y = np.zeros((len(a), n), np.float32), np.zeros((len(b), n), np.float32)
+    np.put_along_axis(x, a.astype(np.int64), np.broadcast_to(w, a.shape), 1)
+    np.put_along_axis(y, b.astype(np.int64), np.broadcast_to(w, b.shape), 1)
+    return x @ y.T
+
+
+def tune(sample: np.ndarray, rows: int, threshold: float, missed: float = MISSED) -> Space:
+    """The space for `rows` vectors that resemble the unit vectors of the sample."""
+    mean = sample.mean(0) if len(sample) else np.zeros(sample.shape[1])
+    n = int(min(MOST_PIVOTS, max(64, 2 ** round(np.log2(8 * np.sqrt(max(1, rows)))))))
+    # Vectors to tune with are no pivots: a pivot is its own nearest one.
+    probes = min(PROBES, len(sample) // 2)
+    pivots = pivots_of(_unit(sample[probes:] - mean), n)
+    if not probes:
+        return Space(mean, pivots, PREFIXES[0], 1e-6)
+    rng = np.random.default_rng(62)
+    own = sample[np.arange(PROBES) % probes]
+    away = rng.normal(size=own.shape)
+    away[::2] = sample[rng.integers(0, len(sample), len(away[::2]))]
+    away -= (away * own).sum(1, keepdims=True) * own
+    still = np.sqrt((away * away).sum(1)) < 1e-9
+    away[still] = rng.normal(size=(int(still.sum()), own.shape[1]))
+    away -= (away * own).sum(1, keepdims=True) * own
+    turned = threshold * own + np.sqrt(1 - threshold**2) * _unit(away)
+    best = None
+    for prefix in [p for p in PREFIXES if p < n]:
+        space = Space(mean, pivots, prefix, 0.0)
+        a, b = space.describe(own), space.describe(turned)
+        shared = np.concatenate([np.diag(shares(a[i : i + 256], b[i : i + 256], n)) for i in range(0, len(a), 256)])
+        least = float(np.quantile(shared, missed, method="lower"))
+        if least <= 0 and prefix != [p for p in PREFIXES if p < n][-1]:
+            continue
+        least = max(least, 1e-6) * (1 - 1e-5)
+        others = shares(a[:256], space.describe(sample[:1024]), n)
+        cost = prefix + 0.1 * rows * float((others >= least).mean()) + 0.002 * rows * float((others > 0).mean())
+        if best is None or cost < best[0]:
+            best = cost, Space(mean, pivots, prefix, least)
+    return best[1]
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, dtype) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    return flat.flatten().to_numpy().reshape(len(flat), -1)
+    return flat.flatten().to_numpy().astype(dtype, copy=False).reshape(len(flat), -1)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # the sum of squares stays finite
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
-
-
-def _compare(group: pa.Table, threshold: float, shared: int) -> pa.Table:
-    """Links and forest of all lists in a task's rows."""
-    key, side = group["list"].to_numpy(), group["side"].to_numpy()
-    order = np.lexsort((side, key))
-    key, side = key[order], side[order]
-    ids, times = group["id"].to_numpy()[order], group["times"].to_numpy()[order]
-    prefix = _matrix(group["prefix"])[order]
-    dims = group["dim"].to_numpy()[order]
-    own = group["own"].to_numpy()[order]
-    parts = group["vector"].take(pa.array(order)).to_pylist()
-    out_a, out_b, out_w = [], [], []
-    for a, b in spans(key):
-        if b - a < 2:
-            continue
-        x = np.frombuffer(b"".join(parts[a:b]), np.float64).reshape(b - a, dims[a])
-        cos = x @ x.T
-        near = cos >= threshold
-        if side[a] != side[b - 1]:  # two blocks of one list: only across
-            near &= side[a:b, None] != side[None, a:b]
-        np.fill_diagonal(near, False)
-        if not near.any():
-            continue
-        p, q = np.nonzero(near)
-        # A pair counts in the list of its smallest shared pivots.
-        sp, sq = prefix[a:b][p], prefix[a:b][q]
-        common = np.sort(np.where((sp[:, :, None] == sq[:, None, :]).any(2), sp, 1 << 20), axis=1)[:, :shared]
-        counts = _code(common) == own[a]
-        weight = np.bincount(p[counts], times[a:b][q[counts]], b - a)
-        linked = np.flatnonzero(weight)
-        out_a.append(ids[a:b][linked])
-        out_b.append(ids[a:b][linked])
-        out_w.append(weight[linked].astype(np.int64))
-        open_ = near.any(1)
-        while open_.any():
-            start = int(np.argmax(open_))
-            front = np.zeros(b - a, bool)
-            front[start] = True
-            inside = front.copy()
-            while front.any():
-                front = near[front].any(0) & ~inside
-                inside |= front
-            open_ &= ~inside
-            inside[start] = False
-            out_a.append(ids[a:b][inside])
-            out_b.append(np.full(int(inside.sum()), ids[a + start]))
-            out_w.append(np.zeros(int(inside.sum()), np.int64))
-    empty = np.zeros(0, np.int64)
-    return pa.table({"a": np.concatenate([empty, *out_a]), "b": np.concatenate([empty, *out_b]), "w": np.concatenate([empty, *out_w])})
-
-
-def _code(sets: np.ndarray) -> np.ndarray:
-    """One number for each row's sorted pivots."""
-    code = np.zeros(len(sets), np.int64)
-    for k in range(sets.shape[1]):
-        code = code << np.int64(20) | sets[:, k]
-    return code
-
-
-def index(heads: DataFrame, pivots: dict[int, np.ndarray], n: int, prefix: int, shared: int) -> DataFrame:
-    """(id, times, dim, vector, prefix, lists) of heads (id, times, x): unit vectors, prefix pivots, list numbers."""
+def described(heads: DataFrame, spaces: dict[int, Space], n_rows: int, threshold: float) -> DataFrame:
+    """(id, dim, prefix) of heads (id, x): the description of every vector."""
+    shared = heads.sparkSession.sparkContext.broadcast(spaces)
 
     def run(batches):
-        sets = np.array(list(combinations(range(prefix), shared)))
+        own = dict(shared.value)
         for batch in batches:
-            rows = batch["x"].to_pylist()
-            dims = np.array([len(r) for r in rows], np.int64)
-            vector, near, lists = [None] * len(rows), [None] * len(rows), [None] * len(rows)
-            for d in np.unique(dims):
+            dims = pc.list_value_length(batch["x"]).to_numpy(zero_copy_only=False)
+            found: list = [None] * len(dims)
+            for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
-                x = _unit(np.array([rows[i] for i in at], np.float64))
-                if d not in pivots:
-                    pivots[d] = pivots_of(np.zeros((0, d)), n)
-                best = np.sort(np.argsort(-(x @ pivots[d].T), axis=1, kind="stable")[:, :prefix], axis=1)
-                codes = np.stack([_code(best[:, s]) for s in sets], 1)
-                for k, i in enumerate(at.tolist()):
-                    vector[i], near[i], lists[i] = x[k].tobytes(), best[k], codes[k]
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["times"], pa.array(dims), pa.array(vector, pa.binary()), pa.array(near, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.int64()))],
-                ["id", "times", "dim", "vector", "prefix", "lists"],
-            )
-
-    return heads.mapInArrow(run, "id long, times long, dim long, vector binary, prefix array<long>, lists array<long>")
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, n: int = PIVOTS, prefix: int = PREFIX, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
-    """(vec_id, n_links, component_id), a row an id, of vectors (vec_id, embedding)."""
-    x = F.col("embedding").cast("array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).groupBy("vec_id").agg(F.min("x").alias("x"))
+                if d not in own:  # no vector of the sample is so long
+                    own[d] = tune(np.zeros((0, d)), n_rows, threshold)
+                near = own[d].describe(_unit(_matrix(batch["x"].take(pa.array(at)), np.float64)))
+                for i, row in zip(at.tolist(), near, strict=True):
+                    found[i] = row
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(dims, pa.int32()), pa.array(found, pa.list_(pa.int16()))], ["id", "dim", "prefix"])
+
+    bounded(heads.sparkSession)
+    return heads.select("id", "x").mapInArrow(run, "id long, dim int, prefix array<short>")
+
+
+def _candidates(rows: pa.Table, least: dict[int, float]) -> pa.Table:
+    """The members of a list, or of two of its blocks, that share enough with another, and with which: a bit for each of these members."""
+    side, own, dim = rows["side"].to_numpy(), rows["pivot"][0].as_py(), rows["dim"][0].as_py()
+    prefix = _matrix(rows["prefix"], np.int64)
+    known, place = np.unique(prefix, return_inverse=True)
+    m = np.zeros((len(prefix), len(known)), np.float32)
+    np.put_along_axis(m, place.reshape(prefix.shape), np.broadcast_to(weights(prefix.shape[1]), prefix.shape), 1)
+    near = m @ m.T >= least.get(dim, 1e-6)
+    if before := int(np.searchsorted(known, own)):
+        near &= m[:, :before] @ m[:, :before].T == 0  # else the pair meets in the list of a smaller pivot
+    if side.min() != side.max():
+        near &= side[:, None] != side[None, :]
+    np.fill_diagonal(near, False)
+    at = np.flatnonzero(near.any(1))
+    bits = np.packbits(near[np.ix_(at, at)], axis=1)
+    return pa.table(
+        {
+            "list": rows["list"].take(pa.array(at)).combine_chunks(),
+            "id": rows["id"].take(pa.array(at)).combine_chunks(),
+            "pos": pa.array(np.arange(len(at)), pa.int32()),
+            "near": pa.array([b.tobytes() for b in bits], pa.binary()),
+        }
+    )
+
+
+def _verified(rows: pa.Table, threshold: float) -> pa.Table:
+    """Number of links of each member, w, beside itself, and a spanning forest of the links, with w 0."""
+    order = np.argsort(rows["pos"].to_numpy())
+    ids, times = rows["id"].to_numpy()[order], rows["times"].to_numpy()[order]
+    x = _unit(_matrix(rows["x"].take(pa.array(order)), np.float64))
+    bits = np.frombuffer(b"".join(rows["near"].take(pa.array(order)).to_pylist()), np.uint8).reshape(len(ids), -1)
+    near = np.unpackbits(bits, axis=1, count=len(ids)).astype(bool)
+    near &= x @ x.T >= threshold
+    weight = (near @ times.astype(np.float64)).astype(np.int64) if near.any() else np.zeros(len(ids), np.int64)
+    linked = np.flatnonzero(weight)
+    out_a, out_b, out_w = [ids[linked]], [ids[linked]], [weight[linked]]
+    open_ = near.any(1)
+    while open_.any():
+        start = int(np.argmax(open_))
+        inside = np.zeros(len(ids), bool)
+        inside[start] = True
+        front = inside.copy()
+        while front.any():
+            front = near[front].any(0) & ~inside
+            inside |= front
+        open_ &= ~inside
+        inside[start] = False
+        out_a.append(ids[inside])
+        out_b.append(np.full(int(inside.sum()), ids[start]))
+        out_w.append(np.zeros(int(inside.sum()), np.int64))
+    return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "w": np.concatenate(out_w)})
+
+
+def spaces_of(heads: DataFrame, n_rows: int, threshold: float = THRESHOLD) -> dict[int, Space]:
+    """The space of each vector length in a sample of heads (id, x), drawn by a hash of the vector."""
+    drawn = [np.array(r["x"], np.float64) for r in heads.orderBy(F.xxhash64("x"), "id").limit(SAMPLE).select("x").collect()]
+    return {d: tune(_unit(np.array([v for v in drawn if len(v) == d])), n_rows, threshold) for d in {len(v) for v in drawn}}
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(vec_id, n_links, component_id), a row each of vectors (vec_id, embedding)."""
+    x = F.col("embedding")
     limit = F.lit(1.7976931348623157e308)
-    good = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= limit)) & F.exists("x", lambda v: v != 0)
-    rows = rows.withColumn("h", F.when(F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull(), F.sha2(F.col("x").cast("string"), 256)))
-    rows = written(rows, "vectors", small=True)
-    heads = rows.filter("h is not null").groupBy("h").agg(F.min("vec_id").alias("id"), F.count("*").alias("times"), F.min("x").alias("x"))
-    heads = written(heads, "heads", small=True)
-    drawn = [np.array(r["x"], np.float64) for r in heads.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").collect()]
-    pivots = {d: pivots_of(_unit(np.array([v for v in drawn if len(v) == d])), n) for d in {len(v) for v in drawn}}
-    indexed = written(index(heads.select("id", "times", "x"), pivots, n, prefix, shared), "index")
-    posted = indexed.select("id", "dim", F.explode("lists").alias("own"))
-    size = posted.groupBy("own", "dim").agg(F.count("*").alias("size")).filter("size > 1")
-    total = size.agg(F.coalesce(F.sum(F.col("size") * F.ceil(F.col("size") / block)), F.lit(0)).alias("n")).first()["n"]
-    tasks = max(1, -(-total // TASK_ROWS))
-    posted = posted.join(size, ["own", "dim"]).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) <= limit)) & F.exists(x, lambda v: v != 0)
+    rows = vectors.select("vec_id", x.alias("x"), F.when(F.coalesce(good, F.lit(False)), F.unhex(F.sha2(x.cast("string"), 256))).alias("h"))
+    heads = rows.filter("h is not null").groupBy("h").agg(F.min("vec_id").alias("first"), F.count("*").alias("times"), F.min("x").alias("x"))
+    heads = written(heads.withColumn("id", F.monotonically_increasing_id()), "heads", small=True)
+    spaces = spaces_of(heads, heads.count(), threshold)
+    n, least = heads.count(), {d: s.least for d, s in spaces.items()}
+    index = written(described(heads, spaces, n, threshold), "index", small=True)
+    posted = index.select("id", "dim", "prefix", F.explode("prefix").alias("pivot"))
+    size = posted.groupBy("dim", "pivot").agg(F.count("*").alias("size")).filter("size > 1")
+    posted = posted.join(F.broadcast(size) if len(spaces) * MOST_PIVOTS < 1 << 18 else size, ["dim", "pivot"])
+    posted = posted.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     posted = posted.withColumn("side", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    number = F.xxhash64("own", "dim", F.least("side", "other"), F.greatest("side", "other"))
-    posted = posted.select("id", "own", "side", number.alias("list"))
-    full = posted.join(indexed.drop("lists"), "id").withColumn("task", F.pmod("list", F.lit(tasks)))
-    found = written(full.groupBy("task").applyInArrow(lambda g: _compare(g, threshold, shared), "a long, b long, w long"), "compared")
-    counts = found.filter("w > 0").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("w"))
-    group = components(found.filter("w = 0").select("a", "b")).withColumnRenamed("node", "id")
-    # Lists with a block on either side hold the block's own members twice; they are compared once (side = other).
-    heads = heads.select("h", "id", "times").join(counts, "id", "left").join(group, "id", "left")
-    heads = heads.select("h", (F.coalesce("w", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    done = rows.select("vec_id", "h").join(heads, "h", "left")
-    return done.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    number = F.xxhash64("dim", "pivot", F.least("side", "other"), F.greatest("side", "other"))
+    # Of one block alone, the members come once: where side and other are the same.
+    posted = posted.select(number.alias("list"), "id", "dim", "pivot", "prefix", "side")
+    found = posted.groupBy("list").applyInArrow(lambda rows: _candidates(rows, least), "list long, id long, pos int, near binary")
+    found = written(found, "candidates")
+    full = found.join(heads.select("id", "times", "x"), "id")
+    links = written(full.groupBy("list").applyInArrow(lambda rows: _verified(rows, threshold), "a long, b long, w long"), "links", small=True)
+    counts = links.filter("w > 0").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("w"))
+    group = components(links.filter("w = 0").select("a", "b")).withColumnRenamed("node", "id")
+    own = heads.select("h", "id", "first", "times").join(counts, "id", "left").join(group, "id", "left")
+    own = written(own.select("h", "first", (F.coalesce("w", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")), "classes", small=True)
+    names = own.groupBy("component").agg(F.min("first").alias("component_id"))
+    own = own.join(names, "component").select("h", "n_links", "component_id", F.lit(True).alias("good"))
+    done = rows.select("vec_id", "h").join(own, "h", "left")
+    return done.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("good"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: the links and class of every vector of `embeddings`."""
-    ids = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    done = near_duplicates(ids)
-    return ids.select("vec_id").join(done, "vec_id").withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    done = near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return done.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def sql() -> str:
