@@ -166,7 +166,7 @@ class Neighbours:
             held[k, doc[term == t]] = True
         place = np.empty(len(self.y), np.int64)
         place[np.lexsort(held[::-1])] = np.arange(len(self.y))
-        self.example = np.argsort(place)
+        self.place, self.example = place, np.argsort(place)
         self.n_blocks = -(-len(self.y) // BLOCK)
         at = place[doc]
         order = np.lexsort((at, term))
@@ -177,6 +177,15 @@ class Neighbours:
         self.most = np.maximum.reduceat(self.weight, self.begin) if len(code) else np.zeros(0)
         self.of_term = np.searchsorted(code[self.begin] // self.n_blocks, np.arange(len(self.terms) + 1))
         self.begin = np.append(self.begin, len(code))
+        self.within = self.post % BLOCK
+        # Postings of terms that many examples hold also lie in rows, block by block.
+        many = np.flatnonzero(here >= max(2, len(self.y) // 16))
+        self.row = np.full(len(self.terms), -1, np.int64)
+        self.row[many] = np.arange(len(many))
+        held = self.row[owner] >= 0
+        self.rows = np.zeros((self.n_blocks, len(many), BLOCK))
+        self.rows[self.post[held] // BLOCK, self.row[owner[held]], self.within[held]] = self.weight[held]
+        self.rare = self.row[owner[self.begin[:-1]]] < 0
         # The K + 1 examples in which each word weighs most.
         first = self.example[self.post]
         order = np.lexsort((first, -self.weight, owner))
@@ -253,45 +262,68 @@ class Neighbours:
     def _some(self, doc, term, w, who, sim, itself) -> None:
         n, each = len(who), self.of_term[term + 1] - self.of_term[term]
         entry = ragged(self.of_term[term], each)  # the blocks of all terms of all texts
-        owner, weight, block = np.repeat(doc, each), np.repeat(w, each), self.block[entry]
-        bound = np.bincount(owner * self.n_blocks + block, weight * self.most[entry], n * self.n_blocks).reshape(n, self.n_blocks)
-        cos = np.zeros((n, self.n_blocks * BLOCK))
-        rank = np.empty(bound.shape, np.int64)  # of each block among its text's, by bound
-        np.put_along_axis(rank, np.argsort(-bound, axis=1, kind="stable"), np.arange(self.n_blocks)[None, :], axis=1)
-        kth, done, upto = np.zeros(n), np.zeros(bound.shape, bool), FIRST_BLOCKS
-        while True:
+        weight, block = np.repeat(w, each), self.block[entry]
+        pair = np.repeat(doc * self.n_blocks, each) + block
+        bound = np.bincount(pair, weight * self.most[entry], n * self.n_blocks)
+        cos = np.zeros((n * self.n_blocks, BLOCK))
+        kth, todo = np.zeros(n), bound > 0
+        frequent = np.flatnonzero(self.row[term] >= 0)
+        query = np.zeros((n, self.rows.shape[1]))
+        query[doc[frequent], self.row[term[frequent]]] = w[frequent]
+        rare = np.flatnonzero(self.rare[entry])
+        pair, entry, weight = pair[rare], entry[rare], weight[rare]
+        if self.n_blocks > FIRST_BLOCKS:
+            by_text = bound.reshape(n, -1)
+            high = np.partition(by_text, self.n_blocks - FIRST_BLOCKS, axis=1)[:, -FIRST_BLOCKS]
+            first = todo & (by_text >= high[:, None]).ravel()
+            self._open(cos, query, pair, entry, weight, first, itself)
+            todo &= ~first
+            if cos.size > n * K:
+                kth = np.partition(cos.reshape(n, -1), cos.size // n - K, axis=1)[:, -K]
             # A block whose bound is below the K-th cosine can add nothing.
-            go = ~done & (bound > 0) & (rank < upto) & (bound >= kth[:, None] - 1e-9)
-            if go.any():
-                self._open(cos, entry, owner, weight, go[owner, block])
-                done |= go
-                if itself is not None:
-                    cos[np.arange(n), np.argsort(self.example)[itself]] = 0
-                if cos.shape[1] > K:
-                    kth = np.partition(cos, cos.shape[1] - K, axis=1)[:, -K]
-            if upto >= self.n_blocks:
-                break
-            upto *= 2
-        a, b = np.nonzero((cos >= kth[:, None]) & (cos > 0))
-        value, example = cos[a, b], self.example[b]
+            todo &= bound >= np.repeat(kth - 1e-9, self.n_blocks)
+        self._open(cos, query, pair, entry, weight, todo, itself)
+        cos = cos.reshape(n, -1)
+        if cos.shape[1] > K and todo.any():
+            kth = np.partition(cos, cos.shape[1] - K, axis=1)[:, -K]
+        a, b = np.nonzero(cos >= np.maximum(kth - 1e-12, 1e-300)[:, None])
+        value, example = np.round(cos[a, b], 12), self.example[b]  # the order of a sum makes no difference to ties
         order = np.lexsort((example, -value, a))
         a, place = a[order], np.arange(len(a)) - np.searchsorted(a, a)
         keep = place < K
         who[a[keep], place[keep]], sim[a[keep], place[keep]] = example[order][keep], value[order][keep]
 
-    def _open(self, cos, entry, owner, weight, chosen) -> None:
-        """Adds the products of the chosen blocks' postings to the cosines."""
-        entry, owner, weight = entry[chosen], owner[chosen], weight[chosen]
+    def _open(self, cos, query, pair, entry, weight, chosen, itself) -> None:
+        """Sets the cosines with all examples of the chosen pairs of a text and a block."""
+        pairs = np.flatnonzero(chosen)
+        if not len(pairs):
+            return
+        slot = np.empty(len(chosen), np.int64)
+        slot[pairs] = np.arange(len(pairs)) * BLOCK
+        held = np.flatnonzero(chosen[pair])
+        entry, weight, base = entry[held], weight[held], slot[pair[held]]
         size = self.begin[entry + 1] - self.begin[entry]
+        total = np.zeros(len(pairs) * BLOCK)
+        by_block = total.reshape(-1, BLOCK)
+        text, block = np.divmod(pairs, self.n_blocks)
+        for part in np.split(np.argsort(block, kind="stable"), runs(np.sort(block))[1:]):
+            by_block[part] = query[text[part]] @ self.rows[block[part[0]]]
         ends = np.cumsum(size)
         lo = 0
         while lo < len(entry):
             done = ends[lo - 1] if lo else 0
             hi = max(lo + 1, int(np.searchsorted(ends, done + (1 << 21), "right")))
-            at = ragged(self.begin[entry[lo:hi]], size[lo:hi])
-            index = np.repeat(owner[lo:hi], size[lo:hi]) * cos.shape[1] + self.post[at]
-            cos += np.bincount(index, self.weight[at] * np.repeat(weight[lo:hi], size[lo:hi]), cos.size).reshape(cos.shape)
+            # Runs of one posting need no spreading out.
+            one = size[lo:hi] == 1
+            e, f = entry[lo:hi][one], entry[lo:hi][~one]
+            many, at = size[lo:hi][~one], ragged(self.begin[f], size[lo:hi][~one])
+            index = np.concatenate([base[lo:hi][one] + self.within[self.begin[e]], np.repeat(base[lo:hi][~one], many) + self.within[at]])
+            value = np.concatenate([self.most[e] * weight[lo:hi][one], self.weight[at] * np.repeat(weight[lo:hi][~one], many)])
+            total += np.bincount(index, value, len(total))
             lo = hi
+        cos[pairs] = total.reshape(-1, BLOCK)
+        if itself is not None:
+            cos.reshape(len(itself), -1)[np.arange(len(itself)), self.place[itself]] = 0
 
     def votes(self, who, sim) -> np.ndarray:
         """Distance-weighted share of toxic neighbours; the prior without any."""
