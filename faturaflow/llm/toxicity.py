@@ -170,32 +170,50 @@ class Neighbours:
         self.n_blocks = -(-len(self.y) // BLOCK)
         at = place[doc]
         order = np.lexsort((at, term))
-        self.post, self.weight, owner = at[order], self.own[2][order], term[order]
+        # What the index is made of: postings by term, their counts, and the length of each example.
+        w = np.sqrt(n) * self.idf[term]
+        self.kept = at[order].astype(np.uint32), n[order].astype(np.min_scalar_type(n.max(initial=0))), here.astype(np.uint32), np.sqrt(np.bincount(doc, w * w, len(self.y)))
+        self._derive()
+        owner = np.repeat(np.arange(len(here)), here)
+        # The K + 1 examples in which each word weighs most.
+        first = self.example[self.post]
+        order = np.lexsort((first, -self.weight, owner))
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        top = rank <= K
+        self.best = np.full((len(self.terms), K + 1), -1, np.int32)
+        self.best_weight = np.zeros((len(self.terms), K + 1))
+        self.best[owner[top], rank[top]] = first[order][top]
+        self.best_weight[owner[top], rank[top]] = self.weight[order][top]
+        self.word_vote = self._word_votes(np.arange(len(self.terms)), None)
+
+    def _derive(self) -> None:
+        """The index proper, from what is kept: workers get the latter only."""
+        post, n, here, length = self.kept
+        owner, self.post = np.repeat(np.arange(len(here)), here), post.astype(np.int64)
+        self.weight = np.sqrt(n.astype(np.int64)) * self.idf[owner] / length[self.example[self.post]]
         code = owner * self.n_blocks + self.post // BLOCK
         self.begin = runs(code)
         self.block = code[self.begin] % self.n_blocks
         self.most = np.maximum.reduceat(self.weight, self.begin) if len(code) else np.zeros(0)
-        self.of_term = np.searchsorted(code[self.begin] // self.n_blocks, np.arange(len(self.terms) + 1))
+        self.of_term = np.searchsorted(code[self.begin] // self.n_blocks, np.arange(len(here) + 1))
         self.begin = np.append(self.begin, len(code))
         self.within = self.post % BLOCK
         # Postings of terms that many examples hold also lie in rows, block by block.
         many = np.flatnonzero(here >= max(2, len(self.y) // 16))
-        self.row = np.full(len(self.terms), -1, np.int64)
+        self.row = np.full(len(here), -1, np.int64)
         self.row[many] = np.arange(len(many))
         held = self.row[owner] >= 0
         self.rows = np.zeros((self.n_blocks, len(many), BLOCK))
         self.rows[self.post[held] // BLOCK, self.row[owner[held]], self.within[held]] = self.weight[held]
         self.rare = self.row[owner[self.begin[:-1]]] < 0
-        # The K + 1 examples in which each word weighs most.
-        first = self.example[self.post]
-        order = np.lexsort((first, -self.weight, owner))
-        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        top = rank <= K
-        self.best = np.full((len(self.terms), K + 1), -1, np.int32)
-        self.best_weight = np.zeros((len(self.terms), K + 1))
-        self.best[owner[top], rank[top]] = first[order][top]
-        self.best_weight[owner[top], rank[top]] = self.weight[order][top]
-        self.word_vote = self._word_votes(np.arange(len(self.terms)), None)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("post", "weight", "begin", "block", "most", "of_term", "within", "row", "rows", "rare")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        if self.at is not None:
+            self._derive()
 
     def _weights(self, doc, term, n) -> np.ndarray:
         w = np.sqrt(n) * self.idf[term]
@@ -229,6 +247,7 @@ class Neighbours:
         del self.own
         who, sim = self.nearest(doc, term, w, len(self.y), itself=np.arange(len(self.y)))
         x = self._features(self.votes(who, sim), doc, self._word_votes(term, doc))[0]
+        del self.best, self.best_weight
         self.logistic = logistic(x, self.y)
         self.at, self.share = isotonic(self._margin(x), self.y)
 
