@@ -44,8 +44,10 @@ def sample(docs: DataFrame, docs_a_language: int = DOCS, chars: int = CHARS, pie
     """Per language pieces of the labelled documents with the smallest hashes, `chars` characters at most."""
     # Ranks need no text: Spark keeps only the first rows of a language before it shuffles.
     ids = docs.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang").distinct()
-    first = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id"))
-    ids = ids.withColumn("__n", first).filter(F.col("__n") <= docs_a_language)
+    order = (F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"))
+    ids = ids.withColumn("__s", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(16)))  # a language's rows meet in one task only after a first choice
+    for keys in (["lang", "__s"], ["lang"]):
+        ids = ids.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= docs_a_language)
     size = max(1, chars // docs_a_language // pieces)
     room = F.greatest(F.length("text") - size, F.lit(0))
     cut = F.concat_ws(" ", *[F.substring("text", (F.lit(1) + F.floor(room * k / max(1, pieces - 1))).cast("int"), F.lit(size)) for k in range(pieces)])
