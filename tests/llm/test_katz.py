@@ -53,10 +53,11 @@ class Brute:
         return left / total / max(1 - sum(self.p(h[1:], x) for x in seen), 1e-12) * self.p(h[1:], w)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_equals_brute_force(spark, docs, rows, order):
+@pytest.mark.parametrize(("order", "hot"), [(1, katz.HOT), (2, katz.HOT), (3, katz.HOT), (2, 5), (3, 5)])
+def test_equals_brute_force(spark, docs, rows, order, hot):
+    """Also where nearly every history word is split into slices."""
     small = docs.filter("doc_id % 3 = 0 or doc_id > 58").filter("doc_id <> 67")
-    got = {r.doc_id: r for r in katz.score(small.withColumn("train", F.col("doc_id") % 4 != 0), order).collect()}
+    got = {r.doc_id: r for r in katz.score(small.withColumn("train", F.col("doc_id") % 4 != 0), order, hot).collect()}
     mine = [r for r in rows if (r[0] % 3 == 0 or r[0] > 58) and r[0] != 67]
     m = Brute([r[1] for r in mine if r[0] % 4], order)
     assert set(got) == {r[0] for r in mine}
@@ -73,16 +74,31 @@ def test_equals_brute_force(spark, docs, rows, order):
         assert np.isclose(g.base_score, base) and np.isclose(g.score, want)
 
 
-def test_stored_tables_are_normalised(spark, docs, rows, tmp_path):
+@pytest.mark.parametrize(("order", "hot"), [(2, katz.HOT), (3, katz.HOT), (3, 6)])
+def test_stored_model(spark, docs, rows, tmp_path, order, hot):
+    """The tables are normalised, and any texts are scored from them alone in another session."""
     small = docs.filter("doc_id < 40").withColumn("train", F.lit(True))
-    katz.store(small, str(tmp_path))
-    stored = spark.read.parquet(f"{tmp_path}/bigrams")
-    m = Brute([r[1] for r in rows if r[0] < 40], 2)
-    assert stored.count() == len(m.counts[1])
-    assert stored.agg(F.sum("count")).first()[0] == sum(m.counts[1].values())
-    mass = stored.groupBy("history").agg((F.sum("p") + F.first("alpha") * (1 - F.sum("p_below"))).alias("mass"))
-    assert mass.filter(F.abs(F.col("mass") - 1) > 1e-9).count() == 0 and mass.count() == len(m.after[1])
-    assert spark.read.parquet(f"{tmp_path}/words").count() > 0
+    katz.store(small, str(tmp_path), order, hot)
+    m = Brute([r[1] for r in rows if r[0] < 40], order)
+    fresh = spark.newSession()
+    for level in range(2, order + 1):
+        stored = fresh.read.parquet(f"{tmp_path}/grams").filter(F.col("level") == level)
+        assert stored.count() == len(m.counts[level - 1])
+        assert stored.agg(F.sum("count")).first()[0] == sum(m.counts[level - 1].values())
+        mass = stored.groupBy("v", "u").agg((F.sum("p") + F.first("alpha") * (1 - F.sum("p_below"))).alias("mass"), F.countDistinct("alpha").alias("n"))
+        assert mass.filter((F.abs(F.col("mass") - 1) > 1e-9) | (F.col("n") > 1)).count() == 0 and mass.count() == len(m.after[level - 1])
+    listed = {r.word: (r["count"], r.p) for r in fresh.read.parquet(f"{tmp_path}/words").collect()}
+    assert {w or "</s>": c for w, (c, _) in listed.items()} == {w: c for (w,), c in m.counts[0].items()}
+    texts = [(i, t) for i, t, *_ in rows if i % 5 == 0] + [(1, "never seen words"), (1, None), (None, rows[2][1])]
+    got = katz.score_stored(fresh.createDataFrame(texts, "doc_id long, text string"), str(tmp_path)).collect()
+    want = []
+    for i, text in texts:
+        t = tokens(text)
+        seq = ["<s>"] * (order - 1) + t
+        want.append((str(i), len(t), sum(math.log10(m.p(seq[k : k + order - 1], w)) for k, w in enumerate(t))))
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[:2] == w[:2] and math.isclose(g[2], w[2], rel_tol=1e-9)
 
 
 def test_odd_rows_and_no_training(spark, odd, none):
