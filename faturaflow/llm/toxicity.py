@@ -39,11 +39,11 @@ from faturaflow.llm.arrowtext import Hasher, Words, ragged, runs, slices
 from faturaflow.llm.classify_common import BYTES, labelled, scored
 from faturaflow.llm.common import bounded, crc_mod, table
 
-BOUND, K, BLOCK, LIMIT = 6000, 15, 64, 4 << 20
+BOUND, K, BLOCK, LIMIT = 5000, 15, 128, 4 << 20
 #: Word votes that count, and the weight of the prior in each, in neighbours.
 TOP, PRIOR = 4, 3.0
 #: Terms of queries that are worked on at a time, and blocks opened before the K-th cosine is looked at.
-TERMS_AT_ONCE, FIRST_BLOCKS = 16_384, 16
+TERMS_AT_ONCE, FIRST_BLOCKS = 32_768, 8
 _HASH = Hasher(41)
 _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in ".,;:!?()'\"-*$%&#|"]] = True
@@ -70,7 +70,7 @@ def occurrences(column, known: np.ndarray | None = None):
         place = np.minimum(np.searchsorted(known, term), max(len(known) - 1, 0))
         ok = known[place] == term if len(known) else np.zeros(len(term), bool)
         owner, term, starts, ends = owner[ok], place[ok].astype(np.int64), starts[ok], ends[ok]
-    order = np.lexsort((term, owner))
+    order = np.argsort(owner * len(known) + term, kind="stable") if known is not None else np.lexsort((term, owner))
     owner, term = owner[order], term[order]
     new = np.flatnonzero(np.concatenate([np.ones(min(1, len(owner)), bool), (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])]))
     return owner[new], term[new], np.diff(np.append(new, len(owner))), starts[order[new]], ends[order[new]], data
@@ -303,8 +303,6 @@ class Neighbours:
             todo &= bound >= np.repeat(kth - 1e-9, self.n_blocks)
         self._open(cos, query, pair, entry, weight, todo, itself)
         cos = cos.reshape(n, -1)
-        if cos.shape[1] > K and todo.any():
-            kth = np.partition(cos, cos.shape[1] - K, axis=1)[:, -K]
         a, b = np.nonzero(cos >= np.maximum(kth - 1e-12, 1e-300)[:, None])
         value, example = np.round(cos[a, b], 12), self.example[b]  # the order of a sum makes no difference to ties
         order = np.lexsort((example, -value, a))
