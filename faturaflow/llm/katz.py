@@ -49,6 +49,8 @@ from faturaflow.llm.common import WORD, bounded, crc_mod, table, written
 from faturaflow.llm.substring_dedup import buckets
 
 ORDER, K = 3, 5
+#: Bytes of a batch, and words that a bucket of the key space stands for.
+BATCH_BYTES, BUCKET_KEYS = 6 << 20, 1 << 20
 #: Training occurrences beyond which the grams of a history word are split into slices.
 HOT = 1 << 18
 _HASH = Hasher(51)
@@ -123,13 +125,12 @@ class _Tokens:
     def words(self, replies: pa.Table, named: bool = False) -> None:
         """Corpus-wide ids and counts of the batch's distinct words; in a named model words go by their hash."""
         told, n = S.answered(replies, 1), len(self.hashes)
-        self.id, self.count = np.zeros(n, U), np.zeros(n, np.int64)
+        self.id, self.tag, self.count = np.zeros(n, U), np.zeros(n, U), np.zeros(n, np.int64)
         for k, a, b in S.by_bucket(buckets(self.hashes, self.bits, 64 - self.bits)):
-            place, count = _unpack(told[k], np.uint32, np.int64)
-            self.id[a:b] = U(k) << U(32) | place.astype(U)
-            self.count[a:b] = count
+            place, tag, self.count[a:b] = _unpack(told[k], np.uint32, np.uint32, np.int64)
+            self.id[a:b], self.tag[a:b] = U(k) << U(32) | place.astype(U), U(k) << U(32) | tag.astype(U)
         if named:
-            self.id = self.hashes
+            self.id = self.tag = self.hashes
 
     def grams(self, order: int, train_docs: int, hot: int) -> None:
         """The distinct grams (v, u, w) by bucket, and the gram of each token."""
@@ -158,21 +159,21 @@ class _Tokens:
         self.gram = np.empty(len(code), np.int64)
         self.gram[order_] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(code))))
         shown = order_[begins]  # a token that shows each gram
-        self.seen = np.add.reduceat(self.train[order_].astype(np.int64), begins) if len(begins) else np.zeros(0, np.int64)
+        self.seen = np.add.reduceat(self.train[order_].astype(np.uint32), begins) if len(begins) else np.zeros(0, np.uint32)
         self.w, h, o = self.word[shown], hist[shown], own[shown]
         self.heads = runs(h)  # first gram of each history
-        self.u, self.size = u[shown[self.heads]], np.diff(np.append(self.heads, len(h)))
-        self.owners = runs(o[self.heads])  # first history of each v
-        self.v, self.many = v[shown[self.heads[self.owners]]], np.diff(np.append(self.owners, len(self.heads)))
+        self.u, self.size = u[shown[self.heads]], np.diff(np.append(self.heads, len(h))).astype(np.uint32)
+        owners = runs(o[self.heads])  # first history of each v
+        begin = shown[self.heads[owners]]
+        self.v, self.many = v[begin], np.diff(np.append(owners, len(self.heads))).astype(np.uint32)
         self.ids, self.counts = ids, count
-        begin = shown[self.heads[self.owners]]
         self.spans = S.by_bucket(bucket[begin])  # (bucket, from, to) of v
+        self.cuts = np.append(owners, len(self.heads)), np.append(self.heads, len(self.w))
 
     def cut(self, x: int, y: int) -> tuple[slice, slice]:
         """The histories and the grams of v number x to y."""
-        lo, hi = np.append(self.owners, len(self.heads))[[x, y]]
-        heads = np.append(self.heads, len(self.w))
-        return slice(lo, hi), slice(heads[lo], heads[hi])
+        lo, hi = self.cuts[0][x], self.cuts[0][y]
+        return slice(lo, hi), slice(self.cuts[1][lo], self.cuts[1][hi])
 
     def p(self, level1: Level1, replies: pa.Table, order: int) -> np.ndarray:
         """The probability of each token at the highest level."""
@@ -193,19 +194,22 @@ class _Tokens:
             weight[need] = alpha
             below = p1[self.w[grams][miss]]
             if order > 2:
-                owner = np.repeat(np.arange(y - x), self.many[x:y])
-                need = np.zeros(y - x, bool)
-                need[owner[of[miss]]] = True
-                at = (np.cumsum(need) - 1)[owner[of[miss]]]
-                below = np.where(r2 > 0, low[np.minimum(r2, K + 1)] * r2 / np.maximum(total2[at], 1), alpha2[at] * below)
+                owner = np.repeat(np.arange(y - x), self.many[x:y])[of[miss]]
+                full, weight2 = np.zeros(y - x), np.ones(y - x)
+                for got2, which in ((full, owner[r2 > 0]), (weight2, owner[r2 == 0])):
+                    need = np.zeros(y - x, bool)
+                    need[which] = True
+                    got2[need] = total2 if got2 is full else alpha2
+                below = np.where(r2 > 0, low[np.minimum(r2, K + 1)] * r2 / np.maximum(full[owner], 1), weight2[owner] * below)
             got[miss] = weight[of[miss]] * below
             p[grams] = got
         return p[self.gram]
 
 
-#: Types of an answer: r and total, alpha of histories with unseen grams; r, total and alpha of the level below for these.
+#: Types of an answer: r and total, alpha of histories with unseen grams; for these r of the pair, total of v where that is seen, alpha where not.
 _TOLD = (np.int64, np.int64, np.float64, np.int64, np.int64, np.float64)
-#: Types of a message: v, its count and histories; u and its grams; w, its count and times seen.
+#: Types of a message: v, its count and histories; u and its grams; w, its count and times seen. A word w is its count and a tag among
+#: the words of that count, for the two together are hardly more bytes than an id.
 _SENT = (U, np.int64, np.uint32, U, np.uint32, U, np.int64, np.uint32)
 
 
@@ -230,13 +234,19 @@ def _count_words(bucket: int, rows: pa.Table) -> pa.Table:
     n, data, batch = rows["n"].to_numpy(), rows["data"].to_pylist(), rows["batch"].to_pylist()
     keys = np.concatenate([S.unplanes(d, np.uint64, k) for d, k in zip(data, n, strict=True)])
     count = np.concatenate([S.unplanes(d, np.uint32, k, 8 * k) for d, k in zip(data, n, strict=True)]).astype(np.int64)
-    known, place = np.unique(keys, return_inverse=True)
-    total = np.bincount(place, count).astype(np.int64)
-    ends, all_ = np.cumsum(n), total[place]
+    known, own = np.unique(keys, return_inverse=True)
+    total = np.bincount(own, count).astype(np.int64)
+    # Frequent words come first: their ids have few bytes.
+    order = np.argsort(-total, kind="stable")
+    place, tag = np.empty(len(total), np.uint32), np.empty(len(total), np.uint32)
+    place[order] = np.arange(len(total))
+    begins = runs(total[order])
+    tag[order] = np.arange(len(total)) - np.repeat(begins, np.diff(np.append(begins, len(total))))
+    ends, place, tag, all_ = np.cumsum(n), place[own], tag[own], total[own]
     out = []
     for i in range(len(n)):
         a, b = ends[i] - n[i], ends[i]
-        out.append((batch[i], bucket, 1, _pack(place[a:b].astype(np.uint32), all_[a:b])))
+        out.append((batch[i], bucket, 1, _pack(place[a:b], tag[a:b], all_[a:b])))
     ends_ = int(total[known == END].sum())
     return _replies([*out, (-1, bucket, 0, b"")], [None] * len(out) + [[int(total.sum()), int((total > 0).sum()), *_of_counts(total), ends_]])
 
@@ -249,9 +259,8 @@ def _send_grams(order: int, bits: int, train_docs: int, hot: int, named: bool):
         rows = []
         for b, x, y in t.spans:
             heads, grams = t.cut(x, y)
-            v, u, w = t.v[x:y], t.u[heads], t.w[grams]
-            data = _pack(t.ids[v], t.counts[v], t.many[x:y].astype(np.uint32), t.ids[u], t.size[heads].astype(np.uint32), t.ids[w], t.counts[w], t.seen[grams].astype(np.uint32))
-            rows.append((b, int(grams.stop - grams.start), data))
+            v, w = t.v[x:y], t.w[grams]
+            rows.append((b, len(w), _pack(t.ids[v], t.counts[v], t.many[x:y], t.ids[t.u[heads]], t.size[heads], t.tag[w], t.count[w], t.seen[grams])))
         return S.sent(batch, rows)
 
     return send
@@ -264,27 +273,27 @@ class _Bucket:
         self.batch, self.order = rows["batch"].to_pylist(), order
         got = [_unpack(d, *_SENT) for d in rows["data"].to_pylist()]
         self.cuts = [[len(x) for x in g[::3]] for g in got]  # of v, u, w by batch
-        v, vc, many, u, size, w, wc, seen = (np.concatenate([g[k] for g in got]) for k in range(8))
-        self.v, first, owner = np.unique(v, return_index=True, return_inverse=True)
-        self.v_count = vc[first]
+        v, v_count, many, u, size, w, w_count, seen = (np.concatenate([g[k] for g in got]) for k in range(8))
+        del got
+        self.v, first, v = np.unique(v, return_index=True, return_inverse=True)
+        self.v_count = v_count[first]
         us, u = np.unique(u, return_inverse=True)
-        code = np.repeat(owner, many) * np.int64(len(us)) + u
-        self.heads, self.hist = np.unique(code, return_inverse=True)  # sorted by v, u
-        self.v_of = self.heads // len(us)
-        self.u = us[self.heads % len(us)]
-        ws, first, w = np.unique(w, return_index=True, return_inverse=True)
-        p1 = level1.p(wc[first])
-        code = np.repeat(self.hist, size) * np.int64(len(ws)) + w
+        self.heads, self.hist = np.unique(np.repeat(v, many) * np.int64(len(us)) + u, return_inverse=True)  # sorted by v, u
+        self.v_of, u = np.divmod(self.heads, len(us))
+        self.u = us[u]
+        ids, first, place = np.unique(mix(w + mix(w_count.astype(U))), return_index=True, return_inverse=True)
+        ids, n, p1 = w[first], np.int64(len(ids)), level1.p(w_count[first])
+        code = np.repeat(self.hist, size) * n + place
         order_ = np.argsort(code, kind="stable")
         begins = runs(code[order_])
         self.gram = np.empty(len(code), np.int64)
         self.gram[order_] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(code))))
         self.r = np.add.reduceat(seen[order_].astype(np.int64), begins)
-        self.h_of, w = np.divmod(code[order_[begins]], len(ws))
-        pairs, self.pair = np.unique(self.v_of[self.h_of] * np.int64(len(ws)) + w, return_inverse=True)
+        self.h_of, w = np.divmod(code[order_[begins]], n)
+        pairs, self.pair = np.unique(self.v_of[self.h_of] * n + w, return_inverse=True)
         self.pair_r = np.bincount(self.pair, self.r, len(pairs)).astype(np.int64)
-        self.pair_v, pair_w = np.divmod(pairs, len(ws))
-        self.w, self.pair_w, self.p1 = ws[w], ws[pair_w], p1[pair_w]
+        self.pair_v, pair_w = np.divmod(pairs, n)
+        self.w, self.pair_w, self.p1 = ids[w], ids[pair_w], p1[pair_w]
 
     def stats(self) -> list[int]:
         """Counts of counts of pairs and of triples."""
@@ -382,6 +391,13 @@ def _merged(key, rows: pa.Table, told: pa.Table, order: int, level1: Level1, bit
     return b, d, b.weights(*sums)
 
 
+def _among(values: np.ndarray, chosen: np.ndarray, n: int) -> np.ndarray:
+    """Which of the values, numbers below n, are chosen."""
+    mark = np.zeros(n, bool)
+    mark[chosen] = True
+    return mark[values]
+
+
 def _answer(order: int, level1: Level1, bits: int):
     def answer(key, rows: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -394,16 +410,14 @@ def _answer(order: int, level1: Level1, bits: int):
             gram, own = b.gram[g : g + grams], b.hist[h : h + heads]
             r = b.r[gram]
             missed = gram[r == 0]
-            # Histories and v that have an unseen gram, in the batch's order.
-            need = np.zeros(len(b.heads), bool)
-            need[b.h_of[missed]] = True
-            of_v = np.zeros(len(b.v), bool)
-            of_v[b.v_of[b.h_of[missed]]] = True
+            # What is told of histories and of v that have unseen grams is in the batch's order.
             mine = b.v_of[own]
             mine = mine[runs(mine)]
-            mine = mine[of_v[mine]] if order > 2 else mine[:0]
             r2 = b.pair_r[b.pair[missed]] if order > 2 else r[:0]
-            out.append((batch, bucket, 2, _pack(r, total[own].astype(np.int64), alpha[own[need[own]]], r2, total2[mine].astype(np.int64), alpha2[mine])))
+            v = b.v_of[b.h_of[missed]][: len(r2)]
+            totals, alphas = (mine[_among(mine, which, len(b.v))] for which in (v[r2 > 0], v[r2 == 0]))
+            weight = alpha[own[_among(own, b.h_of[missed], len(b.heads))]]
+            out.append((batch, bucket, 2, _pack(r, total[own].astype(np.int64), weight, r2, total2[totals].astype(np.int64), alpha2[alphas])))
             h, g = h + heads, g + grams
         return S.answers(out)
 
@@ -422,7 +436,7 @@ class _Plan:
 
     def __init__(self, docs: DataFrame, order: int, hot: int, named: bool = False):
         docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("train", F.lit(False)).alias("train"))
-        self.order, self.plan = order, S.plan_for(docs)
+        self.order, self.plan = order, S.plan_for(docs, batch_bytes=BATCH_BYTES, bucket_keys=BUCKET_KEYS)
         self.bits = bits = self.plan.bits
         self.batches = S.packed(docs, self.plan)
         words = written(S.reduce_buckets(S.scatter(self.batches, _send_words(bits)), _count_words, _REPLY), "words")
