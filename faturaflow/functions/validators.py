@@ -6,6 +6,8 @@ checks are ordered: the first that fails decides error and confidence.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,9 +39,9 @@ def digits(value: Column) -> Column:
 
 def mod11(number: Column, weights) -> Column:
     """The check digit of the first digits of a number: 0 for a remainder under 2, else 11 less the remainder."""
-    each = F.zip_with(F.split(number, ""), F.array(*map(F.lit, weights)), lambda d, w: F.coalesce(d.try_cast("int") * w, F.lit(0)))
-    rest = F.aggregate(each, F.lit(0), lambda total, x: total + x) % 11
-    return bind(rest, lambda r: F.when(r < 2, F.lit(0)).otherwise(11 - r))
+    digit = lambda i: F.greatest(F.ascii(F.substring(number, i, 1)) - 48, F.lit(0))
+    total = reduce(lambda a, b: a + b, [w * digit(i) for i, w in enumerate(weights, 1)])
+    return bind(total % 11, lambda r: F.when(r < 2, F.lit(0)).otherwise(11 - r))
 
 
 def cnpj_digits(base: Column) -> Column:
@@ -232,7 +234,8 @@ def money(value: Column, fiscal: bool = False, expected: str | None = None) -> C
         shaped = number.isNotNull() | text.rlike(_NUMBER) | F.lower(text).rlike(r"^[+-]?inf(?:inity)?$")
         negative = text.startswith("-") & text.rlike(r"^-[^eE]*[1-9iI]")
         huge = (number > MOST_MONEY) | number.isNull()
-        cents = (number != F.round(number, 2)) | text.rlike(r"^[^eE]*\.[0-9]{2}[0-9]*[1-9][0-9]*$")
+        # Digits beyond the decimal type's scale are judged on the text.
+        cents = (number != F.round(number, 2)) | ((number == 0) & text.rlike(r"^[^eE]*[1-9]")) | text.rlike(r"^[^eE]*\.[0-9]{2}[0-9]*[1-9][0-9]*$")
         checks = []
         if fiscal:
             checks.append((code != "BRL", 100, F.concat(F.lit("Contexto fiscal brasileiro deve usar Real (R$), não: "), code)))

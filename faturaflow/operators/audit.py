@@ -30,11 +30,11 @@ def encoding(text: Column) -> Column:
     return F.when(F.is_valid_utf8(text), "utf-8").otherwise("unknown")
 
 
-def metadata(content: Column, text: Column, pages: Column, kind: str = "bytes") -> Column:
-    """Raw metadata of a document; file_size_bytes is the UTF-8 length of its text."""
+def metadata(content: Column, text: Column, pages: Column, kind: Column) -> Column:
+    """Raw metadata of a document; file_size_bytes is the UTF-8 length of its text, kind is file or bytes."""
     return F.struct(
         content_hash(content).alias("input_hash_sha256"),
-        F.lit(kind).alias("input_type"),
+        kind.alias("input_type"),
         F.octet_length(text).cast("long").alias("file_size_bytes"),
         pages.alias("page_count"),
         encoding(text).alias("encoding_detected"),
@@ -45,14 +45,13 @@ def context(name: str, given: Column) -> Column:
     return F.coalesce(given, F.lit(UNKNOWN[name]))
 
 
-def stage_details(stage: str, **fields: Column) -> Column:
-    """The details of a stage's event as flat text values."""
-    pairs = [x for name, value in fields.items() for x in (F.lit(name), value.cast("string"))]
-    return F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+def stage_details(**fields: Column) -> Column:
+    """The details of a stage's event as a JSON object: numbers, booleans and nulls stay what they are."""
+    return F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()]), {"ignoreNullFields": "false"})
 
 
 def events(failed: Column, error: Column, details: dict[str, Column], at: Column) -> Column:
-    """The audit trail: a success event for each stage before the failed one, then one failure event.
+    """The audit trail: a success event for each stage before the failed one, then one failure event; details are JSON objects.
 
     `failed` names the stage that failed, null where none did; later stages leave no event.
     """
@@ -61,11 +60,17 @@ def events(failed: Column, error: Column, details: dict[str, Column], at: Column
     stop = F.coalesce(F.try_element_at(order, failed), F.lit(len(STAGES)))
     for i, stage in enumerate(STAGES):
         ok = F.struct(at.alias("timestamp"), F.lit(stage).alias("stage"), F.lit("SUCCESS").alias("status"), details[stage].alias("details"), F.lit("CONTINUE").alias("error_policy"))
-        bad = F.struct(at.alias("timestamp"), F.lit(stage).alias("stage"), F.lit("FAILURE").alias("status"), F.create_map(F.lit("error"), error).alias("details"), F.lit("ABORT").alias("error_policy"))
+        bad = F.struct(at.alias("timestamp"), F.lit(stage).alias("stage"), F.lit("FAILURE").alias("status"), stage_details(error=error).alias("details"), F.lit("ABORT").alias("error_policy"))
         made.append(F.when(stop > i, ok).when(stop == i, bad))
     return F.filter(F.array(*made), lambda x: x.isNotNull())
 
 
+def event_json(event: Column) -> Column:
+    """An event as JSON, its details as the object that they are."""
+    rest = F.to_json(F.struct(*[event[n].alias(n) for n in ("timestamp", "stage", "status", "error_policy")]), {"ignoreNullFields": "false"})
+    return F.concat(F.rtrim(rest, F.lit("}")), F.lit(',"details":'), F.coalesce(event["details"], F.lit("{}")), F.lit("}"))
+
+
 def envelope(result: dict[str, Column]) -> Column:
     """The event contract of a result as JSON: a null payload is {}, the duration is null without an end."""
     ms = (F.unix_micros(result["end_time"].cast("timestamp")) - F.unix_micros(result["start_time"].cast("timestamp"))) / 1000
@@ -82,7 +87,7 @@ def envelope(result: dict[str, Column]) -> Column:
     )
     data = F.concat(
         F.lit('{"payload":'), payload,
-        F.lit(',"audit_trail":'), F.coalesce(F.to_json(result["events"]), F.lit("[]")),
+        F.lit(',"audit_trail":['), F.coalesce(F.array_join(F.transform(result["events"], event_json), ","), F.lit("")), F.lit("]"),
         F.lit(',"metrics":{"total_duration_ms":'), F.coalesce(ms.cast("string"), F.lit("null")), F.lit("}}"),
     )
     return F.concat(F.rtrim(head, F.lit("}")), F.lit(',"data":'), data, F.lit("}"))

@@ -9,6 +9,7 @@ from faturaflow.functions import validators as V
 from faturaflow.functions.rx import EXACT, LOOSE, S, all_matches, bind, first, lines, strip
 from faturaflow.operators import segment
 
+#: The patterns of numbers.
 CNPJ = rf"{EXACT}\b\d{{2}}\.?\d{{3}}\.?\d{{3}}/?\.?\d{{4}}-?\d{{2}}\b"
 KEY = rf"{EXACT}\b\d{{44}}\b"
 MONEY = rf"{EXACT}R?\$?{S}*(\d{{1,3}}(?:[.,]\d{{3}})*(?:[.,]\d{{2}}))"
@@ -73,7 +74,8 @@ def party(block: Column) -> Column:
     found = F.filter(F.transform(lines(block), strip), lambda x: x != "")
     names = F.transform(F.filter(found, lambda x: ~V.cnpj_valid(x)), party_name)
     name = F.get(F.filter(names, lambda x: x.isNotNull()), F.lit(0))
-    return F.when(strip(block) != "", F.struct(name.alias("name"), F.get(cnpjs(block), F.lit(0)).alias("cnpj_cpf")))
+    blank = [F.lit(None).cast("string").alias(n) for n in ("address", "municipal_insc", "email", "phone")]
+    return F.when(strip(block) != "", F.struct(name.alias("name"), F.get(cnpjs(block), F.lit(0)).alias("cnpj_cpf"), *blank))
 
 
 def money_tokens(line: Column) -> Column:
@@ -88,13 +90,16 @@ def description(line: Column, amounts: Column) -> Column:
 
 
 def items(block: Column) -> Column:
-    """Item structs (description, unit_value, raw): lines with amounts, and long lines without."""
+    """Item structs: lines with amounts, and long lines without. quantity, unit and cfop are never told by a line."""
 
     def item(line: Column) -> Column:
         def of(amounts: Column) -> Column:
             return F.struct(
                 F.when(F.size(amounts) > 0, description(line, amounts)).when(F.length(line) > 15, line).alias("description"),
+                F.lit(None).cast("double").alias("quantity"),
+                F.lit(None).cast("string").alias("unit"),
                 F.element_at(F.when(F.size(amounts) > 0, amounts), -1).alias("unit_value"),
+                F.lit(None).cast("string").alias("cfop"),
                 line.alias("raw"),
             )
 
@@ -117,8 +122,8 @@ def total(block: Column) -> Column:
     return F.coalesce(*found)
 
 
-def record(text: Column, b: Column) -> Column:
-    """The invoice record of a normalised text and its sections."""
+def record(text: Column, b: Column, source: Column | None = None) -> Column:
+    """The invoice record of a normalised text and its sections; source names the file it came from."""
     return F.struct(
         emission_date(text).alias("emission_date"),
         competence_date(text).alias("competence_date"),
@@ -132,9 +137,11 @@ def record(text: Column, b: Column) -> Column:
             F.lit(None).cast("string").alias("payment_method"),
         ).alias("financials"),
         text.alias("raw_text"),
+        F.lit(None).cast("string").alias("tenant_id"),
+        (F.lit(None).cast("string") if source is None else source).alias("source_filename"),
     )
 
 
-def invoice(text: Column) -> Column:
+def invoice(text: Column, source: Column | None = None) -> Column:
     """The invoice record of a normalised text."""
-    return bind(segment.blocks(text), lambda b: record(text, b))
+    return bind(segment.blocks(text), lambda b: record(text, b, source))

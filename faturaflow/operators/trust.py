@@ -26,27 +26,35 @@ def _given(x: Column) -> Column:
     return F.coalesce(x != "", F.lit(False))
 
 
-def findings(issuer: Column, recipient: Column, total: Column, key: Column) -> dict[str, tuple[Column, Column]]:
-    """For each rule whether it fires and its message, of an issuer's and recipient's CNPJ, total and key."""
-    cnpj, money, chave = V.cnpj(issuer), V.fiscal_money(total), V.nfe_key(key)
+def faults(issuer: Column, total: Column, key: Column) -> Column:
+    """What is wrong with an issuer's CNPJ, a total and a key, each null where nothing is: every validator runs once."""
+    return F.struct(V.cnpj(issuer)["erro"].alias("cnpj"), V.fiscal_money(total)["erro"].alias("money"), V.nfe_key(key)["erro"].alias("key"))
+
+
+def findings(issuer: Column, recipient: Column, total: Column, key: Column, wrong: Column) -> dict[str, tuple[Column, Column]]:
+    """For each rule whether it fires and its message, of an issuer's and recipient's CNPJ, total, key and their faults."""
     return {
         "MISSING_ISSUER": (~_given(issuer), F.lit("CNPJ do emitente não encontrado")),
-        "INVALID_ISSUER_CNPJ": (_given(issuer) & ~cnpj["valido"], F.concat(F.lit("CNPJ inválido: "), cnpj["erro"])),
+        "INVALID_ISSUER_CNPJ": (_given(issuer) & wrong["cnpj"].isNotNull(), F.concat(F.lit("CNPJ inválido: "), wrong["cnpj"])),
         "MISSING_RECIPIENT": (~_given(recipient), F.lit("Tomador não identificado")),
         "MISSING_TOTAL": (~_given(total), F.lit("Valor total não encontrado")),
-        "INVALID_TOTAL_FORMAT": (_given(total) & ~money["valido"], F.concat(F.lit("Formato inválido: "), money["erro"])),
-        "INVALID_KEY": (_given(key) & ~chave["valido"], F.concat(F.lit("Chave inválida: "), chave["erro"])),
+        "INVALID_TOTAL_FORMAT": (_given(total) & wrong["money"].isNotNull(), F.concat(F.lit("Formato inválido: "), wrong["money"])),
+        "INVALID_KEY": (_given(key) & wrong["key"].isNotNull(), F.concat(F.lit("Chave inválida: "), wrong["key"])),
     }
 
 
 def issues(issuer: Column, recipient: Column, total: Column, key: Column) -> Column:
     """Array of issue structs (code, field, message, severity) in the order of the checks."""
-    found = findings(issuer, recipient, total, key)
-    each = [
-        F.when(found[code][0], F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), found[code][1].alias("message"), F.lit(severity).alias("severity")))
-        for code, field, severity, _ in RULES
-    ]
-    return F.filter(F.array(*each), lambda x: x.isNotNull())
+
+    def listed(wrong: Column) -> Column:
+        found = findings(issuer, recipient, total, key, wrong)
+        each = [
+            F.when(found[code][0], F.struct(F.lit(code).alias("code"), F.lit(field).alias("field"), found[code][1].alias("message"), F.lit(severity).alias("severity")))
+            for code, field, severity, _ in RULES
+        ]
+        return F.filter(F.array(*each), lambda x: x.isNotNull())
+
+    return bind(faults(issuer, total, key), listed)
 
 
 def score(found: Column) -> Column:

@@ -8,19 +8,25 @@ own: fields of the record that nothing uses are pruned, and what several use is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faturaflow.functions.rx import bind
 from faturaflow.operators import audit, extract, normalize, segment, trust
 from faturaflow.sources.pdf import Extractor, extract_text, read_pdf
 
 
-def parse_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with invoice, the record of the normalised text; all its fields are null or empty for a null text."""
+def parse_texts(docs: DataFrame, text: str = "text", source: Column | None = None) -> DataFrame:
+    """docs with invoice, the record of the normalised text; all its fields are null or empty for a null text.
+
+    A binary column is read as UTF-8, without what is none.
+    """
+    if docs.schema[text].dataType == T.BinaryType():
+        docs = docs.withColumn(text, segment.scrub_utf8(F.col(text)))
     normalize.require_text(docs, text)
     cut = docs.withColumn("__n", normalize.normalize_text(F.col(text))).withColumn("__b", segment.blocks(F.col("__n")))
-    return cut.withColumn("invoice", extract.record(F.col("__n"), F.col("__b"))).drop("__n", "__b")
+    return cut.withColumn("invoice", extract.record(F.col("__n"), F.col("__b"), source)).drop("__n", "__b")
 
 
 def validate(docs: DataFrame) -> DataFrame:
@@ -40,40 +46,52 @@ def process_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     return validate(parse_texts(docs, text))
 
 
-def process(docs: DataFrame, extractor: Extractor = read_pdf) -> DataFrame:
+def process(
+    docs: DataFrame, extractor: Extractor = read_pdf, normalizer=normalize.normalize_text, parser=extract.invoice, validator=trust.verdict
+) -> DataFrame:
     """Documents (source, input_type, content and, if given, trace_id, execution_id, tenant_id) to results.
 
     A result has the ids, start_time, end_time, status, trust_score, validation_issues, events, payload
-    and raw_metadata. Durations of single rows mean nothing in a batch, so events carry none.
+    and raw_metadata, whose fields are all null where reading failed. Stages are column functions: normalizer(text), parser(text, source)
+    and validator(payload). One that gives null for a document aborts it at that stage: the trail ends there with a failure, the
+    status is error and there is no payload. READ's duration is its own; the other stages run as one generated projection, in which a
+    row has no durations: theirs are null.
     """
     named = docs.withColumns({n: audit.context(n, F.col(n) if n in docs.columns else F.lit(None).cast("string")) for n in audit.UNKNOWN})
     read = extract_text(named.withColumn("start_time", F.localtimestamp()), extractor)
-    normal = read.withColumn("normalized", F.when(F.col("read_error").isNull(), normalize.normalize_text(F.col("text"))))
-    parsed = normal.withColumn("payload", bind(F.col("normalized"), lambda n: F.when(n.isNotNull(), extract.invoice(n))))
-    judged = parsed.withColumn("__v", F.when(F.col("payload").isNotNull(), trust.verdict(F.col("payload"))))
+    normal = read.withColumn("normalized", F.when(F.col("read_error").isNull(), normalizer(F.col("text"))))
+    parsed = normal.withColumn("__p", bind(F.col("normalized"), lambda n: F.when(n.isNotNull(), parser(n, F.col("source")))))
+    judged = parsed.withColumn("__v", F.when(F.col("__p").isNotNull(), validator(F.col("__p"))))
+    payload, verdict, none = F.col("__p"), F.col("__v"), F.lit(None).cast("double")
     details = {
-        "READ": audit.stage_details("READ", page_count=F.col("page_count"), extraction_method=F.col("extration_method"), input_source=F.col("source")),
+        "READ": audit.stage_details(duration_sec=F.round("read_sec", 4), page_count=F.col("page_count"), extraction_method=F.col("extration_method"), input_source=F.col("source")),
         "NORMALIZE": audit.stage_details(
-            "NORMALIZE", raw_text_hash_sha256=audit.content_hash(F.col("text")), normalized_text_hash_sha256=audit.content_hash(F.col("normalized")),
+            duration_sec=none, raw_text_hash_sha256=audit.content_hash(F.col("text")), normalized_text_hash_sha256=audit.content_hash(F.col("normalized")),
             reduction_ratio=audit.reduction_ratio(F.col("text"), F.col("normalized")),
         ),
         "PARSE": audit.stage_details(
-            "PARSE", items_count=F.size("payload.items"), issuer_found=F.col("payload.issuer").isNotNull(), recipient_found=F.col("payload.recipient").isNotNull(),
-            total_value=F.col("payload.financials.total"),
+            duration_sec=none, items_count=F.size(payload["items"]), issuer_found=payload["issuer"].isNotNull(), recipient_found=payload["recipient"].isNotNull(),
+            total_value=payload["financials"]["total"],
         ),
         "VALIDATE": audit.stage_details(
-            "VALIDATE", trust_score=F.col("__v.score"), issues_count=F.size("__v.issues"), critical_errors=F.exists("__v.issues", lambda x: x["severity"] == "error"),
+            duration_sec=none, trust_score=verdict["score"], issues_count=F.size(verdict["issues"]), critical_errors=F.exists(verdict["issues"], lambda x: x["severity"] == "error"),
         ),
     }
-    failed = F.when(F.col("read_error").isNotNull(), "READ")
-    trail = audit.events(failed, F.col("read_error"), details, F.localtimestamp())
-    return judged.select(
+    reached = {"READ": F.col("read_error").isNull(), "NORMALIZE": F.col("normalized").isNotNull(), "PARSE": payload.isNotNull(), "VALIDATE": verdict.isNotNull()}
+    failed = F.lit(None).cast("string")
+    for stage in reversed(audit.STAGES):
+        failed = F.when(~reached[stage], stage).otherwise(failed)
+    error = F.coalesce(F.col("read_error"), F.concat(failed, F.lit(" gave no result")))
+    trail = audit.events(failed, error, details, F.localtimestamp())
+    known, ok = audit.metadata(F.col("content"), F.col("text"), F.col("page_count"), F.col("input_type")), verdict.isNotNull()
+    fields = ("input_hash_sha256", "input_type", "file_size_bytes", "page_count", "encoding_detected")
+    return judged.withColumn("__m", known).select(
         "trace_id", "execution_id", "tenant_id", "start_time", F.localtimestamp().alias("end_time"),
-        F.coalesce("__v.status", F.lit("error")).alias("status"),
-        F.coalesce(F.round("__v.score", 2), F.lit(0.0)).alias("trust_score"),
-        F.coalesce("__v.issues", F.array().cast("array<struct<code:string,field:string,message:string,severity:string>>")).alias("validation_issues"),
-        trail.alias("events"), "payload",
-        F.when(F.col("read_error").isNull(), audit.metadata(F.col("content"), F.col("text"), F.col("page_count"))).alias("raw_metadata"),
+        F.coalesce(verdict["status"], F.lit("error")).alias("status"),
+        F.coalesce(F.round(verdict["score"], 2), F.lit(0.0)).alias("trust_score"),
+        F.coalesce(verdict["issues"], F.array().cast("array<struct<code:string,field:string,message:string,severity:string>>")).alias("validation_issues"),
+        trail.alias("events"), F.when(ok, payload).alias("payload"),
+        F.struct(*[F.when(reached["READ"], F.col(f"__m.{n}")).alias(n) for n in fields]).alias("raw_metadata"),
     )
 
 

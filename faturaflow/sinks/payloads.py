@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PARTY = "struct<name:string,cnpj_cpf:string,address:string,municipal_insc:string,email:string,phone:string>"
 INVOICE = (
-    "emission_date string, competence_date string, chave_acesso string, issuer struct<name:string,cnpj_cpf:string>, "
-    "recipient struct<name:string,cnpj_cpf:string>, items array<struct<description:string,unit_value:string,raw:string>>, "
-    "financials struct<total:string,taxes:map<string,string>,payment_method:string>, raw_text string"
+    f"emission_date string, competence_date string, chave_acesso string, issuer {PARTY}, recipient {PARTY}, "
+    "items array<struct<description:string,quantity:double,unit:string,unit_value:string,cfop:string,raw:string>>, "
+    "financials struct<total:string,taxes:map<string,string>,payment_method:string>, raw_text string, tenant_id string, source_filename string"
 )
 
 

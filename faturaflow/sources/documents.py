@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,12 +46,17 @@ def admission(content_type: Column, size: Column, content: Column, limit: int =
 
 
 def parse_context(text: Column) -> Column:
-    """The context struct of a JSON text, with `valid`: a tenant of 1 to 100 letters or digits, - and _, and known choices."""
+    """The context struct of a JSON text, with `valid`: a tenant of 1 to 100 letters or digits, - and _, and known choices.
+
+    A choice that is left out has its default; one that is null in so many words is refused.
+    """
     c = F.from_json(text, CONTEXT, {"columnNameOfCorruptRecord": "_corrupt"})
     tenant = c["tenant_id"]
     named = tenant.rlike(r"^[\p{L}\p{N}_-]*[\p{L}\p{N}][\p{L}\p{N}_-]*$") & (F.length(tenant) <= 100)
+    keys = F.json_object_keys(text)
+    refused = reduce(lambda a, b: a | b, [F.array_contains(keys, n) & c[n].isNull() for n in ("pipeline", "dry_run", "priority")])
     pipeline, priority = F.coalesce(c["pipeline"], F.lit("enterprise")), F.coalesce(c["priority"], F.lit("normal"))
-    valid = F.coalesce(named & pipeline.isin(*PIPELINES) & priority.isin(*PRIORITIES) & c["_corrupt"].isNull(), F.lit(False))
+    valid = F.coalesce(named & ~refused & pipeline.isin(*PIPELINES) & priority.isin(*PRIORITIES) & c["_corrupt"].isNull(), F.lit(False))
     return F.struct(
         tenant.alias("tenant_id"), c["trace_id"].alias("trace_id"), c["execution_id"].alias("execution_id"), pipeline.alias("pipeline"),
         F.coalesce(c["dry_run"], F.lit(False)).alias("dry_run"), priority.alias("priority"), c["source"].alias("source"), valid.alias("valid"),
@@ -57,6 +64,6 @@ def parse_context(text: Column) -> Column:
 
 
 def with_ids(context: Column) -> Column:
-    """The context with a trace id and an execution id where it has none."""
+    """The context with a trace id and an execution id where it has none or an empty one."""
     made = F.concat_ws("_", context["tenant_id"], F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12))
-    return context.withField("trace_id", F.coalesce(context["trace_id"], F.uuid())).withField("execution_id", F.coalesce(context["execution_id"], made))
+    return context.withField("trace_id", F.coalesce(F.nullif(context["trace_id"], F.lit("")), F.uuid())).withField("execution_id", F.coalesce(F.nullif(context["execution_id"], F.lit("")), made))
