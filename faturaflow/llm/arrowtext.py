@@ -160,6 +160,14 @@ def crossing(first: np.ndarray, n_words: int, n: int) -> np.ndarray:
     return ok
 
 
+def by_two(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
+    """The order of pairs by small numbers, 0 or above, then by minor; equal pairs come in any order."""
+    if not len(major) or major.max() >= 1 << 16:
+        return np.lexsort((minor, major))
+    order = np.argsort(minor)
+    return order[np.argsort(major[order].astype(np.uint16), kind="stable")]  # two bytes are sorted by counting
+
+
 def runs(sorted_values: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values."""
     if not len(sorted_values):

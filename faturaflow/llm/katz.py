@@ -154,7 +154,7 @@ class _Tokens:
         _, own = np.unique((bucket << np.int64(32)) + v, return_inverse=True)
         _, hist = np.unique(own * np.int64(n + 1) + u, return_inverse=True)
         code = hist * np.int64(n) + self.word
-        order_ = np.argsort(code, kind="stable")
+        order_ = np.argsort(code)
         begins = runs(code[order_])
         self.gram = np.empty(len(code), np.int64)
         self.gram[order_] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(code))))
@@ -266,6 +266,13 @@ def _send_grams(order: int, bits: int, train_docs: int, hot: int, named: bool):
     return send
 
 
+def _by_number(number: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The value that goes with each number below n; equal numbers have equal values."""
+    out = np.empty(n, values.dtype)
+    out[number] = values
+    return out
+
+
 class _Bucket:
     """What all batches sent to one bucket, merged."""
 
@@ -275,16 +282,17 @@ class _Bucket:
         self.cuts = [[len(x) for x in g[::3]] for g in got]  # of v, u, w by batch
         v, v_count, many, u, size, w, w_count, seen = (np.concatenate([g[k] for g in got]) for k in range(8))
         del got
-        self.v, first, v = np.unique(v, return_index=True, return_inverse=True)
-        self.v_count = v_count[first]
+        self.v, v = np.unique(v, return_inverse=True)
+        self.v_count = _by_number(v, v_count, len(self.v))
         us, u = np.unique(u, return_inverse=True)
         self.heads, self.hist = np.unique(np.repeat(v, many) * np.int64(len(us)) + u, return_inverse=True)  # sorted by v, u
         self.v_of, u = np.divmod(self.heads, len(us))
         self.u = us[u]
-        ids, first, place = np.unique(mix(w + mix(w_count.astype(U))), return_index=True, return_inverse=True)
-        ids, n, p1 = w[first], np.int64(len(ids)), level1.p(w_count[first])
+        ids, place = np.unique(mix(w + mix(w_count.astype(U))), return_inverse=True)
+        n = np.int64(len(ids))
+        ids, p1 = _by_number(place, w, n), level1.p(_by_number(place, w_count, n))
         code = np.repeat(self.hist, size) * n + place
-        order_ = np.argsort(code, kind="stable")
+        order_ = np.argsort(code)
         begins = runs(code[order_])
         self.gram = np.empty(len(code), np.int64)
         self.gram[order_] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(code))))
