@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faturaflow.llm import scatter as S
-from faturaflow.llm.arrowtext import Hasher, U, Words, crossing, mix, runs, slices, spans
+from faturaflow.llm.arrowtext import Hasher, U, Words, by_two, crossing, mix, runs, slices, spans
 from faturaflow.llm.common import bounded, table, written
 from faturaflow.llm.components import components
 from faturaflow.llm.substring_dedup import buckets
@@ -58,7 +58,7 @@ def shingles(words: Words, h: np.ndarray, n: int = N) -> tuple[np.ndarray, np.nd
     if len(short):  # the whole sequence is the one shingle; its length is part of the hash
         sums = np.array([_fold(h[words.first[i] : words.first[i + 1]]) for i in short], U)
         doc, key = np.concatenate([doc, short]), np.concatenate([key, sums])
-    order = np.lexsort((key, doc))
+    order = by_two(doc, key)
     doc, key = doc[order], key[order]
     if len(doc):
         first = np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])
@@ -117,7 +117,7 @@ def signatures(keys: np.ndarray, freq: np.ndarray) -> np.ndarray:
     """The signatures of one set: its shingle hashes and their frequency steps (0: one document only)."""
     s = len(keys)
     misses = s - -(-THRESHOLD * s // 100)
-    order = np.lexsort((keys, freq))
+    order = by_two(freq, keys)
     keys, freq = keys[order], freq[order]
     common = freq > _STEP
     rare = int(len(keys) - common.sum())
@@ -202,7 +202,7 @@ def signed(docs: DataFrame, ids: DataFrame, n: int = N, text: str = "text") -> D
         size, data, batch = rows["n"].to_numpy(), rows["data"].to_pylist(), rows["batch"].to_pylist()
         keys = np.concatenate([S.unplanes(d, np.uint32, k) for d, k in zip(data, size, strict=True)])
         times = np.concatenate([S.unplanes(d, np.uint32, k, 4 * k) for d, k in zip(data, size, strict=True)]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         first = runs(keys[order])
         step = np.empty(len(keys), np.uint8)
         step[order] = np.repeat(_steps(np.add.reduceat(times[order], first)), np.diff(np.append(first, len(keys))))
@@ -324,7 +324,7 @@ def _compare(rows: pa.Table) -> pa.Table:
     slot = np.cumsum(shared) - 1
     keep = shared[place]
     owner, place = owner[keep], slot[place[keep]]
-    order = np.argsort(place, kind="stable")
+    order = np.argsort(place)
     owner, place = owner[order], place[order]
     same = np.zeros((len(ids), len(ids)), np.float32)
     width = 4096
