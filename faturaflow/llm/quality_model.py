@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faturaflow.llm.arrowtext import Hasher, U, Words, ragged, slices
+from faturaflow.llm.arrowtext import Hasher, U, Words, by_two, ragged, slices
 from faturaflow.llm.classify_common import labelled, scored
 from faturaflow.llm.common import crc_mod, table
 
@@ -54,7 +54,7 @@ def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = Words(column, lower=True)
     h = low.hashes(_HASH)
     # Words of a text by hash: distinct ones, their counts, and repeats of the word just before.
-    order = np.lexsort((h, owner))
+    order = by_two(owner, h)
     hs, ow = h[order], owner[order]
     first = runs_of(ow, hs)
     times = np.diff(np.append(first, len(hs)))
@@ -70,7 +70,7 @@ def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pair = h[:-1] * U(0x9E3779B97F4A7C15) + h[1:] if len(h) > 1 else np.zeros(0, U)
     inner = owner[1:] == owner[:-1]
     po, pv = owner[1:][inner], pair[inner]
-    o2 = np.lexsort((pv, po))
+    o2 = by_two(po, pv)
     d2 = np.bincount(po[o2][runs_of(po[o2], pv[o2])], minlength=n) if len(po) else np.zeros(n)
     stats = [
         _ratio(per[0], chars), _ratio(per[1], chars), _ratio(per[2], chars), _ratio(per[3], chars),
@@ -83,7 +83,7 @@ def features(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     norm = np.sqrt(np.bincount(who, times.astype(float) ** 2, n))
     values = np.concatenate([times / norm[who], np.full(m * n, 0.5)])
     rows = np.concatenate([who, np.tile(np.arange(n), m)])
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.min_scalar_type(n)), kind="stable")
     begins = np.searchsorted(rows[order], np.arange(n + 1))
     return slots[order], values[order], begins
 
