@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from faturaflow.llm.arrowtext import Hasher, Words, ragged, runs, slices
+from faturaflow.llm.arrowtext import Hasher, Words, by_two, ragged, runs, slices
 from faturaflow.llm.classify_common import BYTES, labelled, scored
 from faturaflow.llm.common import bounded, crc_mod, table
 
@@ -70,7 +70,7 @@ def occurrences(column, known: np.ndarray | None = None):
         place = np.minimum(np.searchsorted(known, term), max(len(known) - 1, 0))
         ok = known[place] == term if len(known) else np.zeros(len(term), bool)
         owner, term, starts, ends = owner[ok], place[ok].astype(np.int64), starts[ok], ends[ok]
-    order = np.argsort(owner * len(known) + term, kind="stable") if known is not None else np.lexsort((term, owner))
+    order = by_two(owner, term)
     owner, term = owner[order], term[order]
     new = np.flatnonzero(np.concatenate([np.ones(min(1, len(owner)), bool), (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])]))
     return owner[new], term[new], np.diff(np.append(new, len(owner))), starts[order[new]], ends[order[new]], data
