@@ -65,6 +65,7 @@ class Vocabulary:
         keys = left << 32 | right
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
+        self.rank_type = np.min_scalar_type(len(keys))  # two bytes are sorted by counting
         self.pieces = regex.compile(PIECES).findall
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -97,7 +98,7 @@ def merge(v: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not len(at):
             return
         if len(at) > 1:
-            order = np.argsort(rank, kind="stable")
+            order = np.argsort(rank.astype(v.rank_type), kind="stable")
             at, rank = at[order], rank[order]
             cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
             groups = np.split(at, cuts)
