@@ -14,25 +14,32 @@ A document's set is that of its distinct N-word shingles; two documents link whe
    number of classes follows the size step of the set; neighbouring steps share signatures.
 4. In each signature's list all members are paired with a hub and verified, in STARS passes
    with other hubs; only lists whose members still lie in different groups go on. What stays
-   open is compared block by block within families of lists that share members: the shared
-   counts of two blocks are one matrix product, and blocks of one group are not compared. So
-   a large group of near copies never becomes rows of pairs.
+   open is compared block by block within a list: the shared counts of two blocks are one matrix
+   product, and blocks of one group are not compared. So a large group of near copies never
+   becomes rows of pairs, and documents that share no signature never meet.
 
 Verification intersects the full shingle sets (64-bit hashes). Sets are whole.
 
+A node of the graph is a word sequence, named by a 64-bit hash; its class is named by the smallest id of the
+documents whose sequences its links reach.
+
 Defined cases: words are lower-cased A-Z; null texts and texts without words have no set and
-link with nothing; shorter texts than N words have their whole sequence as one shingle; rows
-that share an id are one document, with the smallest hash of theirs; null ids are dropped from
-linking and stand alone; extra columns are passed through by `dedup`. `one_of_each` takes every
-row as a document of its own, so none of the rules on ids holds there.
+link with nothing; shorter texts than N words have their whole sequence as one shingle; every row is a document of its own,
+whether its id is null or repeats, so several texts of one id have a class each; ids have any type with an order, and null ones come
+last: a class of rows without ids has none; very long texts are slices of their own; damaged UTF-8 is compared as it is;
+extra columns are passed through by `one_of_each` whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faturaflow.llm import scatter as S
 from faturaflow.llm.arrowtext import Hasher, U, Words, by_two, crossing, mix, runs, slices, spans
@@ -82,26 +89,39 @@ def _sequence(words: Words, h: np.ndarray, by: Hasher) -> np.ndarray:
     return mix((total[b] - total[a]) * down[a] + (b - a).astype(U))
 
 
-def identities(docs: DataFrame, n: int = N, text: str = "text") -> DataFrame:
-    """(doc_id, k1, k2, n_shingles), a row an id; k1, k2 hash the word sequence, null without words."""
+def _keyed(docs: DataFrame, kept: dict, n: int, text: str, sizes: bool) -> DataFrame:
+    """The columns `kept` (name: column) of docs, k1 and k2, which hash the word sequence and are null without words, and n_shingles if `sizes`."""
+    schema = docs.select(*[c.alias(name) for name, c in kept.items()]).schema
+    schema = T.StructType([*schema, T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), *([T.StructField("n_shingles", T.LongType())] if sizes else [])])
+    own = list(kept)
+    names = [*own, "k1", "k2", *(["n_shingles"] if sizes else [])]
 
     def run(batches):
         for batch in batches:
             whole, at = pa.Table.from_batches([batch]), 0
-            for t in slices([whole], text, 1 << 20):
-                ids, at = whole["doc_id"].slice(at, t.num_rows).combine_chunks(), at + t.num_rows
-                words = Words(t[text], lower=True)
+            for t in slices([whole], "__text", 1 << 20):
+                out, at = whole.slice(at, t.num_rows), at + t.num_rows
+                words = Words(t["__text"], lower=True)
                 h = words.hashes(_A)
-                size = np.bincount(shingles(words, h, n)[0], minlength=t.num_rows)
                 none = words.count == 0
-                keys = [pa.array(_sequence(words, x, by).view(np.int64), mask=none) for x, by in ((h, _A), (words.hashes(_B), _B))]
-                ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-                yield pa.RecordBatch.from_arrays([ids, *keys, pa.array(size, pa.int64())], ["doc_id", "k1", "k2", "n_shingles"])
+                new = [pa.array(_sequence(words, x, by).view(np.int64), mask=none) for x, by in ((h, _A), (words.hashes(_B), _B))]
+                if sizes:
+                    new.append(pa.array(np.bincount(shingles(words, h, n)[0], minlength=t.num_rows), pa.int64()))
+                columns = [out[c].combine_chunks() for c in own]
+                yield pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns] + new, names)
 
     bounded(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, k1 long, k2 long, n_shingles long")
-    one = F.min(F.struct("k1", "k2", "n_shingles")).alias("x")
-    return rows.filter("doc_id is not null").groupBy("doc_id").agg(one).select("doc_id", "x.*")
+    return docs.select(*[c.alias(name) for name, c in kept.items()], F.col(text).alias("__text")).mapInArrow(run, schema)
+
+
+def _batch(plan: S.Plan, text: str):
+    """The batch of a row: copies under different ids are in different ones."""
+    return S.batch_of(F.xxhash64("doc_id", text), plan)
+
+
+def identities(docs: DataFrame, n: int = N, text: str = "text", plan: S.Plan | None = None) -> DataFrame:
+    """(doc_id, batch, k1, k2, n_shingles), a row each of docs; k1, k2 hash the word sequence, null without words."""
+    return _keyed(docs, {"doc_id": F.col("doc_id"), "batch": _batch(plan or S.plan_for(docs, text), text)}, n, text, True)
 
 
 def _level(size: np.ndarray) -> np.ndarray:
@@ -160,33 +180,27 @@ def _steps(total: np.ndarray) -> np.ndarray:
     return np.where(total > 1, 1 + np.floor(np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
 
 
-def signed(docs: DataFrame, ids: DataFrame, n: int = N, text: str = "text") -> DataFrame:
-    """(doc_id, size, signatures, shingles) of the documents that another may resemble; one for each word sequence."""
-    plan = S.plan_for(docs, text)
+def signed(docs: DataFrame, ids: DataFrame, plan: S.Plan, n: int = N, text: str = "text") -> DataFrame:
+    """(node, size, signatures, shingles) of the word sequences that another may resemble."""
     bits = plan.bits
-    batches = S.packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).filter("doc_id is not null"), plan, text)
-    heads = ids.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
-    heads = heads.select(S.batch_of(F.col("doc_id"), plan).alias("batch"), F.lit(-1).alias("bucket"), F.lit(0).alias("kind"), "doc_id", "k1")
-    heads = heads.groupBy("batch").agg(F.collect_list(F.struct("doc_id", "k1")).alias("x"))
-    heads = heads.select("batch", F.lit(-1).alias("bucket"), F.lit(0).alias("kind"), F.encode(F.to_json(F.col("x")), "utf-8").alias("data"))
+    rows = docs.select(F.col(text).alias("text"), F.xxhash64("doc_id", text).alias("__key"))
+    batches = S.packed(rows, plan, "text", "__key", hashed=True)
+    heads = ids.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("batch").alias("batch"))  # one batch speaks for all copies
+    heads = heads.groupBy("batch").agg(F.collect_list("k1").alias("x"))
+    heads = heads.select("batch", F.lit(-1).alias("bucket"), F.lit(0).alias("kind"), F.encode(F.to_json("x"), "utf-8").alias("data"))
 
     def sets(t: pa.Table, replies: pa.Table):
-        """Sets of the batch's heads: ids, document numbers, shingle keys."""
-        import json
-
-        known = {x["doc_id"]: x["k1"] for x in json.loads(S.answered(replies, 0).get(-1, b"[]"))}
-        words = Words(t[text], lower=True)
+        """Sets of the batch's own sequences: names by document number, document numbers, shingle keys."""
+        known = np.array(json.loads(S.answered(replies, 0).get(-1, b"[]")), np.int64)
+        words = Words(t["text"], lower=True)
         h = words.hashes(_A)
-        k1 = _sequence(words, h, _A).view(np.int64).tolist()
-        ids_ = t["doc_id"].to_pylist()
-        mine, seen = np.zeros(len(ids_), bool), set()
-        for i, d in enumerate(ids_):
-            if known.get(d) == k1[i] and d not in seen:
-                seen.add(d)
-                mine[i] = True
+        k1 = _sequence(words, h, _A).view(np.int64)
+        mine = np.zeros(len(k1), bool)
+        at = np.flatnonzero((words.count > 0) & np.isin(k1, known))
+        mine[at[np.unique(k1[at], return_index=True)[1]]] = True
         doc, key = shingles(words, h, n)
         own = mine[doc]
-        return ids_, doc[own], key[own]
+        return k1, doc[own], key[own]
 
     def distinct(key: np.ndarray):
         low = np.sort(key >> U(32 - bits))
@@ -210,7 +224,7 @@ def signed(docs: DataFrame, ids: DataFrame, n: int = N, text: str = "text") -> D
         return S.answers([(batch[i], bucket, 1, m.tobytes()) for i in range(len(size)) if (m := step[ends[i] - size[i] : ends[i]]).any()])
 
     def sign(batch: int, t: pa.Table, replies: pa.Table) -> pa.Table:
-        ids_, doc, key = sets(t, replies)
+        names, doc, key = sets(t, replies)
         keys = distinct(key)[0]
         step = np.zeros(len(keys), np.uint8)
         told = S.answered(replies, 1)
@@ -226,10 +240,10 @@ def signed(docs: DataFrame, ids: DataFrame, n: int = N, text: str = "text") -> D
                 continue
             signs = signatures(key[a:b], own)
             if len(signs):
-                out.append((ids_[doc[a]], int(b - a), signs.view(np.int64), key[a:b].view(np.int64)))
+                out.append((names[doc[a]], int(b - a), signs.view(np.int64), key[a:b].view(np.int64)))
         return pa.table(
             {
-                "doc_id": pa.array([x[0] for x in out], pa.int64()),
+                "node": pa.array([x[0] for x in out], pa.int64()),
                 "size": pa.array([x[1] for x in out], pa.int64()),
                 "signatures": pa.array([x[2] for x in out], pa.list_(pa.int64())),
                 "shingles": pa.array([x[3] for x in out], pa.list_(pa.int64())),
@@ -238,38 +252,43 @@ def signed(docs: DataFrame, ids: DataFrame, n: int = N, text: str = "text") -> D
 
     sent = S.gather(batches, heads, send, S.SENT)
     replies = S.reduce_buckets(sent, count).unionAll(heads)
-    return S.gather(batches, replies, sign, "doc_id long, size long, signatures array<long>, shingles array<long>")
+    return S.gather(batches, replies, sign, "node long, size long, signatures array<long>, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose shingle sets are similar enough."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    """The pairs (a, b) of nodes whose shingle sets are similar enough."""
+    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b")
     same = F.size(F.array_intersect("x", "y"))
     return both.withColumn("same", same).filter(100 * F.col("same") >= THRESHOLD * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b")
 
 
 def _open(lists: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lists whose members lie in different groups, with each member's group; and all groups."""
-    group = written(components(edges), "groups", small=True).withColumnRenamed("node", "doc_id")
-    member = lists.select("sig", "doc_id", "size").join(group, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    """The lists whose members lie in different groups, with each member's group; and all groups.
+
+    What joins a list's members is written first: a join of two plain tables can be split where a list is long.
+    """
+    group = written(components(edges), "groups", small=True)
+    member = lists.select("sig", "node", "size").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    member = written(member, "members", small=True)
     mixed = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
-    return written(member.join(mixed, "sig"), "open", small=True), group
+    return written(member.join(written(mixed, "mixed", small=True), "sig"), "open", small=True), group
 
 
 def _stars(lists: DataFrame, salt: int) -> DataFrame:
     """(a, b): every member of a list beside its hub, the member with the smallest hash."""
-    hub = F.min(F.struct(F.xxhash64("doc_id", F.lit(salt)).alias("o"), F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b")))
+    hub = F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("o"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b")))
     hubs = lists.groupBy("sig").agg(hub.alias("x"), F.count("*").alias("k")).filter("k > 1").select("sig", "x.b", "x.size_b", "x.component_b")
     fits = 100 * F.least("size", "size_b") >= THRESHOLD * F.greatest("size", "size_b")
-    return lists.join(hubs, "sig").filter((F.col("component") != F.col("component_b")) & fits).select(F.col("doc_id").alias("a"), "b").distinct()
+    both = lists.join(written(hubs, "hubs", small=True), "sig")
+    return both.filter((F.col("component") != F.col("component_b")) & fits).select(F.col("node").alias("a"), "b").distinct()
 
 
-def groups(docs: DataFrame, ids: DataFrame, n: int = N, text: str = "text") -> DataFrame:
-    """(doc_id, component) of the heads of equal word sequences that link with another."""
-    sets = written(signed(docs, ids, n, text), "sets")
-    lists = sets.select(F.explode("signatures").alias("sig"), "doc_id", "size", F.col("doc_id").alias("component"))
+def groups(docs: DataFrame, ids: DataFrame, plan: S.Plan, n: int = N, text: str = "text") -> DataFrame:
+    """(node, component) of the word sequences that link with another."""
+    sets = written(signed(docs, ids, plan, n, text), "sets")
+    lists = sets.select(F.explode("signatures").alias("sig"), "node", "size", F.col("node").alias("component"))
     edges = None
     for salt in range(STARS):
         new = written(_verified(_stars(lists, salt), sets), "links")
@@ -278,43 +297,40 @@ def groups(docs: DataFrame, ids: DataFrame, n: int = N, text: str = "text") -> D
         if lists.isEmpty():
             return group
     rest = written(_rest(lists, sets), "links")
-    return group if rest.isEmpty() else components(edges.unionAll(rest)).withColumnRenamed("node", "doc_id")
+    return group if rest.isEmpty() else components(edges.unionAll(rest))
 
 
 def _rest(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between the groups that the stars have not merged.
 
-    Members that share a list make a family, and the members of a family that lie in different groups are
-    compared. A family is cut into blocks, and a group that fills blocks has blocks of its own:
-    two blocks of one group need no comparison. A task holds two blocks.
+    Members of a list that lie in different groups are compared; of lists with the same members one does. A list is
+    cut into blocks, and a group that fills blocks has blocks of its own: two blocks of one group need no comparison.
+    A task holds two blocks.
     """
-    low = lists.groupBy("sig").agg(F.min("doc_id").alias("b"))
-    family = components(lists.join(low, "sig").select(F.col("doc_id").alias("a"), "b").filter("a <> b").distinct())
-    family = family.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    own = lists.select("doc_id", "size", "component").distinct().join(family, "doc_id")
-    many = own.groupBy("family", "component").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    alike = lists.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
+    one = written(alike.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "lists", small=True)
+    own = written(lists.select("sig", "node", "size", "component").join(one, "sig"), "members", small=True)
+    many = own.groupBy("sig", "component").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
     blocks = lambda: F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES))
     many = many.withColumn("own_blocks", blocks())
-    small = F.col("own_blocks") == 1
-    pooled = many.filter(small).groupBy("family").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    pooled = pooled.select("family", blocks().alias("pool_blocks"))
-    own = own.join(many.select("family", "component", "own_blocks"), ["family", "component"]).join(pooled, "family", "left")
+    pooled = many.filter("own_blocks = 1").groupBy("sig").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    many = written(many.join(pooled.select("sig", blocks().alias("pool_blocks")), "sig", "left").select("sig", "component", "own_blocks", "pool_blocks"), "blocks", small=True)
+    own = own.join(many, ["sig", "component"])
     pool = F.col("own_blocks") == 1
-    own = own.withColumn("kin", F.when(pool, F.lit(-1)).otherwise(F.col("component")))
+    own = own.withColumn("kin", F.when(pool, F.lit(None).cast("long")).otherwise(F.col("component")))
     count = F.when(pool, F.col("pool_blocks")).otherwise(F.col("own_blocks")).cast("long")
-    own = own.withColumn("block", F.xxhash64("family", "kin", F.pmod(F.xxhash64("doc_id", F.lit(7)), count)))
-    own = written(own.select("doc_id", "family", "component", "kin", "block"), "members", small=True)
-    there = own.select("family", F.col("kin").alias("other_kin"), F.col("block").alias("other")).distinct()
-    needed = (F.col("kin") != F.col("other_kin")) | (F.col("kin") == -1)
-    pairs = own.join(there, "family").filter(needed)
-    task = F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))
-    rows = pairs.select("doc_id", "component", "block", task.alias("task")).join(sets.select("doc_id", "shingles"), "doc_id")
+    own = own.withColumn("block", F.xxhash64("sig", "kin", F.pmod(F.xxhash64("node", F.lit(7)), count)))
+    own = written(own.select("sig", "node", "component", "kin", "block"), "blocked", small=True)
+    there = written(own.select("sig", F.col("kin").alias("other_kin"), F.col("block").alias("other")).distinct(), "there", small=True)
+    pairs = own.join(there, "sig").filter(F.col("kin").isNull() | ~F.col("kin").eqNullSafe(F.col("other_kin")))
+    task = F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other"))
+    rows = pairs.select("node", "component", "block", task.alias("task")).join(sets.select("node", "shingles"), "node")
     return rows.groupBy("task").applyInArrow(_compare, "a long, b long")
 
 
 def _compare(rows: pa.Table) -> pa.Table:
     """A spanning forest of the links between documents of different groups, and of different blocks if there are two."""
-    ids, group, block = (rows[c].to_numpy() for c in ("doc_id", "component", "block"))
+    ids, group, block = (rows[c].to_numpy() for c in ("node", "component", "block"))
     column = rows["shingles"].combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     size = np.diff(column.offsets.to_numpy()).astype(np.int64)
@@ -354,40 +370,43 @@ def _compare(rows: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
 
 
-def classes(docs: DataFrame, n: int = N, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row an id: the class is the smallest id that links reach."""
-    ids = written(identities(docs, n, text), "identities", small=True)
-    heads = ids.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("head"))
-    group = groups(docs, ids, n, text)
-    heads = heads.join(group.withColumnRenamed("doc_id", "head"), "head", "left")
-    heads = heads.select("k1", "k2", F.coalesce("component", "head").alias("component_id"))
-    all_ = ids.join(heads, ["k1", "k2"], "left")
-    return all_.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+def _classes_of(docs: DataFrame, n: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """The identities of all rows, and (k1, k2, component) of all word sequences."""
+    plan = S.plan_for(docs, text)
+    ids = written(identities(docs, n, text, plan), "identities", small=True)
+    group = groups(docs, ids, plan, n, text).withColumnRenamed("node", "k1")
+    nodes = ids.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
+    return ids, nodes.join(group, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
 
 
-def dedup(docs: DataFrame, n: int = N, text: str = "text") -> DataFrame:
-    """docs with one document of each class, the one whose id names it; rows that repeat an id stay."""
-    head = classes(docs, n, text).filter("doc_id = component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(head, docs["doc_id"].cast("long") == F.col("__id"), "left_semi").unionAll(docs.filter("doc_id is null"))
+def classes(docs: DataFrame, n: int = N, text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row each of docs: the class is the smallest id that links reach."""
+    ids, nodes = _classes_of(docs, n, text)
+    names = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
+    nodes = written(nodes.join(names, "component").select("k1", "k2", "component_id"), "classes", small=True)
+    all_ = ids.join(nodes, ["k1", "k2"], "left")
+    return all_.select("doc_id", "n_shingles", F.when(F.col("k1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = N, text: str = "text") -> DataFrame:
-    """docs with exactly one row of each class: every row is a document of its own, whether its id is
-    null or repeats, and the row with the smallest id stays, null ids last.
+    """docs with exactly one row of each class, that with the smallest id, null ids last; rows without words all stay.
 
-    Rows get keys and are written with them, so that a key names the same row in every pass.
+    The row is found by its id and word sequence. Rows that share both meet in one task, one is kept.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    own = classes(rows.select(F.col("__row").alias("doc_id"), text), n, text).select(F.col("doc_id").alias("__row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row"))).alias("x")
-    head = rows.select("__row", "doc_id").join(own, "__row").groupBy("component_id").agg(first).select("x.__row")
-    return rows.join(head, "__row", "left_semi").select(*docs.columns)
+    ids, nodes = _classes_of(docs, n, text)
+    least = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first"), "k1", "k2")).alias("x")
+    head = written(nodes.groupBy("component").agg(least).select("x.first", "x.k1", "x.k2"), "heads", small=True)
+    kept = {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
+    said = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = _keyed(docs.filter(said), kept | {"__id": F.col("doc_id")}, n, text, False)
+    mine = rows.join(head, F.col("__id").eqNullSafe(F.col("first")) & (rows["k1"] == head["k1"]) & (rows["k2"] == head["k2"]), "left_semi")
+    mine = mine.withColumn("__n", F.row_number().over(W.partitionBy("__id", "k1", "k2").orderBy(F.lit(0)))).filter("__n = 1")
+    return mine.select(*kept).toDF(*docs.columns).unionAll(docs.filter(~said))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: the class of every row of `documents`."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id").join(classes(docs), "doc_id", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def sql() -> str:

@@ -50,9 +50,9 @@ def batch_of(column, plan: Plan):
     return F.pmod(F.xxhash64(column), F.lit(plan.batches)).cast("int")
 
 
-def packed(docs: DataFrame, plan: Plan, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(batch, blob): all columns of docs, packed by batch and dealt out by it."""
-    names = docs.columns
+def packed(docs: DataFrame, plan: Plan, text: str = "text", key: str = "doc_id", hashed: bool = False) -> DataFrame:
+    """(batch, blob): all columns of docs, packed by batch of the key and dealt out by it; a key that is a hash already goes by itself and is left out."""
+    names = [c for c in docs.columns if not (hashed and c == key)]
     bounded(docs.sparkSession)
 
     def pack(batches):

@@ -76,12 +76,20 @@ def test_signatures_meet_for_every_linked_pair():
                         assert signs[0] & signs[1], (size, drop, add)
 
 
-def test_jaccard_odd_rows(odd, none):
-    got = sorted((r.doc_id, r.component_id) for r in J.classes(odd).collect())
-    assert got == [(5, 5), (7, 7)]
-    assert J.classes(none).count() == 0
-    assert J.dedup(odd).count() == 5 and J.dedup(odd).columns == odd.columns
-    assert J.dedup(none).count() == 0
+def test_jaccard_odd_rows(spark, odd, none):
+    """Null, repeated and text ids, several texts under one id, damaged UTF-8: every row has a class."""
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.classes(odd).collect()), key=str)
+    assert got == sorted([(5, 2, 5), (5, 2, 5), (7, 0, 7), (None, 1, None), (None, 0, None)], key=str)
+    assert J.classes(none).count() == 0 and J.one_of_each(none).count() == 0
+    say = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    data = [(5, say("a")), (5, say("b")), (8, say("a")), (9, say("b")), (3, say("a") + " more"), (None, say("b") + " end"), (None, say("c"))]
+    got = J.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    want = [(5, 36, 3), (5, 36, 5), (8, 36, 3), (9, 36, 5), (3, 37, 3), (None, 37, 5), (None, 36, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    got = J.classes(spark.createDataFrame([("b", say("a")), ("a", say("a")), ("c", None)], "doc_id string, text string")).collect()
+    assert sorted(map(tuple, got)) == [("a", 36, "a"), ("b", 36, "a"), ("c", 0, "c")]
+    broken = spark.sql("select 1L doc_id, cast(unhex('61FF62') as string) text union all select 2L, cast(unhex('61FF62') as string)")
+    assert sorted(map(tuple, J.classes(broken).collect())) == [(1, 1, 1), (2, 1, 1)]
 
 
 def test_one_row_of_each_class_whatever_the_ids(spark, odd, none):
@@ -100,6 +108,8 @@ def test_one_row_of_each_class_whatever_the_ids(spark, odd, none):
     left = corpus_pipeline.repeated_passages(spark, got, "").collect()
     assert sorted(r.text for r in left) == sorted(t or "" for _, t in kept)
     assert J.one_of_each(odd).count() == 4 and J.one_of_each(odd).columns == odd.columns
+    taken = df.withColumnsRenamed({"lang": "k1", "source": "__id", "n_chars": "first"})
+    assert sorted(map(str, J.one_of_each(taken).collect())) == sorted(str(r).replace("lang=", "k1=").replace("source=", "__id=").replace("n_chars=", "first=") for r in got.collect())
     assert J.one_of_each(none).count() == 0
 
 
