@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -36,13 +39,26 @@ def crc_mod(doc_id: str, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all machines share; a local one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all machines share.
+
+    Where it is unset, a session on one machine gets a folder of its own, that goes with the process; a cluster gets an error.
+    """
     if not (at := spark.conf.get("spark.checkpoint.dir", None)):
-        at = "file://" + tempfile.mkdtemp(prefix="faturaflow-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="faturaflow-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that this application's operators have written, once their results are no longer needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded(spark: SparkSession) -> None:
     """Rows of whole texts reach Python in batches of ROWS, unless the session asks for fewer still."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -57,9 +73,21 @@ def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """
     if small:
         df = df.coalesce(max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
-    at = f"{shared_dir(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/llm/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of docs has it."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def bind(value: Column, body) -> Column:

@@ -114,14 +114,9 @@ def _keyed(docs: DataFrame, kept: dict, n: int, text: str, sizes: bool) -> DataF
     return docs.select(*[c.alias(name) for name, c in kept.items()], F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def _batch(plan: S.Plan, text: str):
-    """The batch of a row: copies under different ids are in different ones."""
-    return S.batch_of(F.xxhash64("doc_id", text), plan)
-
-
 def identities(docs: DataFrame, n: int = N, text: str = "text", plan: S.Plan | None = None) -> DataFrame:
     """(doc_id, batch, k1, k2, n_shingles), a row each of docs; k1, k2 hash the word sequence, null without words."""
-    return _keyed(docs, {"doc_id": F.col("doc_id"), "batch": _batch(plan or S.plan_for(docs, text), text)}, n, text, True)
+    return _keyed(docs, {"doc_id": F.col("doc_id"), "batch": S.batch_of(S.key_of("doc_id", text), plan or S.plan_for(docs, text))}, n, text, True)
 
 
 def _level(size: np.ndarray) -> np.ndarray:
@@ -183,8 +178,7 @@ def _steps(total: np.ndarray) -> np.ndarray:
 def signed(docs: DataFrame, ids: DataFrame, plan: S.Plan, n: int = N, text: str = "text") -> DataFrame:
     """(node, size, signatures, shingles) of the word sequences that another may resemble."""
     bits = plan.bits
-    rows = docs.select(F.col(text).alias("text"), F.xxhash64("doc_id", text).alias("__key"))
-    batches = S.packed(rows, plan, "text", "__key", hashed=True)
+    batches = S.packed(docs, plan, text, names=[text])
     heads = ids.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("batch").alias("batch"))  # one batch speaks for all copies
     heads = heads.groupBy("batch").agg(F.collect_list("k1").alias("x"))
     heads = heads.select("batch", F.lit(-1).alias("bucket"), F.lit(0).alias("kind"), F.encode(F.to_json("x"), "utf-8").alias("data"))
@@ -192,7 +186,7 @@ def signed(docs: DataFrame, ids: DataFrame, plan: S.Plan, n: int = N, text: str
     def sets(t: pa.Table, replies: pa.Table):
         """Sets of the batch's own sequences: names by document number, document numbers, shingle keys."""
         known = np.array(json.loads(S.answered(replies, 0).get(-1, b"[]")), np.int64)
-        words = Words(t["text"], lower=True)
+        words = Words(t[text], lower=True)
         h = words.hashes(_A)
         k1 = _sequence(words, h, _A).view(np.int64)
         mine = np.zeros(len(k1), bool)

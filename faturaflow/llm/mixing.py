@@ -6,30 +6,34 @@ none is above ends in just this. The level comes from a running sum over sources
 capacity per weight, so there is no loop. A document is then taken floor(epochs) times whole,
 and once more where it lies in the seeded fraction of its source.
 
-The fraction is cut from a seeded order of the source's documents: documents are dealt by a
-hash of their id over SLICES slices, running sums are taken in each (source, slice) and
-shifted by the totals of the slices before. A hot source is thus spread over SLICES tasks,
-while the cut is as exact as one running sum over the source: the taken words miss the target
+The fraction is cut from a seeded order of the source's documents, a hash of their ids. Words are summed by source and slice of the
+order; running sums over slices tell in which one a source's cut lies, and running sums over the documents of these slices alone tell the
+last document that is taken. That place in the order, one a source, is all that the others need: documents are compared
+with it where they are, so neither texts nor a hot source ever move or meet. Slices hold some SLICE_ROWS documents, so their number grows
+with the corpus. The cut is as exact as one running sum over the source: the taken words miss the target
 by at most half the size of one document.
 
 Defined cases: null and blank texts have size 0 and are taken 0 words; a null source is a
 source of its own, ordered last; sources without words have target 0; equal ids are ordered
-by size, so equal rows are interchangeable; extra columns are kept by `repeated` and ignored
-by `plan`; an empty table gives an empty result.
+by size, equal rows by where they stand, and are interchangeable; very long texts are counted whole, in the JVM; extra columns are kept, whatever
+their names, by `repeated`, while `plan` replaces input columns that have the names of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from faturaflow.llm.common import n_words, table, text_of
+from faturaflow.llm.common import free, n_words, table, text_of, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
-SLICES = 256
+#: Documents that a slice of the order holds, or some more.
+SLICE_ROWS = 1 << 16
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -62,40 +66,72 @@ def _key(column: str):
     return F.coalesce(F.concat(F.lit("s"), F.col(column)), F.lit("n"))
 
 
+def _place(seed: str, size: Column) -> Column:
+    """Where a document stands in the order of its source."""
+    text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.struct(F.md5(F.concat(F.lit(seed), text).cast("binary")).alias("o"), F.col("doc_id").alias("i"), size.alias("s"), F.monotonically_increasing_id().alias("r"))
+
+
+def _slice(order: Column, bits: int) -> Column:
+    return F.shiftright(F.conv(F.substring(order, 1, 8), 16, 10).cast("long"), 32 - bits)
+
+
+def cuts(base: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> tuple[DataFrame, int]:
+    """(key, source_size, target, whole, slice, last), a row a source, of base (key, source, place); and how many bits of the order make a slice.
+
+    Every document is taken `whole` times, and once more if its slice is below `slice`, or equal to it and its place is not above `last`.
+    """
+    bits = max(0, math.ceil(math.log2(max(1, base.count() / SLICE_ROWS))))
+    base = base.withColumn("slice", _slice(F.col("place.o"), bits))
+    parts = base.groupBy("key", "slice").agg(F.sum("place.s").alias("part"), F.first("source").alias("source"))
+    parts = written(parts, "slices", small=True)
+    sizes = parts.groupBy("key").agg(F.sum("part").alias("source_size"), F.first("source").alias("source"))
+    wanted = targets(sizes.drop("key"), weights, share, cap).withColumn("key", _key("source")).drop("source")
+    epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    wanted = wanted.withColumn("whole", F.floor(epochs)).withColumn("cut", (epochs - F.col("whole")) * F.col("source_size"))
+    wanted = written(wanted, "targets", small=True)
+    before = W.partitionBy("key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    ahead = parts.withColumn("ahead", F.coalesce(F.sum("part").over(before), F.lit(0))).join(F.broadcast(wanted), "key")
+    # The slice in which the cut lies; slices before it are taken whole, those after it not at all.
+    at = ahead.filter(F.col("ahead") + F.col("part") > F.col("cut")).groupBy("key").agg(F.min(F.struct("slice", "ahead", "cut")).alias("x")).select("key", "x.*")
+    inside = W.partitionBy("key").orderBy("place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = base.join(F.broadcast(at), ["key", "slice"]).withColumn("upto", F.sum("place.s").over(inside))
+    rows = rows.filter(F.col("ahead") + F.col("upto") - F.col("place.s") / 2 <= F.col("cut"))
+    last = rows.groupBy("key").agg(F.max("place").alias("last"))
+    found = wanted.join(at.select("key", "slice"), "key", "left").join(last, "key", "left")
+    return found.select("key", "source_size", "target", "whole", "slice", "last"), bits
+
+
 def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "") -> DataFrame:
     """docs with size, source_size, target and copies, the times the mix takes the document."""
-    order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.drop("size", "source_size", "target", "copies").withColumns(
-        {"size": n_words(text_of()), "__k": _key("source"), "__order": order}
-    )
-    first = F.conv(F.substring("__order", 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("__slice", (first * SLICES / (1 << 32)).cast("int"))
-    parts = rows.groupBy("__k", "__slice").agg(F.sum("size").alias("part"), F.first("source").alias("source"))
-    sizes = parts.groupBy("__k").agg(F.sum("part").alias("source_size"), F.first("source").alias("source"))
-    wanted = targets(sizes.drop("__k"), weights, share, cap).withColumn("__k", _key("source")).drop("source")
-    before = W.partitionBy("__k").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.withColumn("__ahead", F.coalesce(F.sum("part").over(before), F.lit(0)))
-    info = parts.select("__k", "__slice", "__ahead").join(wanted, "__k")
-    inside = W.partitionBy("__k", "__slice").orderBy("__order", "doc_id", "size")
-    run = rows.withColumn("__upto", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    run = run.join(info, ["__k", "__slice"])
-    middle = F.col("__ahead") + F.col("__upto") - F.col("size") / 2
-    epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(epochs)
-    extra = (middle <= (epochs - whole) * F.col("source_size")) & (epochs > whole)
-    copies = F.when(F.col("size") > 0, whole + extra.cast("int")).otherwise(F.lit(0)).cast("int")
-    return run.withColumn("copies", copies).drop("__k", "__slice", "__order", "__upto", "__ahead")
+    return _planned(docs, ["size", "source_size", "target", "copies"], n_words(text_of()), weights, share, cap, seed)
+
+
+def _planned(docs: DataFrame, names: list[str], size: Column, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "") -> DataFrame:
+    """docs with the four columns of `plan` under these names; size counts the words of a row."""
+    base = written(docs.select(_key("source").alias("key"), "source", _place(seed, size).alias("place")), "places")
+    key, own, info = free(docs, "__key", "__place", "__info")
+    found, bits = cuts(base, weights, share, cap)
+    found = found.select(F.col("key").alias(key), F.struct("source_size", "target", "whole", "slice", "last").alias(info))
+    rows = docs.drop(*names).withColumn(own, _place(seed, size)).withColumn(key, _key("source")).join(F.broadcast(found), key)
+    mine = _slice(F.col(f"{own}.o"), bits)
+    extra = (mine < F.col(f"{info}.slice")) | ((mine == F.col(f"{info}.slice")) & (F.col(own) <= F.col(f"{info}.last")))
+    copies = F.when(F.col(f"{own}.s") > 0, F.col(f"{info}.whole") + F.coalesce(extra, F.lit(False)).cast("int")).otherwise(F.lit(0)).cast("int")
+    values = F.col(f"{own}.s"), F.col(f"{info}.source_size"), F.col(f"{info}.target"), copies
+    return rows.withColumns(dict(zip(names, values, strict=True))).drop(key, own, info)
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus itself: each document as often as the mix takes it, with the columns of docs."""
-    mixed = plan(docs, **how).filter("copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    names = free(docs, "__size", "__source_size", "__target", "__copies", "__copy")
+    mixed = _planned(docs, names[:4], n_words(text_of()), **how).filter(F.col(names[3]) > 0)
+    return mixed.withColumn(names[4], F.explode(F.sequence(F.lit(1), F.col(names[3])))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op8: the mix of all `documents`, one row a document."""
-    mixed = plan(table(spark, sf_dir, "documents"))
+    """op8: the mix of all `documents`, one row a document; their words are counted once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(text_of()).alias("__n"))
+    mixed = _planned(written(docs, "sizes"), ["size", "source_size", "target", "copies"], F.col("__n"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

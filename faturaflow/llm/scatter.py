@@ -1,6 +1,6 @@
 """Corpus-wide lookups by key without a row for each occurrence.
 
-Documents are dealt into batches by a hash of their id; a batch keeps its texts packed and
+Documents are dealt into batches by a hash of their id and text; a batch keeps its texts packed and
 compressed, so the shuffle that forms the batches moves less than the table. A batch sends each
 of its distinct keys once, sorted, in one row for each bucket of the key space (`scatter`); a bucket
 merges what all batches sent and answers each batch in the order of its own list (`reduce`);
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from faturaflow.llm.arrowtext import release, runs, slices, spans
-from faturaflow.llm.common import bounded
+from faturaflow.llm.common import bounded, free
 
 BATCH_BYTES, BUCKET_KEYS = 3 << 20, 1 << 19
 SENT = "bucket int, batch int, n int, data binary"
@@ -46,13 +46,19 @@ def plan_for(docs: DataFrame, text: str = "text", batch_bytes: int = BATCH_BYTES
 
 
 def batch_of(column, plan: Plan):
-    """The batch of a document id."""
+    """The batch of a row with this key."""
     return F.pmod(F.xxhash64(column), F.lit(plan.batches)).cast("int")
 
 
-def packed(docs: DataFrame, plan: Plan, text: str = "text", key: str = "doc_id", hashed: bool = False) -> DataFrame:
-    """(batch, blob): all columns of docs, packed by batch of the key and dealt out by it; a key that is a hash already goes by itself and is left out."""
-    names = [c for c in docs.columns if not (hashed and c == key)]
+def key_of(ident: str = "doc_id", text: str = "text"):
+    """What deals rows out: copies under different ids part, and so do texts without ids."""
+    return F.xxhash64(ident, text)
+
+
+def packed(docs: DataFrame, plan: Plan, text: str = "text", ident: str = "doc_id", names: list[str] | None = None) -> DataFrame:
+    """(batch, blob): the columns `names`, or all, of docs, packed by batch and dealt out by it."""
+    names = names or docs.columns
+    (own_batch,) = free(docs, "__batch")
     bounded(docs.sparkSession)
 
     def pack(batches):
@@ -62,10 +68,10 @@ def packed(docs: DataFrame, plan: Plan, text: str = "text", key: str = "doc_id",
             for part in slices([whole], text, 8 << 20):
                 t = whole.slice(at, part.num_rows).combine_chunks()
                 at += part.num_rows
-                own = t["__batch"].to_numpy()
+                own = t[own_batch].to_numpy()
                 order = np.argsort(own, kind="stable")
                 begins = runs(own[order])
-                t = t.drop_columns(["__batch"]).take(pa.array(order))
+                t = t.drop_columns([own_batch]).take(pa.array(order))
                 blobs = []
                 for a, b in zip(begins, [*begins[1:], len(own)], strict=True):
                     sink = pa.BufferOutputStream()
@@ -74,7 +80,7 @@ def packed(docs: DataFrame, plan: Plan, text: str = "text", key: str = "doc_id",
                     blobs.append(press.compress(sink.getvalue()))
                 yield pa.RecordBatch.from_arrays([pa.array(own[order][begins], pa.int32()), pa.array(blobs, pa.binary())], ["batch", "blob"])
 
-    rows = docs.select(*names, batch_of(F.col(key), plan).alias("__batch"))
+    rows = docs.select(*names, batch_of(key_of(ident, text), plan).alias(own_batch))
     return rows.mapInArrow(pack, "batch int, blob binary").repartition("batch")
 
 

