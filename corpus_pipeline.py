@@ -2,9 +2,10 @@
 
 Every stage takes all that its predecessor kept. The first four return the columns of documents
 (n_chars follows the text); the last one returns the token ids of each copy the mix takes,
-and the text they decode to. Null, empty and repeated rows are handled as each operator's
-module states; a document that loses all its words to the substring stage stays, empty, and
-the mix takes it no times.
+and the text they decode to. Null, empty, repeated and very long rows are handled as each operator's
+module states; ties are broken there, too. A document that loses all its words to the substring stage stays, empty, and
+the mix takes it no times. Extra columns pass through the first four stages whatever their names, those of the
+operators' own columns included. An empty table gives empty stages.
 """
 
 from __future__ import annotations
@@ -16,21 +17,32 @@ from faturaflow.llm import bpe, jaccard_join, language, mixing, substring_dedup
 from faturaflow.llm.common import table, written
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ..., which no operator's own columns are named like; and the new name of each."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, those with no letter at all, go."""
+    """Documents without a language, those with no letter at all, go; a null lang becomes the language that is found."""
     texts = language.sample(docs.filter(~language.held_out(5)))
-    return language.predict(docs, texts).filter("lang_pred <> 'und'").select(*docs.columns)
+    rows, new = _numbered(docs)
+    found = language.predict(rows, texts, new["text"]).filter("lang_pred <> 'und'")
+    lang = F.coalesce(new["lang"], "lang_pred")
+    return found.select(*[(lang if c == "lang" else F.col(n)).alias(c) for c, n in new.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of similar ones stays, whatever ids repeat or are null."""
-    return jaccard_join.one_of_each(docs).select(*docs.columns)
+    return jaccard_join.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that are found elsewhere go."""
-    kept = substring_dedup.dedup(docs)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rows, new = _numbered(docs)
+    kept = substring_dedup.dedup(rows, text=new["text"], ident=new["doc_id"])
+    size = F.length(new["text"]).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[(size if c == "n_chars" else F.col(n)).alias(c) for c, n in new.items()])
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +54,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, text): ids are little-endian unsigned 32-bit integers, text is decoded from them."""
     import public_tokenizers
 
-    done = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    done = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return done.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
