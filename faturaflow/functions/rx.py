@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 S = r"[\s\x1C-\x1F]"
 #: Flags: U Unicode classes, i and u case-insensitive beyond ASCII, d only LF ends a line.
 EXACT, LOOSE = "(?U)", "(?iudU)"
+#: Ends of words, where a word has letters, digits and _ only: neither marks nor joiners belong to it.
+BEGIN, END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 

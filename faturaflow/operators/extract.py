@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from faturaflow.functions import validators as V
-from faturaflow.functions.rx import EXACT, LOOSE, S, all_matches, bind, first, lines, strip
+from faturaflow.functions.rx import BEGIN, END, EXACT, LOOSE, S, all_matches, bind, first, lines, strip
 from faturaflow.operators import segment
 
 #: The patterns of numbers.
-CNPJ = rf"{EXACT}\b\d{{2}}\.?\d{{3}}\.?\d{{3}}/?\.?\d{{4}}-?\d{{2}}\b"
-KEY = rf"{EXACT}\b\d{{44}}\b"
+CNPJ = rf"{EXACT}{BEGIN}\d{{2}}\.?\d{{3}}\.?\d{{3}}/?\.?\d{{4}}-?\d{{2}}{END}"
+KEY = rf"{EXACT}{BEGIN}\d{{44}}{END}"
 MONEY = rf"{EXACT}R?\$?{S}*(\d{{1,3}}(?:[.,]\d{{3}})*(?:[.,]\d{{2}}))"
 #: Words that are no name by themselves, and words of lines that are no items.
 LABELS = (
@@ -50,7 +50,7 @@ def cnpjs(text: Column) -> Column:
 
 def emission_date(text: Column) -> Column:
     labelled = rf"{LOOSE}EMISS[AÃ]O.*?(\d{{2}}/\d{{2}}/\d{{4}}(?:{S}*\d{{2}}:\d{{2}}:\d{{2}})?)"
-    return F.coalesce(first(text, labelled), first(text, rf"{EXACT}\b(\d{{2}}/\d{{2}}/\d{{4}})\b"))
+    return F.coalesce(first(text, labelled), first(text, rf"{EXACT}{BEGIN}(\d{{2}}/\d{{2}}/\d{{4}}){END}"))
 
 
 def competence_date(text: Column) -> Column:

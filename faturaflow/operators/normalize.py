@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faturaflow.functions.rx import EXACT, S, lines, strip
+from faturaflow.functions.rx import END, EXACT, S, lines, strip
 
 #: Lines that stay although short.
 SHORT_LINES = (
@@ -48,7 +48,7 @@ def tighten_commas(t: Column) -> Column:
 
 
 def drop_thousand_dots(t: Column) -> Column:
-    return F.regexp_replace(t, rf"{EXACT}(?<=\d){S}*\.{S}*(?=\d{{3}}\b)", "")
+    return F.regexp_replace(t, rf"{EXACT}(?<=\d){S}*\.{S}*(?=\d{{3}}{END})", "")
 
 
 def informative_lines(found: Column) -> Column:

@@ -96,8 +96,11 @@ def process(
 
 
 def trail(results: DataFrame) -> DataFrame:
-    """One row an event of results: execution_id, event_index and the event's fields, in order."""
-    return results.select("execution_id", "trust_score", F.posexplode("events").alias("event_index", "event")).select("execution_id", "event_index", "trust_score", "event.*")
+    """One row an event of results: execution_id, event_index and the event's fields, in order.
+
+    Every result has an event. The outer form keeps Spark from testing that by a filter, into which all stages would be copied.
+    """
+    return results.select("execution_id", "trust_score", F.posexplode_outer("events").alias("event_index", "event")).select("execution_id", "event_index", "trust_score", "event.*")
 
 
 def envelopes(results: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,16 +36,26 @@ _WS = r"[\t\n\v\f\r \x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 _STRIP = rf"'^{_WS}+|{_WS}+$', '', 'g'"
 
 
+#: What a third of the texts get at their end, so that every rule of the normaliser has something to do.
+_MARKS = " a\u00a0b\u200bc\r\nEmitida 05/06/202411:22:33 valor 1 , 25 de 12 . 345\u200d"
+_TEXT = "(text || CASE WHEN doc_id % 3 = 0 THEN " + " || ".join(f"chr({ord(c)})" if ord(c) < 32 or ord(c) > 126 else f"'{c}'" for c in _MARKS) + " ELSE '' END)"
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.withColumn("text", F.concat("text", F.when(F.col("doc_id") % 3 == 0, _MARKS).otherwise("")))
+
+
 def _texts(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "documents").select("doc_id", f(F.col("text")).alias("result"))
+        return _marked(spark, sf_dir).select("doc_id", f(F.col("text")).alias("result"))
 
     return run
 
 
 def _text_query(name: str, f, sql: str) -> None:
     QUERIES[name] = _texts(f)
-    SQL[name] = f"SELECT doc_id, {sql} AS result FROM documents"
+    SQL[name] = f"SELECT doc_id, {sql} AS result FROM (SELECT doc_id, {_TEXT} AS text FROM documents)"
 
 
 _LITERAL = "replace(replace(replace(text, chr(160), ' '), chr(8203), ''), chr(13) || chr(10), chr(10))"
@@ -78,12 +90,12 @@ _GOOD = r"(upper(l) IN (" + _KEEP + r") OR length(l) >= 3 OR regexp_matches(l, '
 
 
 @query(
-    f"""WITH src AS (SELECT doc_id, text AS t FROM documents), x AS ({_LINES})
+    f"""WITH src AS (SELECT doc_id, {_TEXT} AS t FROM documents), x AS ({_LINES})
 SELECT doc_id, count(*) FILTER ({_GOOD}) AS n_lines, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER ({_GOOD}), '') AS result FROM x GROUP BY doc_id"""
 )
 def noise_lines(spark, sf_dir):
     kept = normalize.informative_lines(normalize.lines(F.col("text")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", kept.alias("kept"))
+    docs = _marked(spark, sf_dir).select("doc_id", kept.alias("kept"))
     return docs.select("doc_id", F.size("kept").cast("long").alias("n_lines"), normalize.join_lines(F.col("kept")).alias("result"))
 
 
@@ -91,18 +103,19 @@ _DEDUP = f"""y AS (SELECT doc_id, l, min(i) AS i FROM x WHERE {_GOOD} GROUP BY d
 z AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY i) AS result FROM y GROUP BY doc_id)"""
 
 
-@query(f"WITH src AS (SELECT doc_id, text AS t FROM documents), x AS ({_LINES}), {_DEDUP} SELECT documents.doc_id, coalesce(result, '') AS result FROM documents LEFT JOIN z USING (doc_id)")
+@query(f"WITH src AS (SELECT doc_id, {_TEXT} AS t FROM documents), x AS ({_LINES}), {_DEDUP} SELECT documents.doc_id, coalesce(result, '') AS result FROM documents LEFT JOIN z USING (doc_id)")
 def line_dedup(spark, sf_dir):
     return _texts(lambda t: normalize.join_lines(normalize.distinct_lines(normalize.informative_lines(normalize.lines(t)))))(spark, sf_dir)
 
 
+_MARKED = f"(SELECT doc_id, {_TEXT} AS text FROM documents)"
 _NORMAL = _joined(_collapsed(_LITERAL))
 _NORMAL = rf"regexp_replace({_NORMAL}, '(\d{{2}}/\d{{2}}/\d{{4}})(\d{{2}}:\d{{2}}:\d{{2}})', '\1 \2', 'g')"
 _NORMAL = rf"regexp_replace({_NORMAL}, '(\d){_WS}*,{_WS}*(\d{{2}})', '\1,\2', 'g')"
 _NORMAL = _undotted(_NORMAL)
 
 
-@query(f"WITH src AS (SELECT doc_id, {_NORMAL} AS t FROM documents), x AS ({_LINES}), {_DEDUP} SELECT documents.doc_id, coalesce(result, '') AS result FROM documents LEFT JOIN z USING (doc_id)")
+@query(f"WITH src AS (SELECT doc_id, {_NORMAL} AS t FROM {_MARKED}), x AS ({_LINES}), {_DEDUP} SELECT documents.doc_id, coalesce(result, '') AS result FROM documents LEFT JOIN z USING (doc_id)")
 def normalize_text(spark, sf_dir):
     return _texts(normalize.normalize_text)(spark, sf_dir)
 
@@ -116,20 +129,42 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", audit.content_hash(t).alias("hash"), F.octet_length(t).cast("long").alias("size_bytes"))
 
 
-@query(r"SELECT doc_id, regexp_matches(text, '[\x{a0}\x{200b}-\x{200d}]') AS has_unicode_blanks, 'utf-8' AS encoding FROM documents")
+@query(rf"SELECT doc_id, regexp_matches(text, '[\x{{a0}}\x{{200b}}-\x{{200d}}]') AS has_unicode_blanks, CASE WHEN doc_id % 5 = 1 THEN 'unknown' ELSE 'utf-8' END AS encoding FROM {_MARKED}")
 def unicode_flags(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", audit.has_unicode_blanks(F.col("text")).alias("has_unicode_blanks"), audit.encoding(F.col("text")).alias("encoding"))
+    broken = F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 5 == 1, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))).cast("string")
+    return _marked(spark, sf_dir).select("doc_id", audit.has_unicode_blanks(F.col("text")).alias("has_unicode_blanks"), audit.encoding(broken).alias("encoding"))
+
+
+@query("SELECT doc_id, text AS result FROM documents")
+def utf8_scrub(spark, sf_dir):
+    """Bytes that are no UTF-8, put into every text, go again."""
+    bad = F.unhex(F.get(F.array(F.lit("FF"), F.lit("C3"), F.lit("")), (F.col("doc_id") % 3).cast("int")))
+    raw = F.concat(F.substring("text", 1, 7).cast("binary"), bad, F.expr("substring(text, 8)").cast("binary"), bad)
+    return table(spark, sf_dir, "documents").select("doc_id", segment.scrub_utf8(raw).alias("result"))
+
+
+@query("SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS name, unnest([false, true, true, true, false]) AS accepted")
+def non_string_guard(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+
+    def accepted(name: str) -> bool:
+        try:
+            return normalize.require_text(docs, name) is not None
+        except TypeError:
+            return False
+
+    return spark.createDataFrame([(c, accepted(c)) for c in ("doc_id", "text", "lang", "source", "n_chars")], "name string, accepted boolean")
 
 
 @query(
-    f"""WITH src AS (SELECT doc_id, {_NORMAL} AS t FROM documents), x AS ({_LINES}), {_DEDUP}
-SELECT d.doc_id, length(text)::BIGINT AS before, length(coalesce(result, ''))::BIGINT AS after, round(100 * (1 - length(coalesce(result, '')) / length(text)) + 1e-6)::BIGINT AS reduction_percent
-FROM documents d LEFT JOIN z USING (doc_id)"""
+    f"""WITH m AS {_MARKED}, src AS (SELECT doc_id, {_NORMAL} AS t FROM m), x AS ({_LINES}), {_DEDUP}
+SELECT m.doc_id, length(coalesce(result, ''))::BIGINT AS after,
+  CASE WHEN length(text) > 0 THEN round((1 - length(coalesce(result, '')) / length(text))::DOUBLE::VARCHAR::DECIMAL(30, 20), 2)::DOUBLE ELSE 0 END AS ratio
+FROM m LEFT JOIN z USING (doc_id)"""
 )
 def reduction_ratio(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", normalize.normalize_text(F.col("text")).alias("n"))
-    percent = F.round(100 * (1 - F.length("n") / F.length("text")) + 1e-6).cast("long")
-    return docs.select("doc_id", F.length("text").cast("long").alias("before"), F.length("n").cast("long").alias("after"), percent.alias("reduction_percent"))
+    docs = _marked(spark, sf_dir).select("doc_id", "text", normalize.normalize_text(F.col("text")).alias("n"))
+    return docs.select("doc_id", F.length("n").cast("long").alias("after"), audit.reduction_ratio(F.col("text"), F.col("n")).alias("ratio"))
 
 
 # --- Validators ------------------------------------------------------------------------------
@@ -191,14 +226,14 @@ def cnpj_checksum(spark, sf_dir):
 
 @query(
     f"""SELECT s_suppkey, {_sql_cnpj14("(lpad(s_suppkey::VARCHAR, 8, '0') || (CASE WHEN s_suppkey % 2 = 0 THEN '0001' ELSE '0002' END))")} AS cnpj_limpo,
-  CASE WHEN s_suppkey % 2 = 0 THEN 'matriz' ELSE 'filial' END AS tipo, length(cnpj_limpo)::INT AS n FROM supplier"""
+  CASE WHEN s_suppkey % 2 = 0 THEN 'matriz' ELSE 'filial' END AS tipo, regexp_replace(cnpj_limpo, '(..)(...)(...)(....)(..)', '\\1.\\2.\\3/\\4-\\5') AS escrito FROM supplier"""
 )
 def cnpj_format(spark, sf_dir):
     key = F.col("s_suppkey")
     base = F.concat(F.lpad(key.cast("string"), 8, "0"), F.when(key % 2 == 0, "0001").otherwise("0002"))
     full = bind(base, lambda b: V.cnpj_format(F.concat(b, V.cnpj_digits(b))))
     v = table(spark, sf_dir, "supplier").select("s_suppkey", V.cnpj(full).alias("v"))
-    return v.select("s_suppkey", "v.cnpj_limpo", "v.tipo", F.length(V.digits(F.col("v.cnpj_formatado"))).alias("n"))
+    return v.select("s_suppkey", "v.cnpj_limpo", "v.tipo", F.col("v.cnpj_formatado").alias("escrito"))
 
 
 def _key_inputs(spark, sf_dir) -> DataFrame:
@@ -227,11 +262,17 @@ r AS (SELECT o_orderkey, good, CASE o_orderkey % 8 WHEN 1 THEN '34' || substr(go
 SELECT o_orderkey, CASE WHEN o_orderkey % 8 IN (1, 2, 3, 4, 6) THEN false WHEN o_orderkey % 8 = 5 THEN k = good ELSE k = good END AS valido,
   CASE o_orderkey % 8 WHEN 1 THEN 100 WHEN 2 THEN 95 WHEN 3 THEN 100 WHEN 4 THEN 95 WHEN 6 THEN 100 ELSE CASE WHEN k = good THEN 90 ELSE 99 END END AS confianca,
   CASE WHEN k = good THEN '20' || substr(k, 3, 2) || '-' || substr(k, 5, 2) END AS ano_mes,
-  CASE WHEN k = good THEN array_to_string(list_transform(range(0, 11), lambda i: substr(k, i * 4 + 1, 4)), ' ') END AS chave_formatada FROM r"""
+  CASE WHEN k = good THEN array_to_string(list_transform(range(0, 11), lambda i: substr(k, i * 4 + 1, 4)), ' ') END AS chave_formatada,
+  CASE WHEN k = good THEN NULL ELSE CASE o_orderkey % 8 WHEN 1 THEN 'Código UF inválido: 34' WHEN 2 THEN 'Ano implausível: 2095' WHEN 3 THEN 'Mês inválido: 13'
+    WHEN 4 THEN 'Modelo inválido: 57 (esperado 55=NF-e ou 65=NFC-e)' WHEN 6 THEN 'Chave deve ter 44 dígitos (recebido 43)'
+    WHEN 5 THEN 'CNPJ inválido na chave: Dígito verificador ' || CASE WHEN d1 <> substr(k, 19, 1)::INT THEN '1 incorreto (esperado ' || d1 ELSE '2 incorreto (esperado ' || d2 END || ')'
+    ELSE 'Dígito verificador incorreto (esperado ' || substr(good, 44) || ', recebido ' || substr(k, 44) || ')' END END AS erro
+FROM (SELECT *, CASE WHEN o_orderkey % 8 = 5 THEN """
+    + _sql_mod11("substr(k, 7, 14)", _W1) + " END AS d1, CASE WHEN o_orderkey % 8 = 5 THEN " + _sql_mod11("substr(k, 7, 14)", _W2) + " END AS d2 FROM r)"
 )
 def nfe_key(spark, sf_dir):
     x = _key_inputs(spark, sf_dir).select("o_orderkey", V.nfe_key(F.col("raw")).alias("v"))
-    return x.select("o_orderkey", "v.valido", "v.confianca", "v.ano_mes", "v.chave_formatada")
+    return x.select("o_orderkey", "v.valido", "v.confianca", "v.ano_mes", "v.chave_formatada", "v.erro")
 
 
 #: Forms of an amount by order number: in six currencies, then malformed ones.
@@ -286,16 +327,23 @@ _SUPP = "(SELECT l_orderkey, min(l_suppkey) AS suppkey, count(DISTINCT (l_linenu
 _BASE = f"FROM orders JOIN {_SUPP} l ON l_orderkey = o_orderkey"
 
 
+def _plain(cnpj: str) -> str:
+    """A written CNPJ after normalisation, which takes the dots between digits."""
+    return f"replace({cnpj}, '.', '')"
+
+
 @query(
-    f"""SELECT o_orderkey, (o_orderkey % 3 = 1)::INT + 3 AS header_lines, 3 AS issuer_lines, CASE WHEN o_orderkey % 7 = 3 THEN 0 ELSE 3 END AS recipient_lines,
-  n_items + 1 AS items_lines, o_orderkey % 13 <> 7 AS has_financials {_BASE}"""
+    f"""SELECT o_orderkey, (o_orderkey % 3 = 1)::INT + 3 AS header_lines,
+  'PRESTADOR DE SERVIÇO' || chr(10) || 'Fornecedor ' || suppkey || ' LTDA.' || chr(10) || 'CNPJ: ' || CASE WHEN o_orderkey % 11 = 5 THEN translate({_plain(_sql_cnpj("suppkey"))}, '0123456789', '1234567890') ELSE {_plain(_sql_cnpj("suppkey"))} END AS issuer,
+  CASE WHEN o_orderkey % 7 = 3 THEN '' ELSE 'TOMADOR DE SERVIÇO' || chr(10) || 'Cliente ' || o_custkey || ' S.A.' || chr(10) || 'CNPJ: ' || {_plain(_sql_cnpj("(o_custkey + 50000000)"))} END AS recipient,
+  n_items + 1 AS items_lines, CASE WHEN o_orderkey % 13 <> 7 THEN 'TOTAL GERAL: ' || replace({_BRL}, '.', '') ELSE '' END AS financials {_BASE}"""
 )
 def segment_blocks(spark, sf_dir):
     x = render.invoices(spark, sf_dir).select("o_orderkey", segment.blocks(normalize.normalize_text(F.col("text"))).alias("b"))
     n = lambda c: F.size(F.filter(F.split(F.col(f"b.{c}"), "\n"), lambda t: t != ""))
     return x.select(
-        "o_orderkey", n("header").alias("header_lines"), n("issuer").alias("issuer_lines"), n("recipient").alias("recipient_lines"),
-        n("items").cast("long").alias("items_lines"), (F.col("b.financials") != "").alias("has_financials"),
+        "o_orderkey", n("header").alias("header_lines"), F.trim("b.issuer", F.lit("\n")).alias("issuer"), F.trim("b.recipient", F.lit("\n")).alias("recipient"),
+        n("items").cast("long").alias("items_lines"), F.trim("b.financials", F.lit("\n")).alias("financials"),
     )
 
 
@@ -372,10 +420,14 @@ def _issues() -> Column:
 @query(
     f"""WITH {_CASES}, u AS (SELECT o_orderkey, unnest([(a, 1, 'MISSING_ISSUER', 'error'), (b, 2, 'INVALID_ISSUER_CNPJ', 'error'), (c, 3, 'MISSING_RECIPIENT', 'warning'),
   (d, 4, 'MISSING_TOTAL', 'error'), (e, 5, 'INVALID_TOTAL_FORMAT', 'warning'), (f, 6, 'INVALID_KEY', 'warning')]) AS i FROM s)
-SELECT o_orderkey, i[3] AS code, i[4] AS severity FROM u WHERE i[1]"""
+SELECT o_orderkey, i[2] - 1 AS position, i[3] AS code, i[4] AS severity, ['issuer.cnpj_cpf', 'issuer.cnpj_cpf', 'recipient', 'financials.total', 'financials.total', 'chave_acesso'][i[2]] AS field,
+  ['CNPJ do emitente não encontrado', 'CNPJ inválido: CNPJ com todos dígitos repetidos', 'Tomador não identificado', 'Valor total não encontrado', 'Formato inválido: Mais de 2 casas decimais',
+   'Chave inválida: Modelo inválido: 11 (esperado 55=NF-e ou 65=NFC-e)'][i[2]] AS message FROM u WHERE i[1]"""
 )
 def issues(spark, sf_dir):
-    return _payloads(spark, sf_dir).select("o_orderkey", F.explode(_issues()).alias("i")).select("o_orderkey", "i.code", "i.severity")
+    codes = F.array(*[F.lit(code) for code, *_ in trust.RULES])
+    x = _payloads(spark, sf_dir).select("o_orderkey", F.explode(_issues()).alias("i"))
+    return x.select("o_orderkey", (F.array_position(codes, F.col("i.code")) - 1).cast("int").alias("position"), "i.code", "i.severity", "i.field", "i.message")
 
 
 @query(f"WITH {_CASES} SELECT o_orderkey, p::BIGINT AS points FROM s")
@@ -429,11 +481,21 @@ def invoice_total_route(spark, sf_dir):
 # --- Payloads, envelope, audit ---------------------------------------------------------------
 
 
-@query(f"SELECT o_orderkey, true AS same, n_items AS items {_BASE}")
+_KEYS = "emission_date,competence_date,chave_acesso,issuer,recipient,items,financials,raw_text,tenant_id,source_filename"
+
+
+@query(
+    f"""SELECT o_orderkey, '{_KEYS}' AS keys, 'name,cnpj_cpf,address,municipal_insc,email,phone' AS party_keys, 'description,quantity,unit,unit_value,cfop,raw' AS item_keys, true AS same,
+  'FORNECEDOR ' || suppkey || ' LTDA' AS issuer, CASE WHEN o_orderkey % 13 <> 7 THEN {_BRL} END AS total, strftime(o_orderdate, '%m/%Y') AS month, n_items AS items {_BASE}"""
+)
 def payload_json(spark, sf_dir):
     x = _parsed(spark, sf_dir).select("o_orderkey", "invoice", payloads.to_json(F.col("invoice")).alias("j"))
-    back = payloads.from_json(F.col("j"))
-    return x.select("o_orderkey", (payloads.to_json(back) == F.col("j")).alias("same"), F.size(back["items"]).cast("long").alias("items"))
+    g, back = lambda p: F.get_json_object("j", p), payloads.from_json(F.col("j"))
+    keys = lambda p: F.array_join(F.json_object_keys(g(p)), ",")
+    return x.select(
+        "o_orderkey", keys("$").alias("keys"), keys("$.issuer").alias("party_keys"), keys("$.items[0]").alias("item_keys"), (payloads.to_json(back) == F.col("j")).alias("same"),
+        g("$.issuer.name").alias("issuer"), g("$.financials.total").alias("total"), g("$.competence_date").alias("month"), F.size(back["items"]).cast("long").alias("items"),
+    )
 
 
 @query(
@@ -468,10 +530,10 @@ SELECT event_id, i AS event_index, stage, CASE WHEN event_id % 7 = 3 AND i = eve
 FROM events, s WHERE event_id % 7 <> 3 OR i <= event_id % 4"""
 )
 def audit_trail(spark, sf_dir):
-    details = {s: audit.stage_details(s, duration_sec=F.lit(0)) for s in audit.STAGES}
+    details = {s: audit.stage_details(duration_sec=F.lit(0)) for s in audit.STAGES}
     x = _outcomes(spark, sf_dir).select("event_id", audit.events(F.col("failed"), F.col("error"), details, F.col("at")).alias("events"))
-    x = x.select("event_id", F.posexplode("events").alias("event_index", "e"))
-    return x.select("event_id", "event_index", "e.stage", "e.status", "e.error_policy", F.try_element_at("e.details", F.lit("error")).alias("error"))
+    x = x.select("event_id", F.posexplode_outer("events").alias("event_index", "e"))
+    return x.select("event_id", "event_index", "e.stage", "e.status", "e.error_policy", F.get_json_object("e.details", "$.error").alias("error"))
 
 
 @query(
@@ -479,7 +541,7 @@ def audit_trail(spark, sf_dir):
   'unknown_tenant' AS tenant_id, '{}' AS payload, 1500 AS ms FROM events"""
 )
 def event_envelope(spark, sf_dir):
-    details = {s: audit.stage_details(s, duration_sec=F.lit(0)) for s in audit.STAGES}
+    details = {s: audit.stage_details(duration_sec=F.lit(0)) for s in audit.STAGES}
     x = _outcomes(spark, sf_dir).withColumn("events", audit.events(F.col("failed"), F.col("error"), details, F.col("at")))
     j = audit.envelope(
         {
@@ -521,9 +583,141 @@ def context_parse(spark, sf_dir):
     return x.select("event_id", "c.valid", "c.tenant_id", "c.priority")
 
 
-@query("SELECT event_id, true AS trace_made, true AS execution_made FROM events")
+@query(
+    """SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'given-' || event_id ELSE 'made' END AS trace_id, CASE event_id % 4 WHEN 2 THEN 'run-' || event_id ELSE 'made for t' || user_id END AS execution_id,
+  event_id % 5 <> 3 AS valid FROM events"""
+)
 def context_ids(spark, sf_dir):
-    c = documents.parse_context(F.concat(F.lit('{"tenant_id": "t'), F.col("user_id"), F.lit('"}')))
-    x = table(spark, sf_dir, "events").select("event_id", "user_id", documents.with_ids(c).alias("c"))
-    made = F.col("c.execution_id").rlike("^t[0-9]+_[0-9a-f]{12}$") & F.startswith("c.execution_id", F.concat(F.lit("t"), F.col("user_id"), F.lit("_")))
-    return x.select("event_id", F.col("c.trace_id").rlike("^[0-9a-f-]{36}$").alias("trace_made"), made.alias("execution_made"))
+    """Ids that are given stay; null and empty ones are made; a choice that is null in so many words is refused."""
+    e = F.col("event_id")
+    trace = F.when(e % 4 == 1, F.concat(F.lit("given-"), e)).when(e % 4 == 3, "")
+    execution = F.when(e % 4 == 2, F.concat(F.lit("run-"), e)).when(e % 4 == 3, "")
+    j = F.to_json(F.struct(F.concat(F.lit("t"), F.col("user_id")).alias("tenant_id"), trace.alias("trace_id"), execution.alias("execution_id")))
+    j = F.when(e % 5 == 3, F.concat(F.rtrim(j, F.lit("}")), F.lit(', "dry_run": null}'))).otherwise(j)
+    x = table(spark, sf_dir, "events").select("event_id", "user_id", documents.parse_context(j).alias("c")).select("event_id", "user_id", "c.valid", documents.with_ids(F.col("c")).alias("c"))
+    tenant = F.regexp_extract("c.execution_id", "^(t[0-9]+)_[0-9a-f]{12}$", 1)
+    return x.select(
+        "event_id", F.when(F.col("c.trace_id").rlike("^[0-9a-f-]{36}$"), "made").otherwise(F.col("c.trace_id")).alias("trace_id"),
+        F.when(tenant != "", F.concat(F.lit("made for "), tenant)).otherwise(F.col("c.execution_id")).alias("execution_id"), "valid",
+    )
+
+
+# --- Sources, sinks and the whole process, over PDF documents -----------------------------------
+
+
+def _sql_pdf(lines: str) -> str:
+    """A PDF of one page that shows the lines (a list of ASCII texts)."""
+    body = f"('BT /F1 9 Tf 50 700 Td (' || array_to_string({lines}, ') Tj T* (') || ') Tj ET')"
+    head = "'%PDF-1.4' || chr(10) || '1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj' || chr(10) || '2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj' || chr(10) || '3 0 obj << /Type /Page /Contents 4 0 R >> endobj' || chr(10) || '4 0 obj << /Length '"
+    return f"({head} || length({body}) || ' >> stream' || chr(10) || {body} || chr(10) || 'endstream endobj')"
+
+
+def _pdf(lines: Column) -> Column:
+    body = F.concat(F.lit("BT /F1 9 Tf 50 700 Td ("), F.array_join(lines, ") Tj T* ("), F.lit(") Tj ET"))
+    objects = ("<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] /Count 1 >>", "<< /Type /Page /Contents 4 0 R >>")
+    head = "%PDF-1.4\n" + "".join(f"{i} 0 obj {o} endobj\n" for i, o in enumerate(objects, 1)) + "4 0 obj << /Length "
+    return F.concat(F.lit(head), F.length(body), F.lit(" >> stream\n"), body, F.lit("\nendstream endobj"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the warehouse's tables."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/faturaflow/{name}-{uuid.uuid4().hex}"
+
+
+_NATION_LINES = "['EMITENTE', 'Nacao ' || n_nationkey, 'de ' || n_name, 'Competencia: 01/20' || (10 + n_regionkey)]"
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n_nationkey, pdf): a document a nation."""
+    lines = F.array(F.lit("EMITENTE"), F.concat(F.lit("Nacao "), "n_nationkey"), F.concat(F.lit("de "), "n_name"), F.concat(F.lit("Competencia: 01/20"), 10 + F.col("n_regionkey")))
+    return table(spark, sf_dir, "nation").select("n_nationkey", _pdf(lines).alias("pdf"))
+
+
+def _nation_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file a nation."""
+    at = _folder(spark, "nations")
+    _nations(spark, sf_dir).write.partitionBy("n_nationkey").option("lineSep", "\n").text(at)
+    return at
+
+
+@query(f"SELECT n_nationkey, array_to_string({_NATION_LINES}, chr(10)) AS text, 1 AS page_count, 'embedded' AS method, NULL::VARCHAR AS read_error FROM nation")
+def pdf_scan(spark, sf_dir):
+    files = documents.pdf_files(spark, _nation_files(spark, sf_dir), "*.txt")
+    read = pipeline.extract_text(documents.dispatch(files, None))
+    return read.select(F.regexp_extract("source", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), "text", "page_count", F.col("extration_method").alias("method"), "read_error")
+
+
+_SUPPLIER_LINES = "['PRESTADOR DE SERVICO', 'Fornecedor ' || s_suppkey, 'Cidade numero ' || s_nationkey]"
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s_suppkey, content): PDF bytes a supplier, damaged for every fifth."""
+    key = F.col("s_suppkey")
+    lines = F.array(F.lit("PRESTADOR DE SERVICO"), F.concat(F.lit("Fornecedor "), key), F.concat(F.lit("Cidade numero "), "s_nationkey"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.when(key % 5 == 2, F.concat(F.lit("no pdf "), key)).otherwise(_pdf(lines)).cast("binary").alias("content"))
+
+
+@query(f"SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 2 THEN array_to_string({_SUPPLIER_LINES}, chr(10)) END AS text, CASE WHEN s_suppkey % 5 <> 2 THEN 1 END AS page_count, CASE WHEN s_suppkey % 5 = 2 THEN 'not a PDF document' END AS read_error FROM supplier")
+def pdf_bytes(spark, sf_dir):
+    return pipeline.extract_text(_suppliers(spark, sf_dir)).select("s_suppkey", "text", "page_count", "read_error")
+
+
+@query("SELECT n_nationkey, 'Nacao de ' || n_name || chr(10) || 'numero ' || n_nationkey || chr(10) AS text FROM nation")
+def raw_text_ingest(spark, sf_dir):
+    at = _folder(spark, "texts")
+    text = F.concat(F.lit("Nacao de "), "n_name", F.lit("\nnumero "), "n_nationkey")
+    table(spark, sf_dir, "nation").select("n_nationkey", text.alias("value")).write.partitionBy("n_nationkey").text(at)
+    return documents.text_files(spark, at + "/*").select(F.regexp_extract("source_filename", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), "text")
+
+
+@query(
+    f"""SELECT 'file' AS input_type, {_sql_pdf(_NATION_LINES)} || chr(10) AS content, true AS named FROM nation
+UNION ALL SELECT 'bytes', CASE WHEN s_suppkey % 5 = 2 THEN 'no pdf ' || s_suppkey ELSE {_sql_pdf(_SUPPLIER_LINES)} END, false FROM supplier"""
+)
+def input_dispatch(spark, sf_dir):
+    files = documents.pdf_files(spark, _nation_files(spark, sf_dir), "*.txt")
+    both = documents.dispatch(files, _suppliers(spark, sf_dir).select("content"))
+    return both.select("input_type", F.col("content").cast("string").alias("content"), (F.col("source") != "memory").alias("named"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, lote FROM nation, (SELECT unnest(['1', '2']) AS lote)")
+def csv_append(spark, sf_dir):
+    at = _folder(spark, "csv")
+    for batch in (1, 2):
+        payloads.append_csv(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.lit(batch).alias("lote")), at)
+    return spark.read.option("header", True).schema("n_nationkey string, n_name string, lote string").csv(at)
+
+
+def _processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of the whole process over the suppliers' PDF bytes and the nations' files."""
+    files = documents.pdf_files(spark, _nation_files(spark, sf_dir), "*.txt")
+    return pipeline.process(documents.dispatch(files, _suppliers(spark, sf_dir).select("content")))
+
+
+_INPUTS = f"""(SELECT 'f' || n_nationkey AS id, 'file' AS kind, {_sql_pdf(_NATION_LINES)} || chr(10) AS content, array_to_string({_NATION_LINES}, chr(10)) AS text, true AS ok, false AS issuer FROM nation
+UNION ALL SELECT 'b' || s_suppkey, 'bytes', CASE WHEN s_suppkey % 5 = 2 THEN 'no pdf ' || s_suppkey ELSE {_sql_pdf(_SUPPLIER_LINES)} END, array_to_string({_SUPPLIER_LINES}, chr(10)), s_suppkey % 5 <> 2, true FROM supplier)"""
+
+
+@query(
+    f"""SELECT CASE WHEN ok THEN sha256(content) END AS input_hash_sha256, CASE WHEN ok THEN kind END AS input_type, CASE WHEN ok THEN length(text)::BIGINT END AS file_size_bytes,
+  CASE WHEN ok THEN 1 END AS page_count, CASE WHEN ok THEN 'utf-8' END AS encoding_detected, CASE WHEN ok THEN CASE kind WHEN 'file' THEN 'a file' ELSE 'memory' END END AS source_filename FROM {_INPUTS}"""
+)
+def raw_metadata(spark, sf_dir):
+    source = F.when(F.col("payload.source_filename") == "memory", "memory").when(F.col("payload.source_filename").rlike("n_nationkey=[0-9]+/"), "a file")
+    return _processed(spark, sf_dir).select("raw_metadata.*", source.alias("source_filename"))
+
+
+@query(
+    f"""WITH s AS (SELECT unnest(['READ', 'NORMALIZE', 'PARSE', 'VALIDATE']) AS stage, unnest([0, 1, 2, 3]) AS i)
+SELECT CASE WHEN ok THEN sha256(text) END AS text_hash, i AS event_index, stage, CASE WHEN ok THEN 'SUCCESS' ELSE 'FAILURE' END AS status, CASE WHEN ok THEN 'CONTINUE' ELSE 'ABORT' END AS error_policy,
+  CASE WHEN NOT ok THEN 'error' ELSE CASE i WHEN 0 THEN 'duration_sec,page_count,extraction_method,input_source' WHEN 1 THEN 'duration_sec,raw_text_hash_sha256,normalized_text_hash_sha256,reduction_ratio'
+    WHEN 2 THEN 'duration_sec,items_count,issuer_found,recipient_found,total_value' ELSE 'duration_sec,trust_score,issues_count,critical_errors' END END AS keys,
+  CASE WHEN NOT ok THEN '"not a PDF document"' WHEN i = 0 THEN '1' WHEN i = 1 THEN '0.0' WHEN i = 2 THEN 'true' ELSE 'true' END AS told
+FROM {_INPUTS}, s WHERE ok OR i = 0"""
+)
+def process_trail(spark, sf_dir):
+    """The audit trail of the process itself: which details each event has, in order, and one of them as it stands in the JSON."""
+    x = _processed(spark, sf_dir).select(F.sha2("payload.raw_text", 256).alias("text_hash"), F.posexplode_outer("events").alias("event_index", "e"))
+    field = F.when(F.col("e.status") == "FAILURE", "error").otherwise(F.get(F.array(*map(F.lit, ("page_count", "reduction_ratio", "issuer_found", "critical_errors"))), F.col("event_index")))
+    told = F.call_function("regexp_extract", F.col("e.details"), F.concat(F.lit('"'), field, F.lit('":("[^"]*"|[^,}]*)')), F.lit(1))
+    return x.select("text_hash", "event_index", "e.stage", "e.status", "e.error_policy", F.array_join(F.json_object_keys("e.details"), ",").alias("keys"), told.alias("told"))
