@@ -2,8 +2,8 @@
 
 Every round is two group-by passes over the edges; the edges of a round are written to the
 shared folder, so the lineage stays short. The rounds grow with the logarithm of the longest
-chain. A node with very many neighbours is one group of the star passes only until the first
-round has hung its neighbours on the smallest of them, and is handled by joins, not collected.
+chain. A node with very many neighbours is never collected: its smallest neighbour comes from an aggregate that is combined
+before the shuffle, and is written, so that the join which hangs the others on it is one of two plain tables and is split.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     seen = _state(now)
     for _ in range(rounds if seen[0] else 0):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low", small=True)
         # Large star: larger neighbours of a node hang on its smallest neighbour.
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b")
         # Small star: a node and its smaller neighbours hang on the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least", small=True)
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
         now = written(small.filter("a <> b").distinct(), "edges", small=True)
         if (state := _state(now)) == seen:
