@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from faturaflow.llm.arrowtext import ragged, slices
 from faturaflow.llm.common import bounded, crc_mod, table
 
-DOCS, CHARS, PIECES, LABELS, LANE, LIMIT = 64, 32_768, 4, 1024, 512, 4 << 20
+DOCS, CHARS, PIECES, LABELS, LANE, LIMIT = 64, 32_768, 4, 1024, 512, 2 << 20
 #: Classes: 0 for characters outside the samples, one for each code point in them, the last for padding.
 #: An automaton with more classes than DENSE holds its transitions by a hash: the same moves in less memory.
 DENSE = 64
@@ -42,12 +42,14 @@ _MISS = 1 << 30
 
 def sample(docs: DataFrame, docs_a_language: int = DOCS, chars: int = CHARS, pieces: int = PIECES, labels: int = LABELS) -> dict[str, str]:
     """Per language pieces of the labelled documents with the smallest hashes, `chars` characters at most."""
-    # Ranks need no text: Spark keeps only the first rows of a language before it shuffles.
-    ids = docs.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang").distinct()
-    order = (F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"))
-    ids = ids.withColumn("__s", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(16)))  # a language's rows meet in one task only after a first choice
-    for keys in (["lang", "__s"], ["lang"]):
-        ids = ids.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= docs_a_language)
+    known = docs.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
+    # Of a language with n documents, those go on whose hash is in the lowest 4 * docs_a_language / n: ranks are given to these few only.
+    many = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("__many"))
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    low = F.pmod(order, F.lit(1 << 40)) / float(1 << 40) * F.col("__many") < 4.0 * docs_a_language
+    ids = known.join(F.broadcast(many.limit(labels + 1)), "lang").filter(low).select("doc_id", "lang").distinct()
+    first = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(order, F.lit(1 << 40)), "doc_id"))
+    ids = ids.withColumn("__n", first).filter(F.col("__n") <= docs_a_language)
     size = max(1, chars // docs_a_language // pieces)
     room = F.greatest(F.length("text") - size, F.lit(0))
     cut = F.concat_ws(" ", *[F.substring("text", (F.lit(1) + F.floor(room * k / max(1, pieces - 1))).cast("int"), F.lit(size)) for k in range(pieces)])
