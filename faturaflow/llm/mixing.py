@@ -9,8 +9,8 @@ and once more where it lies in the seeded fraction of its source.
 The fraction is cut from a seeded order of the source's documents, a hash of their ids. Words are summed by source and slice of the
 order; running sums over slices tell in which one a source's cut lies, and running sums over the documents of these slices alone tell the
 last document that is taken. That place in the order, one a source, is all that the others need: documents are compared
-with it where they are, so neither texts nor a hot source ever move or meet. Slices hold some SLICE_ROWS documents, so their number grows
-with the corpus. The cut is as exact as one running sum over the source: the taken words miss the target
+with it where they are, so neither texts nor a hot source ever move or meet. There are some sqrt(n) slices of sqrt(n) documents, so neither
+the slices of a source nor the documents of a slice are many. The cut is as exact as one running sum over the source: the taken words miss the target
 by at most half the size of one document.
 
 Defined cases: null and blank texts have size 0 and are taken 0 words; a null source is a
@@ -32,8 +32,6 @@ from faturaflow.llm.common import free, n_words, table, text_of, written
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
-#: Documents that a slice of the order holds, or some more.
-SLICE_ROWS = 1 << 16
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -72,6 +70,11 @@ def _place(seed: str, size: Column) -> Column:
     return F.struct(F.md5(F.concat(F.lit(seed), text).cast("binary")).alias("o"), F.col("doc_id").alias("i"), size.alias("s"), F.monotonically_increasing_id().alias("r"))
 
 
+def _bits(n: int) -> int:
+    """Bits of the order that make a slice of n documents: about sqrt(n) slices."""
+    return min(31, math.ceil(math.log2(max(1, n)) / 2))
+
+
 def _slice(order: Column, bits: int) -> Column:
     return F.shiftright(F.conv(F.substring(order, 1, 8), 16, 10).cast("long"), 32 - bits)
 
@@ -81,7 +84,7 @@ def cuts(base: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CA
 
     Every document is taken `whole` times, and once more if its slice is below `slice`, or equal to it and its place is not above `last`.
     """
-    bits = max(0, math.ceil(math.log2(max(1, base.count() / SLICE_ROWS))))
+    bits = _bits(base.count())
     base = base.withColumn("slice", _slice(F.col("place.o"), bits))
     parts = base.groupBy("key", "slice").agg(F.sum("place.s").alias("part"), F.first("source").alias("source"))
     parts = written(parts, "slices", small=True)

@@ -141,10 +141,10 @@ def test_mixing_targets_and_takes(docs, rows):
     assert sorted(map(key, got)) == sorted(map(key, mixing.plan(docs.repartition(7)).collect()))
 
 
-@pytest.mark.parametrize("held", [1, 7, 50])
-def test_mixing_slices_make_no_difference(docs, monkeypatch, held):
+@pytest.mark.parametrize("bits", [0, 2, 9, 31])
+def test_mixing_slices_make_no_difference(docs, monkeypatch, bits):
     want = sorted((r.doc_id, r.copies) for r in mixing.plan(docs).collect())
-    monkeypatch.setattr(mixing, "SLICE_ROWS", held)
+    monkeypatch.setattr(mixing, "_bits", lambda n: bits)
     assert sorted((r.doc_id, r.copies) for r in mixing.plan(docs).collect()) == want
 
 
