@@ -7,18 +7,20 @@ that a merge creates are filed in turn. Ranks of pairs with a merged symbol are
 the rank that made it, so this ends as merging each piece by itself would. The tokens of a
 text are then gathered from those of its pieces, and decoding joins the bytes of its tokens.
 
-The vocabulary file is read on each worker from `path`, a parameter; texts are taken whole.
-A null text counts as the empty one: no ids, empty decoded text. A special token's string in
-a text becomes that token, as the library does by default. Extra columns are passed through;
-input columns named ids or decoded are replaced; repeated rows are encoded one by one.
+The vocabulary file is read on the driver from `path`, a parameter, and sent to the workers; texts are taken whole.
+Defined cases: a null text counts as the empty one: no ids, empty decoded text; a very long text is a slice of its own; damaged
+UTF-8 has replacement marks. A special token's string in a text becomes that token, as the library does by default. There are no
+ties: of equal pairs in a run the first merges. Extra columns are passed through;
+input columns named ids or decoded are replaced; repeated rows are encoded one by one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from collections import defaultdict
-from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +45,10 @@ def _shown() -> list[str]:
 
 
 class Vocabulary:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    """Merges, ids and special tokens of a vocabulary file's text."""
+
+    def __init__(self, file: str):
+        spec = json.loads(file)
         ids = spec["model"]["vocab"]
         shown = _shown()
         self.of_byte = np.array([ids[c] for c in shown], np.int64)
@@ -74,9 +77,19 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.order[at], -1)
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return Vocabulary(Path(path).read_text("utf-8"))
+
+
+_OWN: dict[str, Vocabulary] = {}
+
+
+def _own(digest: str, shared) -> Vocabulary:
+    """The vocabulary of a broadcast file, made once in a worker."""
+    if digest not in _OWN:
+        _OWN.clear()
+        _OWN[digest] = Vocabulary(shared.value)
+    return _OWN[digest]
 
 
 def merge(v: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -184,9 +197,11 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     bounded(docs.sparkSession)
+    file = Path(path).read_text("utf-8")
+    digest, shared = hashlib.sha256(file.encode()).hexdigest(), docs.sparkSession.sparkContext.broadcast(file)
 
     def run(batches):
-        v = vocabulary(path)
+        v = _own(digest, shared)
         for t in slices(batches, text, LIMIT):
             ids = encode(v, [x.decode("utf-8", "replace") for x in t[text].to_pylist()])
             columns = [t[c].combine_chunks() for c in kept]

@@ -9,7 +9,8 @@ Learning takes at most BOUND labelled rows, those with the smallest hashes of th
 driver, in fixed order with a fixed seed; scoring takes whole texts, in slices of LIMIT bytes.
 
 Defined cases: null and blank texts have the structure features of an empty text and a score
-as any other; without labelled rows, or with one class only, the score is the smoothed share
+as any other; very long texts are slices of their own; there are no ties, for a score is of its own text alone; an empty table gives
+an empty result; without labelled rows, or with one class only, the score is the smoothed share
 of that class; extra columns are passed through, input columns named score are replaced;
 repeated rows get equal scores.
 """

@@ -5,7 +5,7 @@ the table into a single boolean expression, `apply` does both. No user function
 shuffle takes part: the plan is one narrow projection over the scan.
 
 Defined cases: a null text counts as the empty text; texts without words have all counts 0
-and fail (too short); lines without a word are no lines; extra columns are ignored by the
+and fail (too short); very long texts are counted whole; there are no ties; an empty table gives an empty result; lines without a word are no lines; extra columns are ignored by the
 counts, and a column of the input that has the name of a count is replaced; repeated rows
 are judged one by one.
 """
