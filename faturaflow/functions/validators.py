@@ -216,12 +216,16 @@ def money_format(number: Column, code: Column) -> Column:
 _NUMBER = rf"{EXACT}^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
 
-def money(value: Column, fiscal: bool = False, expected: str | None = None) -> Column:
+def money(value: Column, fiscal: bool = False, expected: str | None = None, strict: bool = False) -> Column:
     """Money: currency rules, format, sign, size, cents; then decimal value and written form.
 
+    US$ is refused, as its letters stay; with `strict` it is the dollar's sign.
+
     Numbers beyond the decimal type count as absurdly large; NaN counts as a wrong format.
     """
     value = F.coalesce(value, F.lit(""))
+    if strict:
+        value = F.replace(value, F.lit("US$"), F.lit("$"))
 
     def of(raw: Column) -> Column:
         return bind(currency(raw), lambda code: bind(plain_number(raw, code), lambda text: told(code, text)))

@@ -13,6 +13,8 @@ from faturaflow.operators import segment
 CNPJ = rf"{EXACT}{BEGIN}\d{{2}}\.?\d{{3}}\.?\d{{3}}/?\.?\d{{4}}-?\d{{2}}{END}"
 KEY = rf"{EXACT}{BEGIN}\d{{44}}{END}"
 MONEY = rf"{EXACT}R?\$?{S}*(\d{{1,3}}(?:[.,]\d{{3}})*(?:[.,]\d{{2}}))"
+#: An amount of an item line that is read whole, with digits of thousands that have lost their mark.
+WHOLE_MONEY = rf"{EXACT}R?\$?{S}*(\d+(?:[.,]\d{{3}})*[.,]\d{{2}})(?!\d)"
 #: Words that are no name by themselves, and words of lines that are no items.
 LABELS = (
     "DO DE DA DOS DAS SERVICO SERVICOS PRODUTO PRODUTOS PRESTADOR TOMADOR EMITENTE DESTINATARIO "
@@ -78,9 +80,9 @@ def party(block: Column) -> Column:
     return F.when(strip(block) != "", F.struct(name.alias("name"), F.get(cnpjs(block), F.lit(0)).alias("cnpj_cpf"), *blank))
 
 
-def money_tokens(line: Column) -> Column:
-    """The amounts of a line that are valid in a fiscal document, as written."""
-    return F.filter(all_matches(line, MONEY, 1), lambda v: V.money(v, fiscal=True)["valido"])
+def money_tokens(line: Column, strict: bool = False) -> Column:
+    """The amounts of a line that are valid in a fiscal document, as written; without `strict`, thousands whose mark is gone are cut off."""
+    return F.filter(all_matches(line, WHOLE_MONEY if strict else MONEY, 1), lambda v: V.money(v, fiscal=True)["valido"])
 
 
 def description(line: Column, amounts: Column) -> Column:
@@ -89,7 +91,7 @@ def description(line: Column, amounts: Column) -> Column:
     return strip(F.regexp_replace(rest, rf"{EXACT}R\${S}*", ""))
 
 
-def items(block: Column) -> Column:
+def items(block: Column, strict: bool = False) -> Column:
     """Item structs: lines with amounts, and long lines without. quantity, unit and cfop are never told by a line."""
 
     def item(line: Column) -> Column:
@@ -103,7 +105,7 @@ def items(block: Column) -> Column:
                 line.alias("raw"),
             )
 
-        return bind(money_tokens(line), of)
+        return bind(money_tokens(line, strict), of)
 
     def may_be(line: Column) -> Column:
         shown = F.upper(line)
@@ -122,15 +124,15 @@ def total(block: Column) -> Column:
     return F.coalesce(*found)
 
 
-def record(text: Column, b: Column, source: Column | None = None) -> Column:
-    """The invoice record of a normalised text and its sections; source names the file it came from."""
+def record(text: Column, b: Column, source: Column | None = None, strict: bool = False) -> Column:
+    """The invoice record of a normalised text and its sections; source names the file it came from; strict is that of items."""
     return F.struct(
         emission_date(text).alias("emission_date"),
         competence_date(text).alias("competence_date"),
         access_key(text).alias("chave_acesso"),
         party(b["issuer"]).alias("issuer"),
         party(b["recipient"]).alias("recipient"),
-        items(b["items"]).alias("items"),
+        items(b["items"], strict).alias("items"),
         F.struct(
             total(b["financials"]).alias("total"),
             F.lit(None).cast("map<string,string>").alias("taxes"),
@@ -142,6 +144,6 @@ def record(text: Column, b: Column, source: Column | None = None) -> Column:
     )
 
 
-def invoice(text: Column, source: Column | None = None) -> Column:
+def invoice(text: Column, source: Column | None = None, strict: bool = False) -> Column:
     """The invoice record of a normalised text."""
-    return bind(segment.blocks(text), lambda b: record(text, b, source))
+    return bind(segment.blocks(text), lambda b: record(text, b, source, strict))

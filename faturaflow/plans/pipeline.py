@@ -17,7 +17,7 @@ from faturaflow.operators import audit, extract, normalize, segment, trust
 from faturaflow.sources.pdf import Extractor, extract_text, read_pdf
 
 
-def parse_texts(docs: DataFrame, text: str = "text", source: Column | None = None) -> DataFrame:
+def parse_texts(docs: DataFrame, text: str = "text", source: Column | None = None, strict: bool = False) -> DataFrame:
     """docs with invoice, the record of the normalised text; all its fields are null or empty for a null text.
 
     A binary column is read as UTF-8, without what is none.
@@ -26,7 +26,7 @@ def parse_texts(docs: DataFrame, text: str = "text", source: Column | None = Non
         docs = docs.withColumn(text, segment.scrub_utf8(F.col(text)))
     normalize.require_text(docs, text)
     cut = docs.withColumn("__n", normalize.normalize_text(F.col(text))).withColumn("__b", segment.blocks(F.col("__n")))
-    return cut.withColumn("invoice", extract.record(F.col("__n"), F.col("__b"), source)).drop("__n", "__b")
+    return cut.withColumn("invoice", extract.record(F.col("__n"), F.col("__b"), source, strict)).drop("__n", "__b")
 
 
 def validate(docs: DataFrame) -> DataFrame:
@@ -41,13 +41,13 @@ def validate(docs: DataFrame) -> DataFrame:
     ).drop("__v")
 
 
-def process_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+def process_texts(docs: DataFrame, text: str = "text", strict: bool = False) -> DataFrame:
     """Texts straight to validated records."""
-    return validate(parse_texts(docs, text))
+    return validate(parse_texts(docs, text, strict=strict))
 
 
 def process(
-    docs: DataFrame, extractor: Extractor = read_pdf, normalizer=normalize.normalize_text, parser=extract.invoice, validator=trust.verdict
+    docs: DataFrame, extractor: Extractor = read_pdf, normalizer=normalize.normalize_text, parser=extract.invoice, validator=trust.verdict, strict: bool = False
 ) -> DataFrame:
     """Documents (source, input_type, content and, if given, trace_id, execution_id, tenant_id) to results.
 
@@ -55,7 +55,7 @@ def process(
     and raw_metadata, whose fields are all null where reading failed. Stages are column functions: normalizer(text), parser(text, source)
     and validator(payload). One that gives null for a document aborts it at that stage: the trail ends there with a failure, the
     status is error and there is no payload. READ's duration is its own; the other stages run as one generated projection, in which a
-    row has no durations: theirs are null.
+    row has no durations: theirs are null. A payload is kept where validation finds errors; `strict` drops it.
     """
     named = docs.withColumns({n: audit.context(n, F.col(n) if n in docs.columns else F.lit(None).cast("string")) for n in audit.UNKNOWN})
     read = extract_text(named.withColumn("start_time", F.localtimestamp()), extractor)
@@ -83,7 +83,7 @@ def process(
         failed = F.when(~reached[stage], stage).otherwise(failed)
     error = F.coalesce(F.col("read_error"), F.concat(failed, F.lit(" gave no result")))
     trail = audit.events(failed, error, details, F.localtimestamp())
-    known, ok = audit.metadata(F.col("content"), F.col("text"), F.col("page_count"), F.col("input_type")), verdict.isNotNull()
+    known, ok = audit.metadata(F.col("content"), F.col("text"), F.col("page_count"), F.col("input_type")), verdict.isNotNull() & (F.lit(not strict) | (verdict["status"] != "error"))
     fields = ("input_hash_sha256", "input_type", "file_size_bytes", "page_count", "encoding_detected")
     return judged.withColumn("__m", known).select(
         "trace_id", "execution_id", "tenant_id", "start_time", F.localtimestamp().alias("end_time"),

@@ -397,6 +397,17 @@ def items(spark, sf_dir):
     return x.select("o_orderkey", level.alias("position"), "x.description", "x.unit_value")
 
 
+@query(
+    """WITH x AS (SELECT DISTINCT l_orderkey, l_linenumber, l_extendedprice::DECIMAL(18,2) AS d FROM lineitem)
+SELECT l_orderkey AS o_orderkey, l_linenumber AS position, 'Pacote de suporte nivel ' || chr(64 + l_linenumber) AS description, replace(d::VARCHAR, '.', ',') AS unit_value FROM x"""
+)
+def items_strict(spark, sf_dir):
+    """Amounts over 999 read whole."""
+    x = pipeline.parse_texts(render.invoices(spark, sf_dir), strict=True).select("o_orderkey", F.explode("invoice.items").alias("x"))
+    level = F.ascii(F.regexp_extract("x.raw", "nivel ([A-Z])", 1)) - 64
+    return x.select("o_orderkey", level.alias("position"), "x.description", "x.unit_value")
+
+
 # --- VALIDATE --------------------------------------------------------------------------------
 
 

@@ -142,6 +142,19 @@ def test_invoice_fields(invoice):
     assert (invoice.status, invoice.trust_score, invoice.validation_issues) == ("success", 1.0, [])
 
 
+def test_strict_variants(spark):
+    """Quirks of the default that strict mends: cut thousands, a payload kept on error, US$ refused."""
+    df = spark.createDataFrame([(INVOICE,)], "text string")
+    got = pipeline.process_texts(df, strict=True).first().invoice["items"]
+    assert [(x.description, x.unit_value) for x in got][::2] == [("Troca de óleo do forno", "90,00"), ("Revisão da van de entregas", "1315,40")]
+    r = one(spark, "US$ 100", lambda x: V.money(x, strict=True))
+    assert (r.valido, r.moeda, r.valor_formatado) == (True, "USD", "$ 100.00")
+    memory = spark.createDataFrame([(bytearray(make_pdf(["EMITENTE", "Alfa Beta"])),)], "content binary")
+    kept, dropped = (pipeline.process(documents.dispatch(None, memory), strict=x).first() for x in (False, True))
+    assert (kept.status, dropped.status) == ("error", "error") and kept.payload.issuer.name == "ALFA BETA" and dropped.payload is None
+    assert [e.status for e in dropped.events] == ["SUCCESS"] * 4 and dropped.raw_metadata.page_count == 1
+
+
 def test_incomplete_invoice(spark):
     r = pipeline.process_texts(spark.createDataFrame([("PRESTADOR DE SERVIÇO\nAlfa Beta\nCNPJ: 1",), ("",), (None,)], "text string")).collect()
     assert [x.status for x in r] == ["error"] * 3
