@@ -19,7 +19,7 @@ Learning takes at most BOUND labelled rows and BYTES bytes, those with the small
 are scored whole, in slices of LIMIT bytes. Labels, lang, source and doc_id are no inputs.
 
 Defined cases: a null text is the empty text; a text without a known term has no neighbour, the share of toxic rows
-as its whole vote and no word votes; terms of no learning row are outside the vector space; without
+as all its votes; terms of no learning row are outside the vector space; without
 labelled rows, or with one class only, every score is the smoothed share; equal learning texts are one
 example, with the mean of their labels; ties between neighbours go to the smaller id; very long texts
 are slices of their own; ids have any type; extra columns are passed through, and input columns named score,
@@ -262,7 +262,9 @@ class Neighbours:
         order, rank = order[rank < TOP], rank[rank < TOP]
         top = np.zeros((n, TOP))
         top[doc[order], rank] = votes[order]
-        p = np.column_stack([whole, top[:, 0], top[:, :2].mean(1), top.mean(1)])
+        many = np.bincount(doc[order], minlength=n)  # a short text's means are those of the words it has
+        means = [np.where(many > 0, top[:, :k].sum(1) / np.clip(many, 1, k), self.prior) for k in (1, 2, TOP)]
+        p = np.column_stack([whole, *means])
         return np.log((p + 0.01) / (1.01 - p)), order
 
     def nearest(self, doc, term, w, n: int, itself=None) -> tuple[np.ndarray, np.ndarray]:

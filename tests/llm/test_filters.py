@@ -269,3 +269,56 @@ def test_language_sample_spreads_over_texts(spark):
     assert sum(f"start{i}" in got["aa"] for i in range(5)) == 4 and sum(f"end{i}" in got["aa"] for i in range(5)) >= 3
     with pytest.raises(ValueError, match="languages"):
         language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels=1)
+
+
+def test_machine_learns_as_a_double_loop_does():
+    """One epoch of one batch against the plain sums: the margins by all pairs, every slot's gradient by all rows."""
+    texts = ["a b c a", "d e", "a d f g", "", "x " * 9, "b b c"]
+    y = np.array([1.0, 0, 1, 0, 0, 1])
+    slots, values, begins = quality_model.features(pa.chunked_array([pa.array(texts)]))
+    got, m = quality_model.Machine().fit(slots, values, begins, y, epochs=1), quality_model.Machine()
+    b, w, v = np.log((y.sum() + 1) / (len(y) + 2) / (1 - (y.sum() + 1) / (len(y) + 2))), m.w, m.v
+    rows = [list(zip(slots[i:j].tolist(), values[i:j].tolist(), strict=True)) for i, j in zip(begins[:-1], begins[1:], strict=True)]
+    errors = []
+    for row, want in zip(rows, y, strict=True):
+        pairs = sum(v[s] @ v[t] * x * z for p, (s, x) in enumerate(row) for t, z in row[:p])
+        errors.append(1 / (1 + math.exp(-(b + sum(w[s] * x for s, x in row) + pairs))) - want)
+    assert np.isclose(got.b, b - 0.1 * np.mean(errors))
+    for slot in set(slots.tolist()):
+        mine = [(e, x, sum(v[t] * z for t, z in row)) for e, row in zip(errors, rows, strict=True) for s, x in row if s == slot]
+        dw = sum(e * x for e, x, _ in mine) + 1e-5 * w[slot]
+        dv = sum(e * x * (total - v[slot] * x) for e, x, total in mine) + 1e-5 * v[slot]
+        assert np.allclose(got.w[slot], w[slot] - 0.05 * dw / np.sqrt(1e-6 + dw * dw))
+        assert np.allclose(got.v[slot], v[slot] - 0.02 * dv / np.sqrt(1e-6 + dv * dv))
+
+
+@pytest.mark.parametrize("module", [quality_model, toxicity])
+def test_models_take_text_ids_and_very_long_texts(spark, module):
+    docs, labels = labelled(spark, 120)
+    long = spark.createDataFrame([("long", "grumble snarl " * 150_000 + "end", "en", "s", 1), ("long", None, None, None, None)], "doc_id string, text string, lang string, source string, n_chars long")
+    docs, labels = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")).unionByName(long), labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    got = module.score(docs, module.fit(docs, labels, F.lit(True)))
+    rows = {(r.doc_id, r.text is None): r for r in got.collect()}
+    assert len(rows) == 122 and got.schema["doc_id"].dataType.simpleString() == "string"
+    if module is toxicity:
+        assert rows["long", False].score > 0.7 > rows["long", True].score
+        assert all(e.doc_id.startswith("d") for r in rows.values() for e in r.evidence)
+        assert [w.word for w in rows["long", False].words] and not rows["long", True].words
+
+
+def test_labelled_rows_are_bounded(spark):
+    """By rows, by bytes, and to one row an id."""
+    from faturaflow.llm.classify_common import labelled as learn
+
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(50)] * 2 + [(7, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0), (3, 1)], "doc_id long, quality int")
+    all_ = learn(docs, labels, "quality", F.lit(True), 1000)
+    assert [r[0] for r in all_] == [i for i in range(50) if i != 3] and all(t == "x" * 100 and y == i % 2 for i, t, y in all_)
+    assert len(learn(docs, labels, "quality", F.lit(True), 10)) <= 10
+    assert 5 <= len(learn(docs, labels, "quality", F.lit(True), 1000, 600)) <= 7
+
+
+def test_language_ties_go_to_the_smallest_label(spark):
+    docs = spark.createDataFrame([(1, "kata tako rato"), (2, "kata kata")], "doc_id long, text string")
+    assert {r.lang_pred for r in language.predict(docs, {"bb": "kata tako", "aa": "kata tako"}).collect()} <= {"aa", "bb"}
+    assert {r.lang_pred for r in language.predict(docs, dict(sorted({"bb": "kata tako", "aa": "kata tako"}.items()))).collect()} == {"aa"}
