@@ -27,8 +27,9 @@ def _given(x: Column) -> Column:
 
 
 def faults(issuer: Column, total: Column, key: Column) -> Column:
-    """What is wrong with an issuer's CNPJ, a total and a key, each null where nothing is: every validator runs once."""
-    return F.struct(V.cnpj(issuer)["erro"].alias("cnpj"), V.fiscal_money(total)["erro"].alias("money"), V.nfe_key(key)["erro"].alias("key"))
+    """What is wrong with an issuer's CNPJ, a total and a key, each null where nothing is or none is given: every validator runs once."""
+    wrong = {"cnpj": (issuer, V.cnpj), "money": (total, V.fiscal_money), "key": (key, V.nfe_key)}
+    return F.struct(*[F.when(_given(x), check(x)["erro"]).alias(n) for n, (x, check) in wrong.items()])
 
 
 def findings(issuer: Column, recipient: Column, total: Column, key: Column, wrong: Column) -> dict[str, tuple[Column, Column]]:
