@@ -36,7 +36,7 @@ def segments(text: Column) -> Column:
 
     def typed(parts: Column) -> Column:
         after = F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))
-        return F.zip_with(parts, after, lambda a, b: F.struct(kind(F.concat(a, F.substring(F.coalesce(b, F.lit("")), 1, 200))).alias("kind"), a.alias("text")))
+        return F.zip_with(parts, after, lambda a, b: F.struct(kind(F.concat(a, F.coalesce(b, F.lit("")))).alias("kind"), a.alias("text")))
 
     return bind(F.split(text, f"{LOOSE}(?={_ANY})"), typed)
 

@@ -125,6 +125,8 @@ def test_sections(spark):
     assert b.financials == "VALOR \nTOTAL GERAL: 5,00"
     assert one(spark, "sem seções", segment.blocks).header == "sem seções"
     assert one(spark, "EMITENTE X", segment.blocks).header == ""
+    far = "DADOS DO" + " " * 500 + "PRESTADOR X"  # a header as wide as its blanks
+    assert one(spark, "topo " + far, segment.blocks).issuer.strip() == far
 
 
 @pytest.mark.parametrize(("given", "name"), [("Prestador de Serviço", None), ("CNPJ", None), ("DA", None), ("", None), ("Razão Social", None), ("Casa do Pão Ltda.,-", "CASA DO PÃO LTDA"), ("  Dados   da Nota Azul ", "DADOS DA NOTA AZUL")])
