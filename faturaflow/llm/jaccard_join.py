@@ -14,9 +14,9 @@ A document's set is that of its distinct N-word shingles; two documents link whe
    number of classes follows the size step of the set; neighbouring steps share signatures.
 4. In each signature's list all members are paired with a hub and verified, in STARS passes
    with other hubs; only lists whose members still lie in different groups go on. What stays
-   open is compared block by block, where a list has members in both blocks: the shared counts of two
-   blocks are one matrix product, and blocks of one group are not compared. So a large group of
-   near copies never becomes rows of pairs, and blocks without a common signature never meet.
+   open, without the hubs, is compared block by block within a list: the shared counts of two blocks are one matrix
+   product, and blocks of one group are not compared. So a large group of near copies never
+   becomes rows of pairs, and documents that share no signature never meet.
 
 Verification intersects the full shingle sets (64-bit hashes). Sets are whole.
 
@@ -33,6 +33,8 @@ extra columns are passed through by `one_of_each` whatever their names; an empty
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -297,31 +299,34 @@ def groups(docs: DataFrame, ids: DataFrame, plan: S.Plan, n: int = N, text: str
 def _rest(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between the groups that the stars have not merged.
 
-    Every node is in one block: a group that fills blocks has blocks of its own, and nodes of small groups are pooled by their
-    smallest signature. Two blocks are compared, once, if a list has members in both, and a pool by itself; two blocks of one
-    group need no comparison. A task holds two blocks.
+    A list's hubs have met all its members and leave it. Members of a list that lie in different groups are compared; of lists with the same members one does. A list is
+    cut into blocks, and a group that fills blocks has blocks of its own: two blocks of one group need no comparison.
+    A task holds two blocks.
     """
-    cut = lambda n, total: F.ceil(F.greatest(F.col(n) / BLOCK, F.col(total) / BLOCK_SHINGLES)).cast("long")
-    nodes = lists.groupBy("node").agg(F.min("sig").alias("least"), F.first("size").alias("size"), F.first("component").alias("component"))
-    nodes = written(nodes, "nodes", small=True)
-    groups_ = nodes.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
-    nodes = nodes.join(written(groups_.select("component", cut("n", "total").alias("own")), "groups", small=True), "component")
-    alone = nodes.filter("own = 1")
-    pools = alone.groupBy("least").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
-    pools = written(pools.withColumn("parts", cut("n", "total")), "pools", small=True)
-    n_pools = pools.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).select(F.coalesce(cut("n", "total"), F.lit(1)).alias("k")).first()["k"]
-    nodes = nodes.join(pools.select("least", "parts"), "least", "left")
-    spread, kin = F.xxhash64("node", F.lit(7)), F.when(F.col("own") > 1, F.col("component"))
-    pool = F.xxhash64(F.pmod(F.xxhash64("least"), F.lit(max(1, n_pools))), F.pmod(spread, F.coalesce("parts", F.lit(1))))
-    block = F.when(F.col("own") > 1, F.xxhash64("component", F.pmod(spread, "own"), F.lit(1))).otherwise(pool)
-    own = written(nodes.select("node", "component", kin.alias("kin"), block.alias("block")), "blocked", small=True)
-    held = written(lists.select("sig", "node").join(own, "node").select("sig", "block", "kin").distinct(), "held", small=True)
-    there = held.select("sig", F.col("block").alias("other"), F.col("kin").alias("other_kin"))
-    apart = (F.col("block") < F.col("other")) & (F.col("kin").isNull() | ~F.col("kin").eqNullSafe(F.col("other_kin")))
-    pairs = held.join(there, "sig").filter(apart | ((F.col("block") == F.col("other")) & F.col("kin").isNull()))
-    pairs = written(pairs.select("block", "other", F.xxhash64("block", "other").alias("task")).distinct(), "pairs", small=True)
-    sides = pairs.select("block", "task").unionAll(pairs.filter("block <> other").select("other", "task"))
-    rows = own.join(sides, "block").select("node", "component", "block", "task").join(sets.select("node", "shingles"), "node")
+    hub = lambda salt: F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("o"), F.col("node").alias("b")))["b"].alias(f"hub{salt}")
+    hubs = written(lists.groupBy("sig").agg(*map(hub, range(STARS))), "hubs", small=True)
+    left = lists.join(hubs, "sig").filter(~reduce(or_, [F.col("node") == F.col(f"hub{salt}") for salt in range(STARS)]))
+    left = written(left.select("sig", "node", "size", "component"), "left", small=True)
+    mixed = left.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
+    lists = left.join(written(mixed, "mixed", small=True), "sig")
+    alike = lists.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
+    one = written(alike.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "lists", small=True)
+    own = written(lists.select("sig", "node", "size", "component").join(one, "sig"), "members", small=True)
+    many = own.groupBy("sig", "component").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    blocks = lambda: F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES))
+    many = many.withColumn("own_blocks", blocks())
+    pooled = many.filter("own_blocks = 1").groupBy("sig").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    many = written(many.join(pooled.select("sig", blocks().alias("pool_blocks")), "sig", "left").select("sig", "component", "own_blocks", "pool_blocks"), "blocks", small=True)
+    own = own.join(many, ["sig", "component"])
+    pool = F.col("own_blocks") == 1
+    own = own.withColumn("kin", F.when(pool, F.lit(None).cast("long")).otherwise(F.col("component")))
+    count = F.when(pool, F.col("pool_blocks")).otherwise(F.col("own_blocks")).cast("long")
+    own = own.withColumn("block", F.xxhash64("sig", "kin", F.pmod(F.xxhash64("node", F.lit(7)), count)))
+    own = written(own.select("sig", "node", "component", "kin", "block"), "blocked", small=True)
+    there = written(own.select("sig", F.col("kin").alias("other_kin"), F.col("block").alias("other")).distinct(), "there", small=True)
+    pairs = own.join(there, "sig").filter(F.col("kin").isNull() | ~F.col("kin").eqNullSafe(F.col("other_kin")))
+    task = F.xxhash64("sig", F.least("block", "other"), F.greatest("block", "other"))
+    rows = pairs.select("node", "component", "block", task.alias("task")).join(sets.select("node", "shingles"), "node")
     return rows.groupBy("task").applyInArrow(_compare, "a long, b long")
 
 
