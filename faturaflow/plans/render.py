@@ -29,6 +29,20 @@ def cnpj_of(number: Column) -> Column:
     return bind(base, lambda b: V.cnpj_format(F.concat(b, V.cnpj_digits(b))))
 
 
+def moved_on(cnpj: Column) -> Column:
+    """Every digit of a number one further, 0 after 9. Of some valid CNPJs this is another valid one."""
+    return F.translate(cnpj, "0123456789", "1234567890")
+
+
+def bad_cnpj_of(number: Column) -> Column:
+    """No CNPJ: the valid one moved on, its last digit once more where that is valid by chance."""
+
+    def of(x: Column) -> Column:
+        return F.when(V.cnpj_valid(x), F.concat(F.substring(x, 1, 17), moved_on(F.substring(x, 18, 1)))).otherwise(x)
+
+    return bind(moved_on(cnpj_of(number)), of)
+
+
 def brl(amount: Column) -> Column:
     return F.translate(F.format_number(amount.cast("decimal(18,2)"), 2), ",.", ".,")
 
@@ -50,10 +64,9 @@ def orders_with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).drop("l_orderkey")
 
 
-def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(o_orderkey, text): one invoice an order."""
+def invoices(spark: SparkSession, sf_dir: str, bad_issuer=bad_cnpj_of) -> DataFrame:
+    """(o_orderkey, text): one invoice an order; bad_issuer(number) is the issuer's CNPJ in the cases of BAD_ISSUER."""
     o, key = orders_with_items(spark, sf_dir), F.col("o_orderkey")
-    bad = F.translate(cnpj_of(F.col("suppkey")), "0123456789", "1234567890")
     items = F.transform("lines", lambda x: F.concat(F.lit("Pacote de suporte nivel "), F.char(x["l_linenumber"] + 64), F.lit(" R$ "), brl(x["price"])))
     text = F.concat_ws(
         "\n",
@@ -63,7 +76,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_case(key, WITH_KEY), F.concat(F.lit("Chave de acesso: "), key_of(key, F.col("suppkey"), F.col("o_orderdate")))),
         F.lit("PRESTADOR DE SERVIÇO"),
         F.concat(F.lit("Fornecedor "), F.col("suppkey"), F.lit(" LTDA.")),
-        F.concat(F.lit("CNPJ: "), F.when(is_case(key, BAD_ISSUER), bad).otherwise(cnpj_of(F.col("suppkey")))),
+        F.concat(F.lit("CNPJ: "), F.when(is_case(key, BAD_ISSUER), bad_issuer(F.col("suppkey"))).otherwise(cnpj_of(F.col("suppkey")))),
         F.when(~is_case(key, NO_RECIPIENT), F.concat(F.lit("TOMADOR DE SERVIÇO\nCliente   "), F.col("o_custkey"), F.lit(" S.A.\nCNPJ: "), cnpj_of(F.col("o_custkey") + 50_000_000))),
         F.lit("DISCRIMINAÇÃO DOS SERVIÇOS"),
         F.array_join(items, "\n"),

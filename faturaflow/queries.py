@@ -339,7 +339,8 @@ def _plain(cnpj: str) -> str:
   n_items + 1 AS items_lines, CASE WHEN o_orderkey % 13 <> 7 THEN 'TOTAL GERAL: ' || replace({_BRL}, '.', '') ELSE '' END AS financials {_BASE}"""
 )
 def segment_blocks(spark, sf_dir):
-    x = render.invoices(spark, sf_dir).select("o_orderkey", segment.blocks(normalize.normalize_text(F.col("text"))).alias("b"))
+    """Sections keep what they hold: the issuer's number is moved on, be the result valid or not."""
+    x = render.invoices(spark, sf_dir, lambda number: render.moved_on(render.cnpj_of(number))).select("o_orderkey", segment.blocks(normalize.normalize_text(F.col("text"))).alias("b"))
     n = lambda c: F.size(F.filter(F.split(F.col(f"b.{c}"), "\n"), lambda t: t != ""))
     return x.select(
         "o_orderkey", n("header").alias("header_lines"), F.trim("b.issuer", F.lit("\n")).alias("issuer"), F.trim("b.recipient", F.lit("\n")).alias("recipient"),

@@ -3,9 +3,11 @@
 import json
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from faturaflow import queries
 from faturaflow.functions import validators as V
 from faturaflow.operators import audit, extract, normalize, segment, trust
 from faturaflow.plans import pipeline
@@ -338,3 +340,30 @@ def test_pdf_strings():
     assert (text, pages) == ("a (b) c\né€", 1)
     with pytest.raises(ValueError, match="not a PDF"):
         pdf.read_pdf(b"")
+
+
+@pytest.fixture(scope="module")
+def unlucky(spark, tmp_path_factory):
+    """Sales tables of suppliers whose CNPJ, every digit moved on, is valid again, in orders of the bad-issuer case."""
+    at = tmp_path_factory.mktemp("unlucky")
+    keys = {5: 9918, 16: 9964, 27: 59941, 38: 1, 39: 9918}
+    orders = [(k, 1, 1500.0) for k in keys]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").withColumn("o_orderdate", F.to_timestamp(F.lit("2001-02-03"))).write.parquet(f"{at}/orders.parquet")
+    lines = [(k, s, 1, 700.0) for k, s in keys.items()]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linenumber int, l_extendedprice double").write.parquet(f"{at}/lineitem.parquet")
+    return str(at)
+
+
+def _as_sql(spark, at, name):
+    """A query's rows and those of its SQL."""
+    con = duckdb.connect()
+    for table in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {table} AS FROM '{at}/{table}.parquet/*.parquet'")
+    want = con.execute(queries.SQL[name]).fetchall()
+    return sorted(tuple(r) for r in queries.QUERIES[name](spark, at).collect()), sorted(want)
+
+
+@pytest.mark.parametrize("name", ["pipeline_status", "segment_blocks"])
+def test_bad_issuers_are_bad_whatever_the_supplier(spark, unlucky, name):
+    got, want = _as_sql(spark, unlucky, name)
+    assert got == want
