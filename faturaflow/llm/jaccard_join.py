@@ -14,7 +14,7 @@ A document's set is that of its distinct N-word shingles; two documents link whe
    number of classes follows the size step of the set; neighbouring steps share signatures.
 4. In each signature's list all members are paired with a hub and verified, in STARS passes
    with other hubs; only lists whose members still lie in different groups go on. What stays
-   open, without the hubs, is compared block by block within a list: the shared counts of two blocks are one matrix
+   open, without the hubs, is put together where lists overlap and compared block by block within a list: the shared counts of two blocks are one matrix
    product, and blocks of one group are not compared. So a large group of near copies never
    becomes rows of pairs, and documents that share no signature never meet.
 
@@ -54,6 +54,8 @@ N, THRESHOLD, RARE = 5, 80, 64
 SMALL = 8
 #: Passes with hubs before what is left is compared block by block; members and shingles of a block.
 STARS, BLOCK, BLOCK_SHINGLES = 2, 512, 400_000
+#: Passes that put lists with many members in common together before they are cut into blocks.
+UNIONS = 2
 _A, _B = Hasher(21), Hasher(22)
 
 
@@ -296,11 +298,35 @@ def groups(docs: DataFrame, ids: DataFrame, plan: S.Plan, n: int = N, text: str
     return group if rest.isEmpty() else components(edges.unionAll(rest))
 
 
+def _blocks(n="n", total="total"):
+    return F.ceil(F.greatest(F.col(n) / BLOCK, F.col(total) / BLOCK_SHINGLES))
+
+
+def _united(lists: DataFrame, salt: int) -> DataFrame:
+    """(sig, node, size, component): lists with the same smallest hash as one list of all their members.
+
+    Lists that overlap have it in common most often. All pairs of each list are pairs of the union. It stays apart where the union would be
+    more rows to compare, or more pairs, than its lists: those of one member that have nothing else in common.
+    """
+    own = lists.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("o"), "node"))["node"].alias("head"), F.count("*").alias("n"), F.sum("size").alias("total"))
+    own = written(own, "heads", small=True)
+    apart = own.groupBy("head").agg(F.sum(F.col("n") * _blocks()).alias("rows"), F.sum(F.col("n") * F.col("n")).alias("pairs"), F.count("*").alias("k")).filter("k > 1")
+    member = lists.join(own.select("sig", "head"), "sig")
+    union = written(member.groupBy("head", "node").agg(F.first("size").alias("size"), F.first("component").alias("component")), "unions", small=True)
+    size = union.groupBy("head").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    one = size.join(apart, "head").filter((F.col("n") * _blocks() <= F.col("rows")) & (F.col("n") * F.col("n") <= F.col("pairs"))).select("head")
+    one = written(one, "united", small=True)
+    stay = member.join(one, "head", "left_anti").select("sig", "node", "size", "component")
+    # Should a union's name be a list's, they are one list: more pairs are compared, none is lost.
+    new = union.join(one, "head").select(F.xxhash64("head", F.lit(salt), F.lit("union")).alias("sig"), "node", "size", "component")
+    return written(stay.unionAll(new), "members", small=True)
+
+
 def _rest(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between the groups that the stars have not merged.
 
-    A list's hubs have met all its members and leave it. Members of a list that lie in different groups are compared; of lists with the same members one does. A list is
-    cut into blocks, and a group that fills blocks has blocks of its own: two blocks of one group need no comparison.
+    A list's hubs have met all its members and leave it. Members of a list that lie in different groups are compared; of lists with the same members one does,
+    and lists that overlap are put together. A list is cut into blocks, and a group that fills blocks has blocks of its own: two blocks of one group need no comparison.
     A task holds two blocks.
     """
     hub = lambda salt: F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("o"), F.col("node").alias("b")))["b"].alias(f"hub{salt}")
@@ -312,11 +338,12 @@ def _rest(lists: DataFrame, sets: DataFrame) -> DataFrame:
     alike = lists.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
     one = written(alike.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig"), "lists", small=True)
     own = written(lists.select("sig", "node", "size", "component").join(one, "sig"), "members", small=True)
+    for salt in range(STARS, STARS + UNIONS):
+        own = _united(own, salt)
     many = own.groupBy("sig", "component").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
-    blocks = lambda: F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES))
-    many = many.withColumn("own_blocks", blocks())
+    many = many.withColumn("own_blocks", _blocks())
     pooled = many.filter("own_blocks = 1").groupBy("sig").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    many = written(many.join(pooled.select("sig", blocks().alias("pool_blocks")), "sig", "left").select("sig", "component", "own_blocks", "pool_blocks"), "blocks", small=True)
+    many = written(many.join(pooled.select("sig", _blocks().alias("pool_blocks")), "sig", "left").select("sig", "component", "own_blocks", "pool_blocks"), "blocks", small=True)
     own = own.join(many, ["sig", "component"])
     pool = F.col("own_blocks") == 1
     own = own.withColumn("kin", F.when(pool, F.lit(None).cast("long")).otherwise(F.col("component")))

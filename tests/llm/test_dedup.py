@@ -60,6 +60,22 @@ def test_jaccard_blocks(spark, monkeypatch):
     test_jaccard_many_near_copies(spark)
 
 
+def test_jaccard_lists_that_overlap_are_one(spark):
+    """40 lists of 30 of the same 36 members become few, without losing a pair; lists with one member in common stay apart."""
+    r = random.Random(4)
+    lists = {s: set(r.sample(range(36), 30)) for s in range(40)} | {100 + i: {500, 600 + i} for i in range(50)}
+    rows = spark.createDataFrame([(s, n, 90, n) for s, ns in lists.items() for n in ns], "sig long, node long, size long, component long")
+    got = {}
+    for x in J._united(rows, 2).collect():
+        got.setdefault(x.sig, []).append(x.node)
+        assert (x.size, x.component) == (90, x.node)
+    assert all(len(set(ns)) == len(ns) for ns in got.values())
+    pairs = lambda all_: {(a, b) for ns in all_ for a in ns for b in ns if a < b}
+    assert pairs(lists.values()) <= pairs(got.values())
+    assert sum(len(ns) for ns in got.values() if max(ns) < 36) < 40 * 30 // 2
+    assert max(len(ns) for ns in got.values() if max(ns) >= 500) <= 3
+
+
 def test_signatures_meet_for_every_linked_pair():
     """The prefix rule itself: sets at the threshold always share a signature, whatever the frequencies."""
     r = random.Random(5)
