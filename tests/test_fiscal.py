@@ -363,7 +363,7 @@ def _as_sql(spark, at, name):
     return sorted(tuple(r) for r in queries.QUERIES[name](spark, at).collect()), sorted(want)
 
 
-@pytest.mark.parametrize("name", ["pipeline_status", "segment_blocks"])
+@pytest.mark.parametrize("name", ["pipeline_status", "route_by_confidence", "segment_blocks"])
 def test_bad_issuers_are_bad_whatever_the_supplier(spark, unlucky, name):
     got, want = _as_sql(spark, unlucky, name)
     assert got == want
