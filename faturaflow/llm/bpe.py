@@ -34,7 +34,8 @@ from faturaflow.llm.common import bounded, table
 
 #: The split of texts into pieces that byte-level BPE vocabularies of this kind fix.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LIMIT = 2 << 20
+#: Bytes of text of a slice, and positions that are ranked at a time: both bound what a worker holds.
+LIMIT, SPAN = 1 << 20, 1 << 16
 
 
 def _shown() -> list[str]:
@@ -72,9 +73,12 @@ class Vocabulary:
         self.pieces = regex.compile(PIECES).findall
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.order[at], -1)
+        found = np.empty(len(left), np.int32)
+        for lo in range(0, len(left), SPAN):
+            key = left[lo : lo + SPAN].astype(np.int64) << 32 | right[lo : lo + SPAN]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found[lo : lo + SPAN] = np.where(self.keys[at] == key, self.order[at], -1)
+        return found
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -95,10 +99,11 @@ def _own(digest: str, shared) -> Vocabulary:
 def merge(v: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all pieces one after another, and how many each has."""
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    symbol = v.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
-    n = len(symbol)
-    piece = np.repeat(np.arange(len(pieces)), sizes)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    n = int(sizes.sum())
+    place = np.int32 if n < 1 << 31 else np.int64
+    symbol = v.of_byte.astype(np.int32)[np.frombuffer(b"".join(pieces), np.uint8)]
+    piece = np.repeat(np.arange(len(pieces), dtype=place), sizes)
+    after, before = np.arange(1, n + 1, dtype=place), np.arange(-1, n - 1, dtype=place)
     ends = np.cumsum(sizes)[sizes > 0]
     after[ends - 1] = -1
     before[(ends - sizes[sizes > 0])] = -1

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from faturaflow.llm.arrowtext import ragged, slices
 from faturaflow.llm.common import bounded, crc_mod, table
 
-DOCS, CHARS, PIECES, LABELS, LANE, LIMIT = 64, 32_768, 4, 1024, 512, 2 << 20
+DOCS, CHARS, PIECES, LABELS, LANE, LIMIT = 64, 32_768, 4, 1024, 512, 1 << 20
 #: Classes: 0 for characters outside the samples, one for each code point in them, the last for padding.
 #: An automaton with more classes than DENSE holds its transitions by a hash: the same moves in less memory.
 DENSE = 64

@@ -79,6 +79,7 @@ def packed(docs: DataFrame, plan: Plan, text: str = "text", ident: str = "doc_id
                         out.write_table(t.slice(a, b - a).combine_chunks())
                     blobs.append(press.compress(sink.getvalue()))
                 yield pa.RecordBatch.from_arrays([pa.array(own[order][begins], pa.int32()), pa.array(blobs, pa.binary())], ["batch", "blob"])
+                release()
 
     rows = docs.select(*names, batch_of(key_of(ident, text), plan).alias(own_batch))
     return rows.mapInArrow(pack, "batch int, blob binary").repartition("batch")
@@ -129,12 +130,17 @@ def answered(table: pa.Table, kind: int) -> dict[int, bytes]:
     return {b: d for b, k, d in zip(table["bucket"].to_pylist(), table["kind"].to_pylist(), table["data"].to_pylist(), strict=True) if k == kind}
 
 
+def trimmed(out: pa.Table) -> pa.Table:
+    """out, once what its making has freed is back with the system: a worker that waits, or sends, holds no more than its result."""
+    release()
+    return out
+
+
 def scatter(batches: DataFrame, send) -> DataFrame:
     """send(batch number, documents) to rows of SENT."""
 
     def run(key, group):
-        release()
-        return send(key[0].as_py(), unpacked(group))
+        return trimmed(send(key[0].as_py(), unpacked(group)))
 
     return batches.groupBy("batch").applyInArrow(run, SENT)
 
@@ -143,8 +149,7 @@ def reduce_buckets(rows: DataFrame, answer, schema: str = ANSWER) -> DataFrame:
     """answer(bucket number, rows of SENT) to rows of `schema`."""
 
     def run(key, group):
-        release()
-        return answer(key[0].as_py(), group)
+        return trimmed(answer(key[0].as_py(), group))
 
     return rows.groupBy("bucket").applyInArrow(run, schema)
 
@@ -155,9 +160,8 @@ def gather(batches: DataFrame, replies: DataFrame, take, schema) -> DataFrame:
     kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
 
     def run(key, left, right):
-        release()
         if left.num_rows:
-            return take(key[0].as_py(), unpacked(left), right)
+            return trimmed(take(key[0].as_py(), unpacked(left), right))
         return to_arrow_schema(kind).empty_table()
 
     return batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(run, kind)
